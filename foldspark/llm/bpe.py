@@ -36,6 +36,10 @@ from .common import Memo
 SPACE = r"\t-\r \x85\xa0  -     　"
 
 
+#: Bytes by which shared prefixes are kept.
+HEAD = 3
+
+
 def compiled(pattern: str):
     """pattern with its \\s and \\S as the Unicode property."""
     inner = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"[\s", f"[{SPACE}")
@@ -56,14 +60,16 @@ class PrefixCoder:
         self.longest = max(map(len, ranks))
         tails: dict[bytes, set[int]] = {}
         for token in ranks:
-            tails.setdefault(token[-2:], set()).add(len(token))
-        #: Lengths of the tokens that end in two given bytes, longest first.
-        self.lengths = {tail: tuple(sorted(found | {1}, reverse=True)) for tail, found in tails.items()}
+            tails.setdefault(token[-3:], set()).add(len(token))
+        #: Lengths of the tokens of which the last three bytes, or the whole, are given, longest first.
+        self.lengths = {tail: tuple(sorted(found | {n for n in (1, 2) if tail[-n:] in ranks}, reverse=True)) for tail, found in tails.items()}
         self.parts = Memo(lambda token: self.merged(token, 2), 1 << 20)
         self.whole = Memo(lambda rank: len(self.merged(self.token[rank])) == 1, 1 << 20)
         self.left = Memo(lambda rank: self._edge(rank, 0), 1 << 20)
         self.right = Memo(lambda rank: self._edge(rank, -1), 1 << 20)
         self.fits = Memo(self._fit, 1 << 18)
+        #: Last tokens of the prefixes of a few first bytes, which many strings share.
+        self.heads = Memo(self._head, 1 << 17)
 
     def merged(self, data: bytes, upto: int = 1) -> list[bytes]:
         """Byte-pair merges in the order of rank, for the few bytes of a token, until ``upto`` parts are left."""
@@ -93,14 +99,14 @@ class PrefixCoder:
             ends = self.ranks[token]
             token = self.parts[token][side]
 
-    def _fit(self, pair: tuple[int, int]) -> bool:
-        """Whether two tokens side by side encode themselves.
+    def _fit(self, pair: int) -> bool:
+        """Whether two tokens side by side encode themselves; pair is left << 32 | right.
 
         Merges happen in the order of rank, so the parts at the common edge change
         in a known order; the two fit if none of the pairs of parts that meet there
         would have been merged first. Of equal ranks the left one comes first.
         """
-        left, right, i, j = self.right[pair[0]], self.left[pair[1]], 0, 0
+        left, right, i, j = self.right[pair >> 32], self.left[pair & 0xFFFFFFFF], 0, 0
         rank = self.ranks.get
         while True:
             (a, a_ends), (b, b_ends) = left[i], right[j]
@@ -121,15 +127,15 @@ class PrefixCoder:
         """
         ranks, lengths, fits, whole = self.ranks, self.lengths, self.fits, self.whole
         for end in range(len(last) + 1, (len(data) if upto is None else upto) + 1):
-            for n in lengths.get(data[max(0, end - 2) : end], (1,)):
-                if n > end:
-                    continue
-                token = ranks.get(data[end - n : end])
-                if token is None:
+            tail = data[end - 3 : end] if end > 3 else data[:end]
+            for n in lengths.get(tail) or ((2, 1) if tail[-2:] in ranks else (1,)):
+                if n >= end:
+                    if n > end or (token := ranks.get(data[:end])) is None or not whole[token]:
+                        continue
+                elif (token := ranks.get(data[end - n : end])) is None or not fits[last[end - n - 1] << 32 | token]:
                     continue
-                if whole[token] if n == end else fits[last[end - n - 1], token]:
-                    last.append(token)
-                    break
+                last.append(token)
+                break
             else:
                 raise ValueError("no valid last token: the vocabulary lacks a byte")
 
@@ -141,8 +147,14 @@ class PrefixCoder:
             at -= len(self.token[last[at - 1]])
         return out[::-1]
 
+    def _head(self, data: bytes) -> list[int]:
+        last = self.heads[data[:-HEAD]].copy() if len(data) > HEAD else []
+        self.extend(data, last)
+        return last
+
     def encode(self, data: bytes) -> list[int]:
-        last: list[int] = []
+        size = (len(data) - 1) // HEAD * HEAD if len(data) <= 4 * HEAD else HEAD
+        last = self.heads[data[:size]].copy() if size > 0 else []
         self.extend(data, last)
         return self.walk(last)
 

@@ -14,19 +14,25 @@ WORD = re.compile(f"[^{SPACES}]+")
 
 
 class Memo(dict):
-    """A dict that computes missing values, and starts anew beyond ``most`` keys.
+    """A dict that computes missing values and holds at most twice ``most`` keys.
 
-    The bound is on memory only: a dropped value is computed again.
+    When it is full, its keys become the old generation, from which those that
+    are asked for again come back; the older ones go. The bound is on memory
+    only: a dropped value is computed again.
     """
 
     def __init__(self, compute, most: int = 400_000):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.old = compute, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 

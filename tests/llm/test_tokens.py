@@ -43,7 +43,7 @@ def test_neighbours_fit_as_merges_say(coder):
     for _ in range(5000):
         a, b = rng.choice(tokens), rng.choice(tokens)
         alone = [own.ranks[x] for x in own.merged(own.token[a] + own.token[b])]
-        assert own.fits[a, b] == (alone == [a, b])
+        assert own.fits[a << 32 | b] == (alone == [a, b])
 
 
 def test_append_and_replace_are_exact(coder):
