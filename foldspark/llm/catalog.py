@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, token_count
+from . import bpe, mixing, secret_scan, token_count, toxicity
+from .common import in_fold, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +24,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 @query
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
@@ -30,3 +36,30 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    ledger = kept(secret_scan.scan(docs))
+    return secret_scan.digest(secret_scan.findings(docs, ledger))
+
+
+ORACLE["op7_secret_scan"] = secret_scan.duckdb_sql()
+
+
+@query
+def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+ORACLE["op9_poisson_mix"] = mixing.duckdb_sql()
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    chain = toxicity.train(docs, labels(spark, sf_dir))
+    scored = toxicity.score(docs, chain)
+    held_out = in_fold(F.col("doc_id"), toxicity.FOLDS, toxicity.HELD_OUT).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
