@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, secret_scan, token_count, toxicity
+from . import bpe, mixing, pii, quality_rules, quality_score, secret_scan, token_count, toxicity
 from .common import in_fold, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, chain)
     held_out = in_fold(F.col("doc_id"), toxicity.FOLDS, toxicity.HELD_OUT).alias("held_out")
     return scored.select("doc_id", held_out, "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query
+def op5_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_score.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(documents(spark, sf_dir)))
