@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality_rules, quality_score, secret_scan, token_count, toxicity
+from . import bpe, mixing, pii, quality_rules, quality_score, secret_scan, token_count, topk, toxicity
 from .common import in_fold, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,12 @@ def op5_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
+@query
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+ORACLE["op3_exact_top_k"] = topk.duckdb_sql()
