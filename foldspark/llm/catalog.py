@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality_rules, quality_score, secret_scan, token_count, topk, toxicity
+from . import bpe, mixing, ngram_join, pii, quality_rules, quality_score, secret_scan, token_count, topk, toxicity
 from .common import in_fold, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op3_exact_top_k"] = topk.duckdb_sql()
+
+
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
