@@ -226,18 +226,21 @@ def text_coder(path: str, pattern: str) -> TextCoder:
     return _loaded[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and token_ids (binary: little-endian unsigned 32-bit integers) of each row."""
+def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns ``keep``, n_tokens and token_ids (binary: little-endian unsigned 32-bit integers) of each row."""
+    keep = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = text_coder(path, pattern)
         for batch in batches:
             for small in _slices(batch):
-                ids = [coder.encode(text.as_py() or "") for text in small.column(1)]
-                yield pa.RecordBatch.from_arrays([small.column(0), pa.array(ids, pa.binary())], names=[id_col, "token_ids"])
+                ids = [coder.encode(text.as_py() or "") for text in small.column(len(keep))]
+                n = pa.array([len(x) // 4 for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(small.column(i) for i in range(len(keep))), n, pa.array(ids, pa.binary())], names=[*keep, "n_tokens", "token_ids"])
 
-    rows = docs.select(id_col, docs[text_col].alias("__text"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, token_ids binary")
+    rows = docs.select(*keep, docs[text_col].alias("__text"))
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+    return rows.mapInArrow(run, ", ".join([*kinds, "n_tokens long", "token_ids binary"]))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
