@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, mixing, ngram_join, pii, quality_rules, quality_score, secret_scan, token_count, topk, toxicity
-from .common import in_fold, kept
+from .common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,8 +41,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    ledger = kept(secret_scan.scan(docs))
-    return secret_scan.digest(secret_scan.findings(docs, ledger))
+    # The ledger starts empty here and is read once, so it isn't written first.
+    return secret_scan.digest(secret_scan.findings(docs, secret_scan.scan(docs)))
 
 
 ORACLE["op7_secret_scan"] = secret_scan.duckdb_sql()
