@@ -53,7 +53,7 @@ WORDS = 5
 #: The part of the hash space in which elimination looks for shingles of one class.
 SAMPLE = 0.3
 LONG_LIST = 64
-BLOCK = 2048
+BLOCK = 512
 MOST_BROADCAST = 2_000_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -218,17 +218,19 @@ def classes_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = kept(ordered.withColumn("own", F.col("n") - F.size("shared")).filter(room > 1).select("key", "n", "own", F.slice("shared", F.lit(1), room.cast("int")).alias("first")))
     # 3. The boundary between light and heavy.
     m = F.size("first")
-    scanned = F.aggregate(F.slice("first", F.lit(1), F.greatest(m - 1, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + F.least(x["df"], F.lit(long_list)))
+    cold = F.filter("first", lambda x: x["df"] <= long_list)
+    ones = F.filter(F.slice("first", F.lit(1), F.greatest(m - 1, F.lit(0))), lambda x: x["df"] <= long_list)
+    # What long lists cost doesn't depend on the boundary: only cold shingles count.
+    subsets = F.size(cold) * (2 * m - F.size(cold) - 1) / 2
+    scanned = F.aggregate(ones, F.lit(0).cast("long"), lambda s, x: s + x["df"])
     size = F.when(F.col("n") < 64, F.col("n")).otherwise((F.floor(F.log2("n") * 8)).cast("int") + 1000)
-    costs = first.groupBy(size.alias("bucket")).agg(F.max("n").alias("n"), F.sum((m * (m - 1) / 2).cast("double")).alias("subsets"), F.sum(scanned.cast("double")).alias("lists")).collect()
+    costs = first.groupBy(size.alias("bucket")).agg(F.max("n").alias("n"), F.sum(subsets.cast("double")).alias("subsets"), F.sum(scanned.cast("double")).alias("lists")).collect()
     light_to = boundary([(r["n"], r["subsets"], r["lists"]) for r in costs])
     rows = first.withColumn("light", F.col("n") <= light_to)
-    cold = F.filter("first", lambda x: x["df"] <= long_list)
     # Two of the first shingles, the rarer one cold: that bounds the list.
     twos = F.flatten(F.transform(cold, lambda x: F.transform(F.filter("first", lambda y: (y["df"] > x["df"]) | ((y["df"] == x["df"]) & (y["h"] > x["h"]))), lambda y: F.xxhash64(x["h"], y["h"]))))
     light = rows.filter("light").select(F.explode(twos).alias("sig"), "key", "n", "own", "light")
     # A heavy class leaves its last shingle out; so does a light one that a heavy one may meet.
-    ones = F.filter(F.slice("first", F.lit(1), F.greatest(m - 1, F.lit(0))), lambda x: x["df"] <= long_list)
     heavy = rows.filter(5 * F.col("n") >= 4 * (light_to + 1)).select(F.explode(F.transform(ones, lambda x: x["h"])).alias("sig"), "key", "n", "own", "light")
     pairs = _pairs(light, True).unionByName(_pairs(heavy, False)).distinct()
     # 5. Verification on the whole sets.
