@@ -29,6 +29,7 @@ never learned from; extra columns aren't read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -98,17 +99,29 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -700, 700)))
 
 
-def marked_features(docs: list[tuple[list[str], int]]) -> set[str]:
+def marked_features(docs: list[tuple[str, int]]) -> set[str]:
     """Features that toxic documents hold beyond chance."""
-    toxic, clean, n = Counter(), Counter(), [0, 0]
-    for words, label in docs:
-        n[label] += 1
-        (toxic if label else clean).update({f for w in set(words) for f in features(w)})
-    base = max(n[1], 1) / max(sum(n), 1)
+
+    def of(text: str) -> set[str]:
+        return {f for w in set(WORD.findall(text or "")) for f in features(w)}
+
+    toxic: Counter = Counter()
+    for text, label in docs:
+        if label:
+            toxic.update(of(text))
+    base = max(sum(label for _, label in docs), 1) / max(len(docs), 1)
     need = np.log(max(len(toxic), 2))
+    # What occurs too seldom to pass even if no clean document has it needs no count there.
+    toxic = {f: a for f, a in toxic.items() if -a * np.log(base) > need}
+    clean = dict.fromkeys(toxic, 0)
+    for text, label in docs:
+        if not label:
+            for f in of(text):
+                if f in clean:
+                    clean[f] += 1
     found = set()
     for f, a in toxic.items():
-        b = clean.get(f, 0)
+        b = clean[f]
         share = a / (a + b)
         if share < 0.9:
             continue
@@ -119,48 +132,50 @@ def marked_features(docs: list[tuple[list[str], int]]) -> set[str]:
     return found
 
 
-def fit(docs: list[tuple[str, int]], rounds: int = 80, penalty: float = 2e-6, window: int = 6, stretch: int = 60) -> Chain:
-    """The chain from labelled texts."""
-    labels = np.array([label for _, label in docs], dtype=float)
-    if len(docs) == 0 or labels.min() == labels.max():
-        share = float(labels.mean()) if len(docs) else 0.0
-        return Chain(score=(float(np.log((share + 1e-9) / (1 - share + 1e-9))), 0.0, 0.0))
-    split = [(WORD.findall(text or ""), label) for text, label in docs]
-    marked = marked_features(split)
+def training_chains(docs: list[tuple[str, int]], marked: set[str], window: int, stretch: int) -> list[tuple[list[str], np.ndarray]]:
+    """Stretches of words with token labels: around marked tokens, and one of each document without any."""
     hits = Memo(lambda w: any(f in marked for f in features(w)))
     rng = np.random.default_rng(7)
     chains: list[tuple[list[str], np.ndarray]] = []
-    for words, label in split:
-        y = np.array([hits[w] for w in words], dtype=float) if label else np.zeros(len(words))
-        at, end = np.flatnonzero(y), 0
-        for i in at:  # stretches around marked tokens, joined where they meet
-            a, b = max(end, int(i) - window), min(len(words), int(i) + window + 1)
+    for text, label in docs:
+        words = WORD.findall(text or "")
+        at, end = [i for i, w in enumerate(words) if hits[w]], 0
+        for i in at:  # joined where they meet; in clean documents they are what the chain must learn to pass
+            a, b = max(end, i - window), min(len(words), i + window + 1)
             if b > end:
-                chains.append((words[a:b], y[a:b]))
+                chains.append((words[a:b], np.array([float(label and hits[w]) for w in words[a:b]])))
                 end = b
-        if not len(at) and words:
+        if not at and words:
             a = int(rng.integers(0, max(1, len(words) - stretch)))
-            chains.append((words[a : a + stretch], y[a : a + stretch]))
-        if not label:  # words of clean documents that look marked are what the chain must learn to pass
-            for i, w in enumerate(words):
-                if hits[w]:
-                    a, b = max(0, i - window), min(len(words), i + window + 1)
-                    chains.append((words[a:b], np.zeros(b - a)))
+            chains.append((words[a : a + stretch], np.zeros(len(words[a : a + stretch]))))
+    return chains
+
+
+def fit(docs: list[tuple[str, int]], rounds: int = 80, penalty: float = 2e-6, window: int = 6, stretch: int = 60) -> Chain:
+    """The chain from labelled texts."""
+    labels = np.array([label for _, label in docs], dtype=float)
+    if len(docs) == 0 or labels.min() == labels.max():
+        share = float(labels.mean()) if len(docs) else 0.0
+        return Chain(score=(float(np.log((share + 1e-9) / (1 - share + 1e-9))), 0.0, 0.0))
+    chains = training_chains(docs, marked_features(docs), window, stretch)
     counts = Counter(f for words, _ in chains for w in words for f in features(w))
     known = {f: k for k, f in enumerate(f for f, c in counts.items() if c >= 3)}
-    ids = Memo(lambda w: [known[f] for f in features(w) if f in known], 1 << 22)
-    word_ids = Memo(lambda w: [known[f] for f in features(w)[:1] if f in known], 1 << 22)
+    del counts
+    ids = Memo(lambda w: [known[f] for f in features(w) if f in known], 100_000)
     m = len(known)
-    cols: list[int] = []
-    rows: list[int] = []
-    t = 0
+
+    def one(word: str) -> list[int]:
+        fs = features(word)[:1]
+        return [known[fs[0]]] if fs and fs[0] in known else []
+
+    cols, rows, t = array("i"), array("i"), 0
     for words, _ in chains:
         for i, w in enumerate(words):
-            own = ids[w] + ([m + k for k in word_ids[words[i - 1]]] if i else []) + ([2 * m + k for k in word_ids[words[i + 1]]] if i + 1 < len(words) else [])
-            cols += own
-            rows += [t] * len(own)
+            own = ids[w] + ([m + k for k in one(words[i - 1])] if i else []) + ([2 * m + k for k in one(words[i + 1])] if i + 1 < len(words) else [])
+            cols.extend(own)
+            rows.extend([t] * len(own))
             t += 1
-    row, col = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
+    row, col = np.frombuffer(rows, dtype=np.int32), np.frombuffer(cols, dtype=np.int32)
     y = np.concatenate([v for _, v in chains])
     sizes = np.array([len(v) for _, v in chains])
     ends = sizes.cumsum() - 1
@@ -287,7 +302,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int, id_col: str, label_c
     return [(r["__text"], int(r["__label"] > 0)) for r in sorted(rows, key=lambda r: (r["__id"], r["__text"] or ""))]
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, id_col: str = "doc_id") -> Chain:
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, id_col: str = "doc_id") -> Chain:
     return fit(labelled(docs, labels, most_labelled, id_col, "toxic", FOLDS, HELD_OUT))
 
 
