@@ -64,6 +64,22 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch of whole texts; a text may be long.
+BATCH_ROWS = 512
+
+
+def map_texts(rows: DataFrame, run, schema: str) -> DataFrame:
+    """rows.mapInArrow(run, schema) in small batches.
+
+    Batches of the default 10,000 rows of text take memory for several copies of
+    them in the JVM and in Python. The session's setting is lowered, not raised.
+    """
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return rows.mapInArrow(run, schema)
+
+
 def in_fold(id_column: Column, folds: int, fold: int) -> Column:
     """crc32 of the id as text, mod folds, equals fold; false for a null id."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, kept
+from .common import Memo, kept, map_texts
 from .components import components, forest
 
 WORDS = 5
@@ -114,7 +114,7 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, sample: float | None) -
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "key", "n", "shingles"])
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, n int, shingles array<long>")
+    return map_texts(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, n int, shingles array<long>")
 
 
 def _only(docs: DataFrame, ids: DataFrame, n: int, id_col: str, how: str = "left_semi") -> DataFrame:

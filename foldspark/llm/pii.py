@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, map_texts
 
 KINDS = ("email", "ip", "card", "phone", "national_id")
 BASE = 4
@@ -181,7 +181,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _ARROW)], names=[id_col, "__found"])
 
     rows = docs.select(id_col, docs[text_col].alias("__text"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, __found {CANDIDATE}")
+    return map_texts(rows, run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, __found {CANDIDATE}")
 
 
 def dawid_skene(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SPACES
+from .common import SPACES, map_texts
 
 # The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -99,7 +99,7 @@ def with_base_stats(docs: DataFrame, keep: list[str], text_col: str = "text") ->
 
     rows = docs.select(*keep, docs[text_col].alias("__text"))
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(run, ", ".join(kinds + [f"{n} long" for n in names]))
+    return map_texts(rows, run, ", ".join(kinds + [f"{n} long" for n in names]))
 
 
 def with_features(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -112,4 +112,4 @@ def with_features(docs: DataFrame, keep: list[str], text_col: str = "text") -> D
 
     rows = docs.select(*keep, docs[text_col].alias("__text"))
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(run, ", ".join([*kinds, "__x array<double>"]))
+    return map_texts(rows, run, ", ".join([*kinds, "__x array<double>"]))

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, words_of
+from .common import Memo, map_texts, words_of
 
 START = "▁"
 
@@ -124,4 +124,4 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
 
     rows = docs.select(id_col, docs[text_col].alias("__text"))
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_tokens long")
+    return map_texts(rows, run, f"`{id_col}` {kind}, n_words long, n_tokens long")

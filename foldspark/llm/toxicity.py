@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Memo, in_fold
+from .common import WORD, Memo, in_fold, map_texts
 
 FOLDS, HELD_OUT = 5, 0
 PREFIXES = (3, 4, 5, 6)
@@ -231,7 +231,7 @@ class Tagger:
         self.chain = chain
         self.table: list[tuple[float, float, float]] = [(0.0, 0.0, 0.0)]
         self.index = {self.table[0]: 0}
-        self.code = Memo(self._code)
+        self.code = Memo(self._code, 150_000)
         self.plain = Memo(lambda n: self._summed(np.full(n, chain.bias)), 20_000)
         self.array = np.zeros((1, 3))
 
@@ -329,7 +329,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, SPAN)], names=[id_col, "score", "predicted", "spans"])
 
     rows = docs.select(id_col, docs[text_col].alias("__text"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>")
+    return map_texts(rows, run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>")
 
 
 SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
@@ -345,4 +345,4 @@ def without_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> Data
         for batch in batches:
             yield batch.filter(pa.array([tagger.score(x.as_py()) < 0.5 for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
