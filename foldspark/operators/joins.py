@@ -11,18 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def window_reads(reads: DataFrame, size: int, count: int, step: float) -> DataFrame:
+def window_reads(reads: DataFrame, size, count, step) -> DataFrame:
     """(read, window_idx) of the windows that a read covers whole, idx clipped to the window and counted from its start.
 
-    Window i starts at floor(i * step + 0.5). The bounds are widened by one window and checked.
+    size, count and step are numbers or columns of reads. Window i starts at
+    floor(i * step + 0.5). The bounds are widened by one window and checked.
     """
-    last = F.lit(count - 1)
-    start = F.floor(F.col("window_idx") * F.lit(float(step)) + 0.5)
-    if step > 0:
-        low = F.greatest(F.lit(0).cast("long"), F.floor((F.col("begin") - 1) / F.lit(float(step))))
-        high = F.least(last.cast("long"), F.ceil((F.col("end") - size + 1) / F.lit(float(step))))
-    else:
-        low, high = F.lit(0).cast("long"), last.cast("long")
+    size, count, step = (x if isinstance(x, Column) else F.lit(x) for x in (size, count, step))
+    step = step.cast("double")
+    start = F.floor(F.col("window_idx") * step + 0.5)
+    last = (count - 1).cast("long")
+    low = F.when(step > 0, F.greatest(F.lit(0).cast("long"), F.floor((F.col("begin") - 1) / step))).otherwise(F.lit(0).cast("long"))
+    high = F.when(step > 0, F.least(last, F.ceil((F.col("end") - size + 1) / step))).otherwise(last)
     some = reads.withColumn("__low", low).withColumn("__high", high).filter("__low <= __high")
     each = some.withColumn("window_idx", F.explode(F.sequence("__low", "__high"))).withColumn("start", start)
     inside = each.filter((F.col("begin") <= F.col("start")) & (F.col("end") >= F.col("start") + size))

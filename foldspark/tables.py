@@ -1,9 +1,24 @@
-"""Reading the input tables by name, through Spark's readers only."""
+"""Reading the input tables by name, and tables of intermediate results."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the folder that all executors share (spark.checkpoint.dir) and read again.
+
+    Lineage ends there, so an executor that is lost costs no earlier stage; where
+    no folder is set, one below the warehouse is used.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
