@@ -522,3 +522,6 @@ def unfilter_weights(spark, d):
     full = _weights(spark)
     some = full.join(_kept(spark, d).select("transcript_id", "base"), ["transcript_id", "base"], "left_semi")
     return P.unfilter_weights(some, full.select("transcript_id", "base", "cluster"), T)
+
+
+from . import kernel_queries  # noqa: E402, F401 - registers its queries here
