@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_texts
+from .common import Memo, held, map_texts
 
 #: Unicode White_Space, which tiktoken's \s means; Python's own \s also takes U+001C to U+001F.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -204,7 +204,7 @@ class TextCoder:
     def __init__(self, path: str, pattern: str):
         self.coder = PrefixCoder(read_ranks(path))
         self.matches = compiled(pattern).findall
-        self.packed = Memo(lambda match: array("I", self.coder.encode_match(match.encode("utf-8", "surrogatepass"))).tobytes())
+        self.packed = Memo(lambda match: array("I", self.coder.encode_match(match.encode("utf-8", "surrogatepass"))).tobytes(), 300_000)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -216,14 +216,9 @@ class TextCoder:
         return self.coder.decode(ids)
 
 
-_loaded: dict[tuple[str, str], TextCoder] = {}
-
-
 def text_coder(path: str, pattern: str) -> TextCoder:
     """One for each worker and vocabulary."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = TextCoder(path, pattern)
-    return _loaded[path, pattern]
+    return held(("bpe", path, pattern), lambda: TextCoder(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

@@ -36,6 +36,21 @@ class Memo(dict):
         return value
 
 
+_held: dict = {}
+
+
+def held(key: tuple, build):
+    """What ``build`` makes, kept for this worker's next tasks.
+
+    Workers outlive stages, so one that keeps the tables and memos of every
+    operator it has served grows with each; only the last one's are kept.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, kept, map_texts
+from .common import Memo, held, kept, map_texts
 from .components import components, forest
 
 WORDS = 5
@@ -67,7 +67,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_word_hash = Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 500_000)
+def _word_hashes() -> Memo:
+    return held(("word hashes",), lambda: Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 250_000))
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -75,7 +76,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    each = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
+    each = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
     if len(words) < WORDS:
         total = np.array([len(words)], np.uint64)
         for i in range(len(words)):

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_texts, words_of
+from .common import Memo, held, map_texts, words_of
 
 START = "▁"
 
@@ -98,15 +98,14 @@ def pieces_of(model_file: str) -> list[str]:
     return [model.id_to_piece(i) for i in range(n) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i))]
 
 
-_loaded: dict[str, Memo] = {}
-
-
 def _counter(model_file: str) -> Memo:
     """Token counts of words, computed by the automaton; one for each worker."""
-    if model_file not in _loaded:
+
+    def build() -> Memo:
         automaton = LongestMatch(pieces_of(model_file))
-        _loaded[model_file] = Memo(lambda word: automaton.count(START + word.decode("utf-8", "surrogatepass")))
-    return _loaded[model_file]
+        return Memo(lambda word: automaton.count(START + word.decode("utf-8", "surrogatepass")), 300_000)
+
+    return held(("token counts", model_file), build)
 
 
 def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Memo, in_fold, map_texts
+from .common import WORD, Memo, held, in_fold, map_texts
 
 FOLDS, HELD_OUT = 5, 0
 PREFIXES = (3, 4, 5, 6)
@@ -306,14 +306,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, id_col:
     return fit(labelled(docs, labels, most_labelled, id_col, "toxic", FOLDS, HELD_OUT))
 
 
-_taggers: dict[int, Tagger] = {}
-
-
 def _tagger(key: int, chain: Chain) -> Tagger:
-    if key not in _taggers:
-        _taggers.clear()
-        _taggers[key] = Tagger(chain)
-    return _taggers[key]
+    return held(("toxicity", key), lambda: Tagger(chain))
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
