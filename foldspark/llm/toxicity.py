@@ -28,7 +28,6 @@ never learned from; extra columns aren't read.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -70,7 +69,8 @@ def passed(odds: np.ndarray, join, back: bool = False) -> np.ndarray:
     j00, j01, j10, j11 = join
     if back:
         j01, j10 = j10, j01
-    return np.logaddexp(j01, j11 + odds) - np.logaddexp(j00, j10 + odds)
+    grown = np.exp(np.clip(odds, -600.0, 600.0))
+    return np.log((np.exp(j01) + np.exp(j11) * grown) / (np.exp(j00) + np.exp(j10) * grown))
 
 
 def log_odds(own: np.ndarray, starts: np.ndarray, ends: np.ndarray, join, close: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,7 +206,7 @@ def fit(docs: list[tuple[str, int]], rounds: int = 80, penalty: float = 2e-6, wi
     parts = [{names[k]: float(v) for k, v in enumerate(w[i * m : (i + 1) * m]) if abs(v) > 1e-3} for i in range(3)]
     chain = Chain(float(bias), *parts, tuple(map(float, join)))
     tagger = Tagger(chain)
-    x = np.array([tagger.aggregates(text or "") for text, _ in docs])
+    x = np.concatenate([tagger.tagged([text for text, _ in docs[at : at + 256]])[0] for at in range(0, len(docs), 256)])
     chain.score = logistic(x, labels)
     return chain
 
@@ -225,14 +225,14 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 class Tagger:
-    """Applies a chain to texts."""
+    """Applies a chain to texts, many at a time."""
 
     def __init__(self, chain: Chain):
         self.chain = chain
         self.table: list[tuple[float, float, float]] = [(0.0, 0.0, 0.0)]
         self.index = {self.table[0]: 0}
         self.code = Memo(self._code, 150_000)
-        self.plain = Memo(lambda n: self._summed(np.full(n, chain.bias)), 20_000)
+        self.plain = Memo(self._plain, 20_000)
         self.array = np.zeros((1, 3))
 
     def _code(self, word: bytes) -> int:
@@ -244,45 +244,66 @@ class Tagger:
             self.table.append(values)
         return self.index[values]
 
-    def _odds(self, own: np.ndarray) -> np.ndarray:
-        if not len(own):
-            return own
-        return log_odds(own, np.array([0]), np.array([len(own) - 1]), self.chain.join)[0]
-
-    def _summed(self, own: np.ndarray) -> tuple[float, float]:
-        odds = self._odds(own)
-        return (float(odds.max()), float(np.log1p(sigmoid(odds).sum()))) if len(odds) else (self.chain.bias, 0.0)
-
-    def _own(self, words: list[bytes]) -> np.ndarray | None:
-        codes = np.fromiter(map(self.code.__getitem__, words), dtype=np.int64, count=len(words))
-        if not codes.any():
-            return None
+    def _plain(self, n: int) -> tuple[float, float]:
+        """The aggregates of n tokens without weight."""
+        if not n:
+            return self.chain.bias, 0.0
+        odds = log_odds(np.full(n, self.chain.bias), np.array([0]), np.array([n - 1]), self.chain.join)[0]
+        return float(odds.max()), float(np.log1p(sigmoid(odds).sum()))
+
+    def tagged(self, texts: list[str | None], least: float = 0.5) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
+        """Aggregates of each text, and its tokens (number, marginal) that are toxic.
+
+        The texts' chains are laid end to end, so their sweeps are one array operation.
+        """
+        codes, sizes = [], []
+        for text in texts:
+            words = text.encode("utf-8", "surrogatepass").split() if text else []
+            codes.append(np.fromiter(map(self.code.__getitem__, words), dtype=np.int64, count=len(words)))
+            sizes.append(len(words))
         if len(self.array) != len(self.table):
             self.array = np.array(self.table)
-        values = self.array[codes]
-        own = self.chain.bias + values[:, 0]
-        own[1:] += values[:-1, 1]
-        own[:-1] += values[1:, 2]
-        return own
-
-    def aggregates(self, text: str) -> tuple[float, float]:
-        words = text.encode("utf-8", "surrogatepass").split()
-        own = self._own(words)
-        return self.plain[len(words)] if own is None else self._summed(own)
+        sums, marked = np.zeros((len(texts), 2)), [[] for _ in texts]
+        some = [i for i, c in enumerate(codes) if c.any()]
+        for i in range(len(texts)):
+            if not codes[i].any():
+                sums[i] = self.plain[sizes[i]]
+        if some:
+            ends = np.cumsum([sizes[i] for i in some]) - 1
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            values = self.array[np.concatenate([codes[i] for i in some])]
+            own = self.chain.bias + values[:, 0]
+            inner = np.ones(len(own), dtype=bool)
+            inner[starts] = False
+            own[1:] += values[:-1, 1] * inner[1:]
+            own[:-1] += values[1:, 2] * inner[1:]
+            odds = log_odds(own, starts, ends, self.chain.join)[0]
+            p = sigmoid(odds)
+            sums[some, 0] = np.maximum.reduceat(odds, starts)
+            sums[some, 1] = np.log1p(np.add.reduceat(p, starts))
+            at = np.flatnonzero(p >= least)
+            for k, which in zip(at, np.searchsorted(ends, at), strict=True):
+                marked[some[which]].append((int(k - starts[which]), float(p[k])))
+        return sums, marked
+
+    def scores_of(self, sums: np.ndarray) -> np.ndarray:
+        a, b, c = self.chain.score
+        return sigmoid(a + b * sums[:, 0] + c * sums[:, 1])
 
     def score(self, text: str | None) -> float:
-        a, b, c = self.chain.score
-        top, sums = self.aggregates(text or "")
-        return float(sigmoid(a + b * top + c * sums))
+        return float(self.scores_of(self.tagged([text])[0])[0])
 
     def spans(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
         """Code point offsets and marginals of the tokens tagged toxic."""
-        text = text or ""
-        own = self._own(text.encode("utf-8", "surrogatepass").split())
-        if own is None:
-            return []
-        p = sigmoid(self._odds(own))
-        return [(m.start(), m.end(), float(x)) for m, x in zip(re.finditer(WORD, text), p, strict=True) if x >= least]
+        return placed(text, self.tagged([text], least)[1][0])
+
+
+def placed(text: str | None, tokens: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
+    """Tokens by number as code point offsets."""
+    if not tokens:
+        return []
+    marginal = dict(tokens)
+    return [(m.start(), m.end(), marginal[i]) for i, m in enumerate(WORD.finditer(text)) if i in marginal]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int, id_col: str, label_col: str, folds: int, fold: int) -> list[tuple[str, int]]:
@@ -318,9 +339,10 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
         tagger = _tagger(key, chain)
         for batch in batches:
             texts = [x.as_py() for x in batch.column(1)]
-            scores = [tagger.score(x) for x in texts]
-            spans = [[{"start": a, "end": b, "marginal": p} for a, b, p in tagger.spans(x)] for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, SPAN)], names=[id_col, "score", "predicted", "spans"])
+            sums, marked = tagger.tagged(texts)
+            scores = tagger.scores_of(sums)
+            spans = [[{"start": a, "end": b, "marginal": p} for a, b, p in placed(x, m)] for x, m in zip(texts, marked, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, SPAN)], names=[id_col, "score", "predicted", "spans"])
 
     rows = docs.select(id_col, docs[text_col].alias("__text"))
     return map_texts(rows, run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>")
@@ -337,6 +359,7 @@ def without_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _tagger(key, chain)
         for batch in batches:
-            yield batch.filter(pa.array([tagger.score(x.as_py()) < 0.5 for x in batch.column(at)], pa.bool_()))
+            sums, _ = tagger.tagged([x.as_py() for x in batch.column(at)])
+            yield batch.filter(pa.array(tagger.scores_of(sums) < 0.5))
 
     return map_texts(docs, run, docs.schema)
