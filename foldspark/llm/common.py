@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,28 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cached(df: DataFrame) -> DataFrame:
+    """df stored on the executors' disks as it is first computed, with its lineage.
+
+    For what several later passes of one plan read: what a lost executor held is
+    computed again from the inputs. Rounds that would make lineage long use kept().
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def compact(df: DataFrame, rows_per_file: int = 100_000) -> DataFrame:
+    """kept(), in as many files as its rows need: for tables much smaller than what they are made from.
+
+    Also keeps plans short: cached tables inside cached plans are spelled out at every use.
+    """
+    spark = df.sparkSession
+    once = cached(df)
+    path = shared_dir(spark)
+    once.coalesce(max(1, -(-once.count() // rows_per_file))).write.parquet(path)
+    once.unpersist()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Rows of one Arrow batch of whole texts; a text may be long.
 BATCH_ROWS = 512
 

@@ -6,6 +6,7 @@ node's smallest neighbour is an aggregate with partial sums on the map side and
 is joined back, a join whose skew adaptive execution splits. Before the first
 step each partition replaces its links by a spanning forest. Rounds are written
 to the shared folder, so lineage stays short and lost executors don't matter.
+Where at most ONE_TASK links are left after that, one task finds the components.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import compact, kept
+
+#: Links (16 bytes each) that one task may hold.
+ONE_TASK = 1_000_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,24 +44,40 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _local(links: DataFrame) -> DataFrame:
+def _forests(links: DataFrame, whole: bool = False) -> DataFrame:
+    """A forest for each batch of links, or for each partition."""
+
+    def one(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([t.column(i).to_numpy(zero_copy_only=False) for t in tables]) for i in (0, 1))
+        u, v = forest(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                u, v = forest(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        if whole:
+            tables = [t for t in batches if t.num_rows]
+            if tables:
+                yield one(tables)
+        else:
+            for t in batches:
+                if t.num_rows:
+                    yield one([t])
 
     return links.mapInArrow(run, "u long, v long")
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def _named(stars: DataFrame) -> DataFrame:
+    named = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return named.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def components(links: DataFrame, most_rounds: int = 40, one_task: int = ONE_TASK) -> DataFrame:
     """node and component (its smallest node) of every node that a link (two long columns) names."""
     a, b = links.columns
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v")
-    edges = kept(_local(edges).distinct())
+    edges = compact(_forests(edges).distinct())
+    if edges.count() <= one_task:
+        return _named(compact(_forests(edges.coalesce(1), whole=True)))
     before = None
-    if not edges.limit(1).count():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(most_rounds):
         # Large star: every larger neighbour of a node is linked to the node's smallest one.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -73,5 +93,4 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         before = state
     else:
         raise RuntimeError("links didn't settle")
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return _named(edges)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import cached
 
 PART = 64.0
 SALTS = 64
@@ -51,7 +51,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, exponent: float, to
     else:
         table = docs.sparkSession.createDataFrame([(str(k), float(v)) for k, v in weights.items()] or [("", 0.0)], "__source string, w double")
         weighed = counts.join(table, "__source", "left").withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(0.0))
-    weighed = kept(weighed)
+    weighed = cached(weighed)
     sums = weighed.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()
     out = float(sums["n"] if total is None else total)
     rate = F.lit(out) * F.col("w") / F.lit(sums["w"]) / F.col("n") if sums["w"] > 0 else F.lit(0.0)

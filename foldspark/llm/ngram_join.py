@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, held, kept, map_texts
+from .common import Memo, cached, compact, held, map_texts
 from .components import components, forest
 
 WORDS = 5
@@ -200,23 +200,23 @@ def boundary(costs: list[tuple[int, float, float]]) -> int:
 
 def classes_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: float = SAMPLE, long_list: int = LONG_LIST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, n of every row; links a, b between keys of different sets)."""
-    sketch = kept(_hashed(docs, id_col, text_col, sample))
+    sketch = cached(_hashed(docs, id_col, text_col, sample))
     named = sketch.filter("doc_id is not null and n > 0")
     # 1. Elimination.
     owned = named.select(F.explode("shingles").alias("h"), "key").groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("last")).filter("key = last").groupBy("key").agg(F.count(F.lit(1)).alias("own"))
     classes = named.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     left = classes.join(owned, "key", "left").filter(F.coalesce("own", F.lit(0)) <= F.col("n") - needed(F.col("n")))
-    left = kept(left.select("key", "doc_id", "n"))
+    left = compact(left.select("key", "doc_id", "n"))
     count = left.count()
     texts = _only(docs.select(docs[id_col], docs[text_col]).filter(docs[id_col].isNotNull()), left, count, id_col)
-    sets = kept(_hashed(texts, id_col, text_col, None).filter("n > 0").select("key", "n", "shingles").dropDuplicates(["key"]))
+    sets = cached(_hashed(texts, id_col, text_col, None).filter("n > 0").select("key", "n", "shingles").dropDuplicates(["key"]))
     # 2. Frequencies, and the first shingles of each class.
     each = sets.select(F.explode("shingles").alias("h"), "key", "n")
     often = each.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df")).filter("df > 1")
     counted = each.join(often.hint("shuffle_hash"), "h")
     ordered = counted.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
     room = F.col("n") - needed(F.col("n")) + 2 - F.col("own")
-    first = kept(ordered.withColumn("own", F.col("n") - F.size("shared")).filter(room > 1).select("key", "n", "own", F.slice("shared", F.lit(1), room.cast("int")).alias("first")))
+    first = compact(ordered.withColumn("own", F.col("n") - F.size("shared")).filter(room > 1).select("key", "n", "own", F.slice("shared", F.lit(1), room.cast("int")).alias("first")))
     # 3. The boundary between light and heavy.
     m = F.size("first")
     cold = F.filter("first", lambda x: x["df"] <= long_list)
@@ -239,10 +239,10 @@ def classes_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common = F.size(F.array_intersect("s_a", "s_b"))
     checked = pairs.join(one, "a").join(two, "b").filter(100 * common >= 80 * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
     # 4. Long lists.
-    hot = kept(rows.select(F.explode(F.filter("first", lambda x: x["df"] > long_list)).alias("x"), "key", "n").select(F.col("x.h").alias("sig"), "key", "n"))
-    links = kept(checked)
+    hot = compact(rows.select(F.explode(F.filter("first", lambda x: x["df"] > long_list)).alias("x"), "key", "n").select(F.col("x.h").alias("sig"), "key", "n"))
+    links = compact(checked)
     if hot.limit(1).count():
-        links = links.unionByName(kept(_grouped(hot, sets, block)))
+        links = links.unionByName(compact(_grouped(hot, sets, block)))
     return sketch.select("doc_id", "key", "n"), links
 
 
@@ -266,5 +266,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null ids stay; rows that repeat an id stay together if one of them is to stay.
     """
     own = join(docs, id_col, text_col).filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id"))
-    gone = kept(own.agg(F.max(F.col(id_col) == F.col("component_id")).alias("stays")).filter("not stays").select("doc_id"))
+    gone = compact(own.agg(F.max(F.col(id_col) == F.col("component_id")).alias("stays")).filter("not stays").select("doc_id"))
     return _only(docs, gone, gone.count(), id_col, "left_anti").select(*docs.columns)

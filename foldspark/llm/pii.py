@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, map_texts
+from .common import cached, map_texts
 
 KINDS = ("email", "ip", "card", "phone", "national_id")
 BASE = 4
@@ -269,7 +269,7 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Extract, train and judge; texts are read once."""
-    found = kept(extract(docs, id_col, text_col))
+    found = cached(extract(docs, id_col, text_col))
     return judge(found, train(found), id_col)
 
 

@@ -33,7 +33,7 @@ from math import exp, lgamma, log
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import cached
 from .text_stats import with_base_stats
 
 
@@ -122,7 +122,7 @@ def thresholds(stats: DataFrame, labels: DataFrame, risk: float, delta: float, m
 def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, stratum_col: str = "lang", id_col: str = "doc_id", most_strata: int = 1000) -> DataFrame:
     """id, n_words, the base statistics, base_failed, kept, and why: the rules that reject."""
     rows = docs.withColumn("__stratum", docs[stratum_col].cast("string"))
-    stats = kept(with_base_stats(rows, [id_col, "__stratum"]))
+    stats = cached(with_base_stats(rows, [id_col, "__stratum"]))
     found = thresholds(stats, labels, risk, delta, most_strata, id_col)
     table = docs.sparkSession.createDataFrame(found or [Row(__stratum="", cuts=[0] * len(RULES))], "__stratum string, __cuts array<int>")
     judged = stats.withColumn("__s", F.coalesce("__stratum", F.lit("\0"))).join(F.broadcast(table.select(F.coalesce("__stratum", F.lit("\0")).alias("__s"), "__cuts")), "__s", "left")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, kept
+from .common import cached, in_fold
 from .text_stats import FEATURES, with_features
 
 FOLDS, HELD_OUT = 3, 1
@@ -126,7 +126,7 @@ def train(features: DataFrame, labels: DataFrame, size: int = 160, width: float
     model = Model(mean, sd, frequency, rng.uniform(0, 2 * np.pi, size), np.zeros(size + 1), np.zeros(0), np.zeros(0))
     known = labels.select(F.col(id_col).alias("__id"), F.col("quality").cast("int").alias("__y")).dropna().filter(~in_fold(F.col("__id"), FOLDS, HELD_OUT))
     known = known.groupBy("__id").agg((F.max("__y") > 0).cast("int").alias("__y"))
-    rows = kept(features.select(F.col(id_col).alias("__id"), "__x").join(known, "__id").withColumn("__part", F.pmod(F.xxhash64(F.lit("calibrate"), "__id"), F.lit(4))))
+    rows = cached(features.select(F.col(id_col).alias("__id"), "__x").join(known, "__id").withColumn("__part", F.pmod(F.xxhash64(F.lit("calibrate"), "__id"), F.lit(4))))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("__y"), F.lit(0.5)).alias("share")).first()
     model.constant = float(total["share"])
     if not total["n"] or model.constant in (0.0, 1.0):
@@ -147,7 +147,7 @@ def train(features: DataFrame, labels: DataFrame, size: int = 160, width: float
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score and predicted of every row. Texts are read once."""
-    features = kept(with_features(docs, [id_col], text_col))
+    features = cached(with_features(docs, [id_col], text_col))
     model = train(features, labels, id_col=id_col)
     scored = score_rows(features, model, [id_col])
     held_out = in_fold(F.col(id_col), FOLDS, HELD_OUT).alias("held_out")

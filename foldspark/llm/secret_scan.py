@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import cached
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,7 @@ def redacted(docs: DataFrame, mask: str = "[secret]", text_col: str = "text") ->
 
     Texts without a finding stay as they are, null texts stay null.
     """
-    ledger = kept(scan(docs, text_col=text_col)).filter(F.size("spans") > 0)
+    ledger = cached(scan(docs, text_col=text_col)).filter(F.size("spans") > 0)
     left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), blobs_of(docs, text_col).alias("blob"))
     text = F.col("__row")[text_col]
 

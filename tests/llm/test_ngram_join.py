@@ -101,7 +101,9 @@ def test_components_of_paths_and_stars(spark):
     rng = np.random.default_rng(4)
     pairs = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000 + int(a), 5000 + int(b)) for a, b in rng.integers(0, 400, (250, 2))]
     rng.shuffle(pairs)
-    got = {r.node: r.component for r in components(spark.createDataFrame([tuple(map(int, p)) for p in pairs], "a long, b long").repartition(7)).collect()}
+    links = spark.createDataFrame([tuple(map(int, p)) for p in pairs], "a long, b long").repartition(7)
+    got = {r.node: r.component for r in components(links).collect()}
+    assert got == {r.node: r.component for r in components(links, one_task=0).collect()}
     u, v = forest(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
     want = {int(a): int(b) for a, b in zip(u, v)}
     want |= {b: b for b in want.values()}
