@@ -231,13 +231,17 @@ class Tagger:
         self.chain = chain
         self.table: list[tuple[float, float, float]] = [(0.0, 0.0, 0.0)]
         self.index = {self.table[0]: 0}
-        self.code = Memo(self._code, 150_000)
+        self.code = Memo(self._code, 300_000)
+        #: The first characters of all weighed features: other words weigh nothing.
+        self.heads = {f[2:5] for part in (chain.weights, chain.before, chain.after) for f in part}
         self.plain = Memo(self._plain, 20_000)
         self.array = np.zeros((1, 3))
 
     def _code(self, word: bytes) -> int:
-        fs = features(word.decode("utf-8", "surrogatepass"))
-        chain = self.chain
+        text, chain = word.decode("utf-8", "surrogatepass"), self.chain
+        if text.lower().strip(EDGE)[:3] not in self.heads:
+            return 0
+        fs = features(text)
         values = (sum(chain.weights.get(f, 0.0) for f in fs), chain.before.get(fs[0], 0.0) if fs else 0.0, chain.after.get(fs[0], 0.0) if fs else 0.0)
         if values not in self.index:  # as many as there are sums of weights, not words
             self.index[values] = len(self.table)
