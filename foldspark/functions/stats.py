@@ -70,7 +70,7 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, point_id: str, vec
     """Each point's nearest centroid by squared distance; the smaller number wins ties. centroids: number, centre; a few rows."""
     table = centroids.agg(F.sort_array(F.collect_list(F.struct("number", "centre"))).alias("__c"))
     one = table.first()["__c"]
-    lit = F.array(*[F.struct(F.lit(c["number"]).alias("number"), F.array(*[F.lit(float(x)) for x in c["centre"]]).alias("centre")) for c in one])
+    lit = F.array(*[F.struct(F.lit(int(c["number"])).cast("long").alias("number"), F.array(*[F.lit(float(x)) for x in c["centre"]]).alias("centre")) for c in one])
     distance = F.transform(lit, lambda c: F.struct(F.aggregate(F.zip_with(c["centre"], F.col(vector), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), c["number"].alias("number")))
     return points.select(point_id, F.array_min(distance).alias("m")).select(point_id, F.col("m.number").alias("number"), F.col("m.d").alias("distance"))
 

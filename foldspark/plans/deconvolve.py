@@ -180,14 +180,35 @@ def merged_regions(labels: DataFrame, weights: DataFrame, win_reads: DataFrame,
 def assigned_reads(reads: DataFrame, found: DataFrame, grid: DataFrame, p: Params) -> DataFrame:
     """Unique reads of each region with their clusters; reads shorter than a window don't count."""
     keys = [*R, "region_idx"]
+    each = found.select(*keys, F.posexplode("w").alias("base", "ws")).select(*keys, "base", F.posexplode("ws").alias("cluster", "weight")).withColumn("weight", F.col("weight").cast("double"))
+    return A.assign(A.unique_reads(inside_regions(reads, found, grid, p), keys), each, keys, p.skip_ambiguous_assignments)
+
+
+def inside_regions(reads: DataFrame, found: DataFrame, grid: DataFrame, p: Params) -> DataFrame:
+    """Reads, one row for each region they have enough mutations in; idx counts from the region's start."""
     long_reads = reads.join(grid.select("transcript_id", "size", "sequence"), "transcript_id").filter(F.col("end") - F.col("begin") >= F.col("size"))
     if not p.shape:
         long_reads = long_reads.withColumn("idx", F.filter("idx", lambda i: F.upper(F.substring("sequence", i.cast("int") + 1, F.lit(1))).isin("A", "C")))
-    spans = found.filter("n_clusters > 0").select(*keys, "start", F.col("end").alias("stop"))
+    spans = found.filter("n_clusters > 0").select(*R, "region_idx", "start", F.col("end").alias("stop"))
     inside = J.region_reads(long_reads.drop("size", "sequence"), spans, R, p.min_read_mutations)
-    each = found.select(*keys, F.posexplode("w").alias("base", "ws")).select(*keys, "base", F.posexplode("ws").alias("cluster", "weight")).withColumn("weight", F.col("weight").cast("double"))
-    unique = A.unique_reads(inside.withColumn("idx", F.transform("idx", lambda i: i.cast("int"))), keys)
-    return A.assign(unique, each, keys, p.skip_ambiguous_assignments)
+    return inside.withColumn("idx", F.transform("idx", lambda i: i.cast("int")))
+
+
+def dump_assignments(reads: DataFrame, found: DataFrame, grid: DataFrame, p: Params, path: str) -> None:
+    """Each cluster's reads as a transcript of its own, ``<id>_<start>-<end>_c<cluster>``: mutation maps by replicate."""
+    from ..sources.mm import write_mm
+
+    keys = [*R, "region_idx"]
+    placed = A.read_clusters(inside_regions(reads, found, grid, p), assigned_reads(reads, found, grid, p), keys, p.seed).filter("cluster is not null")
+    spans = found.join(grid.select("transcript_id", "sequence"), "transcript_id")
+    name = F.format_string("%s_%d-%d_c%d", "transcript_id", "start", "end", "cluster")
+    whole = reads.select(*R, "read_id", "begin", "end", "idx")
+    rows = placed.select(*keys, "read_id", "cluster").join(whole, [*R, "read_id"]).join(spans.select(*keys, "start", F.col("end").alias("stop"), "sequence"), keys)
+    named = rows.withColumn("transcript_id", F.format_string("%s_%d-%d_c%d", "transcript_id", "start", "stop", "cluster"))
+    every = spans.withColumn("cluster", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_clusters") - 1, F.lit(0))))).filter("n_clusters > 0")
+    for replicate in sorted(r["replicate"] for r in found.select("replicate").distinct().collect()):
+        heads = every.filter(F.col("replicate") == replicate).select(name.alias("transcript_id"), "sequence")
+        write_mm(named.filter(F.col("replicate") == replicate).select("transcript_id", "read_id", "begin", "end", "idx"), heads, f"{path}/replicate={replicate}")
 
 
 def fractions_of(assigned: DataFrame, found: DataFrame) -> DataFrame:

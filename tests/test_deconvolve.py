@@ -97,3 +97,18 @@ def test_streaming_and_dumps(spark, tables, tmp_path):
     D.write_raw_n_clusters(detected, grid, f"{tmp_path}/raw")
     D.write_eigengaps(detected, f"{tmp_path}/gaps")
     assert spark.read.parquet(f"{tmp_path}/gaps").filter(F.size("null_gaps") > 0).count() > 0
+
+
+def test_assignments_are_dumped_by_cluster(spark, tables, tmp_path):
+    reads, heads = tables
+    two = reads.filter("transcript_id = 'two' and replicate = 0").drop("conformation")
+    grid = D.grids(two, heads.filter("transcript_id = 'two'"), P)
+    w = [[float(i < 20), float(i >= 20)] for i in range(LENGTH)]
+    found = spark.createDataFrame([(0, "two", 0, 0, LENGTH, 2, 0, 1, w, [1] * LENGTH)], D.REGIONS)
+    D.dump_assignments(two, found, grid, P, str(tmp_path / "dump"))
+    files = [str(f) for f in (tmp_path / "dump").rglob("*.mm")]
+    transcripts, dumped = mm.read_mm(spark, files)
+    names = {r.transcript_id: r.n_reads for r in transcripts.collect()}
+    assert set(names) == {f"two_0-{LENGTH}_c0", f"two_0-{LENGTH}_c1"} and min(names.values()) > 0
+    got = {r.transcript_id: r.m for r in dumped.groupBy("transcript_id").agg(F.max(F.array_max("idx")).alias("m")).collect()}
+    assert got[f"two_0-{LENGTH}_c0"] < 20
