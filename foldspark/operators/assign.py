@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .coverage import along, step
 from .joins import cluster_scores
 
 
@@ -53,11 +54,9 @@ def cluster_patterns(assigned: DataFrame, keys: list[str]) -> DataFrame:
 
 def cluster_coverage(assigned: DataFrame, keys: list[str], length: int) -> DataFrame:
     """Assigned reads that cover each base of each cluster."""
-    ends = F.array(F.struct(F.col("begin").alias("base"), F.col("assigned").alias("n")), F.struct(F.col("end").alias("base"), (-F.col("assigned")).alias("n")))
-    steps = assigned.select(*keys, "cluster", F.explode(ends).alias("s")).groupBy(*keys, "cluster", "s.base").agg(F.sum("s.n").alias("n"))
-    grid = steps.select(*keys, "cluster").distinct().withColumn("base", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))))
-    along = Window.partitionBy(*keys, "cluster").orderBy("base").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(steps, [*keys, "cluster", "base"], "left").select(*keys, "cluster", "base", F.sum(F.coalesce("n", F.lit(0))).over(along).alias("coverage"))
+    ends = F.array(step(F.col("begin"), F.col("assigned"), 0), step(F.col("end"), -F.col("assigned"), 0))
+    steps = assigned.select(*keys, "cluster", F.explode(ends).alias("s")).select(*keys, "cluster", "s.*")
+    return along(steps, [*keys, "cluster"], length).drop("mutations")
 
 
 def region_reads_once(window_reads: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,18 +6,38 @@ so a transcript that holds a third of all reads moves no more than others.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def along(steps: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """base, coverage and mutations of every base, from steps (base, step, marks) summed by base.
+
+    Coverage only changes where a step is, so each step is spread up to the next
+    one: no grid of bases is joined, and reads are aggregated once.
+    """
+    summed = steps.groupBy(*keys, "base").agg(F.sum("step").alias("step"), F.sum("marks").alias("marks"))
+    order = Window.partitionBy(*keys).orderBy("base")
+    placed = (
+        summed.withColumn("now", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("next", F.least(F.coalesce(F.lead("base").over(order), F.lit(length)), F.lit(length)).cast("long"))
+        .withColumn("from", F.when(F.row_number().over(order) == 1, F.lit(0)).otherwise(F.col("base")).cast("long"))
+    )
+    each = placed.filter("from < next").withColumn("at", F.explode(F.sequence("from", F.col("next") - 1)))
+    here = F.col("at") == F.col("base")
+    return each.select(*keys, F.col("at").alias("base"), F.when(F.col("at") < F.col("base"), 0).otherwise(F.col("now")).cast("long").alias("coverage"), F.when(here, F.col("marks")).otherwise(0).cast("long").alias("mutations"))
+
+
+def step(base: Column, by, marks: int) -> Column:
+    """A change of coverage at a base, and marks on it."""
+    return F.struct(base.cast("long").alias("base"), F.lit(by).cast("long").alias("step"), F.lit(marks).alias("marks"))
+
+
 def base_coverage(reads: DataFrame, keys: list[str], length: int) -> DataFrame:
     """Reads that cover each base: +1 where a read begins, -1 where it ends, summed along the transcript."""
-    steps = reads.select(*keys, F.explode(F.array(F.struct(F.col("begin").alias("base"), F.lit(1).alias("step")), F.struct(F.col("end").alias("base"), F.lit(-1).alias("step")))).alias("s"))
-    summed = steps.groupBy(*keys, "s.base").agg(F.sum("s.step").alias("step"))
-    grid = summed.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))).alias("base"))
-    along = Window.partitionBy(*keys).orderBy("base").rowsBetween(Window.unboundedPreceding, 0)
-    joined = grid.join(summed, [*keys, "base"], "left")
-    return joined.select(*keys, "base", F.sum(F.coalesce("step", F.lit(0))).over(along).alias("coverage"))
+    ends = F.array(step(F.col("begin"), 1, 0), step(F.col("end"), -1, 0))
+    steps = reads.select(*keys, F.explode(ends).alias("s")).select(*keys, "s.*")
+    return along(steps, keys, length).drop("mutations")
 
 
 def base_mutations(mutations: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,10 +45,11 @@ def base_mutations(mutations: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def base_stats(reads: DataFrame, keys: list[str], length: int) -> DataFrame:
-    """coverage and mutations of every base."""
-    mutated = base_mutations(reads.select(*keys, F.explode("idx").alias("base")), keys)
-    covered = base_coverage(reads, keys, length)
-    return covered.join(mutated, [*keys, "base"], "left").select(*keys, "base", "coverage", F.coalesce("mutations", F.lit(0).cast("long")).alias("mutations"))
+    """coverage and mutations of every base, in one pass over the reads."""
+    ends = F.array(step(F.col("begin"), 1, 0), step(F.col("end"), -1, 0))
+    marks = F.transform("idx", lambda i: step(i, 0, 1))
+    steps = reads.select(*keys, F.explode(F.concat(ends, marks)).alias("s")).select(*keys, "s.*")
+    return along(steps, keys, length)
 
 
 def base_weights(coverage: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def adjacency_clip(matrix: DataFrame, keys: list[str], most: float) -> DataFrame:
     """Cells i < j (upper triangle) with n set to 0 where it exceeds ``most`` times the mutations of base i."""
-    diagonal = matrix.filter("i = j").select(*keys, "i", F.col("n").alias("own"))
-    pairs = matrix.filter("i < j").join(diagonal, [*keys, "i"], "left")
-    return pairs.select(*keys, "i", "j", F.when(F.col("n") > most * F.coalesce("own", F.lit(0)), F.lit(0).cast("long")).otherwise(F.col("n")).alias("n"))
+    # A base's own count stands in the same rows of the triangle: a window, not a join with the diagonal.
+    own = F.max(F.when(F.col("i") == F.col("j"), F.col("n"))).over(Window.partitionBy(*keys, "i"))
+    pairs = matrix.withColumn("own", F.coalesce(own, F.lit(0))).filter("i < j")
+    return pairs.select(*keys, "i", "j", F.when(F.col("n") > most * F.col("own"), F.lit(0).cast("long")).otherwise(F.col("n")).alias("n"))
 
 
 def degree(pairs: DataFrame, keys: list[str], value: str = "n") -> DataFrame:
