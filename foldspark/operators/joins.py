@@ -62,13 +62,14 @@ def intersection_count(a: Column, b: Column) -> Column:
 def cluster_scores(reads: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """Score of each read with each cluster: the sum of the cluster's weights at its mutated bases.
 
-    The weights of a key come as one array of [cluster][base], so reads aren't multiplied by bases.
+    The weights of a key come as dense arrays, one a cluster, made once a key:
+    reads aren't multiplied by bases, and a weight is found by its place.
     """
-    rows = weights.groupBy(*keys, "cluster").agg(F.map_from_entries(F.collect_list(F.struct("base", "weight"))).alias("w"))
-    table = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster", F.map_entries("w").alias("e")))).alias("__w"))
+    rows = weights.groupBy(*keys, "cluster").agg(F.map_from_entries(F.collect_list(F.struct(F.col("base").cast("int").alias("b"), F.col("weight").alias("v")))).alias("w"), F.max(F.col("base").cast("int")).alias("last"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("last")), lambda b: F.coalesce(F.element_at("w", b), F.lit(0.0)))
+    table = rows.withColumn("w", dense).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster", "w"))).alias("__w"))
     each = reads.join(table, keys).select(reads["*"], F.explode("__w").alias("c"))
-    found = F.map_from_entries(F.col("c.e"))
-    score = F.aggregate("idx", F.lit(0.0), lambda s, i: s + F.coalesce(F.element_at(found, i), F.lit(0.0)))
+    score = F.aggregate("idx", F.lit(0.0), lambda s, i: s + F.coalesce(F.get(F.col("c.w"), i.cast("int")), F.lit(0.0)))
     return each.select(reads["*"], F.col("c.cluster").alias("cluster"), score.alias("score"))
 
 
