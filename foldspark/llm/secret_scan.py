@@ -105,10 +105,12 @@ def findings(history: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text
     """id, blob and spans of every row of history, from a ledger that covers it.
 
     Narrow rows only: texts don't take part. A blob that a third of all rows
-    share makes a skewed key, which adaptive execution splits.
+    share makes a skewed key. Adaptive execution splits such a key where both
+    sides of the join come straight from a shuffle, so the findings are computed
+    first and not aggregated within the join.
     """
     paths = history.select(F.col(id_col), blobs_of(history, text_col).alias("blob"))
-    found = ledger.filter(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    found = cached(ledger.filter(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
     return paths.join(found, "blob", "left").select(id_col, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
