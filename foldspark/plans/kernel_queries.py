@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +15,7 @@ from ..kernels import distributions, graph_cut, merge, regions, smoothing, spect
 from ..operators import joins as J
 from ..params import Params
 from ..sources import mm, text
-from ..tables import table
+from ..tables import shared_dir, table
 from . import deconvolve as P
 from .catalog import GRID, RUNS, SIZE, UNIQUE, _joined, query, rounded
 
@@ -25,8 +23,7 @@ KEYS = ["transcript_id", "replicate"]
 
 
 def folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = shared_dir(spark)
     return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path
 
 

@@ -11,14 +11,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name below the one that all executors share.
+
+    A cluster names that in spark.checkpoint.dir; where it is unset (tests, one
+    machine) a folder below the warehouse is used.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share (spark.checkpoint.dir) and read again.
+    """df cut from its lineage: written once to the shared folder and read again.
 
-    Lineage ends there, so an executor that is lost costs no earlier stage; where
-    no folder is set, one below the warehouse is used.
+    Lost executors don't matter to what was written, and later passes don't
+    compute it anew.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
