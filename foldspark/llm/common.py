@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import kept, shared_dir
+
+__all__ = ["Memo", "SPACES", "WORD", "cached", "compact", "held", "in_fold", "kept", "map_texts", "shared_dir", "words_of"]
+
 #: White space of the contracts: 0x20 and 0x09-0x0D. bytes.split() splits at exactly these.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = re.compile(f"[^{SPACES}]+")
@@ -56,30 +59,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the shared one that the session names.
-
-    A cluster names it in spark.checkpoint.dir; where it is unset (tests, one
-    machine) a folder below the warehouse is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df cut from its lineage: written once to the shared folder and read again.
-
-    Lost executors don't matter to what was written, and later passes don't
-    compute it anew.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def cached(df: DataFrame) -> DataFrame:
     """df stored on the executors' disks as it is first computed, with its lineage.
 
