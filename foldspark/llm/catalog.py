@@ -92,3 +92,6 @@ ORACLE["op3_exact_top_k"] = topk.duckdb_sql()
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
+
+
+ORACLE["op6_ngram_jaccard_join"] = ngram_join.duckdb_sql()

@@ -268,3 +268,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = join(docs, id_col, text_col).filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id"))
     gone = compact(own.agg(F.max(F.col(id_col) == F.col("component_id")).alias("stays")).filter("not stays").select("doc_id"))
     return _only(docs, gone, gone.count(), id_col, "left_anti").select(*docs.columns)
+
+
+def duckdb_sql() -> str:
+    """join() over the table documents, without null or repeated ids, for DuckDB: all pairs that share a shingle."""
+    return r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+        else list_distinct([array_to_string(ws[i:i+4], ' ') for i in generate_series(1, len(ws) - 4)]) end as sh from w),
+x as (select doc_id, len(sh) as n, unnest(sh) as h from s),
+p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from x a join x b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p where 100 * c >= 80 * (na + nb - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on r.b = e.a),
+k as (select a as doc_id, min(b) as component_id from r group by 1),
+c as (select doc_id, case when len(sh) = 0 then 1 else count(*) over (partition by md5(array_to_string(list_sort(sh), chr(10)))) end as copies from s)
+select doc_id, cast(len(sh) as bigint) as n_shingles, component_id, copies from s join k using (doc_id) join c using (doc_id)"""
