@@ -20,10 +20,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
 from ..schemas import READS, TRANSCRIPTS
 
@@ -81,10 +83,43 @@ def read_header(f) -> Header:
     return Header(name, sequence, struct.unpack("<I", f.read(4))[0])
 
 
-def read_reads(f, n: int) -> Iterator[tuple[int, int, list[int]]]:
-    for _ in range(n):
-        begin, end, k = struct.unpack("<III", f.read(12))
-        yield begin, end + 1, list(struct.unpack(f"<{k}I", f.read(4 * k)))
+def read_batches(f, n: int, size: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """begin, end, counts and indices (flat) of n reads, a few megabytes of file at a time.
+
+    Only the walk from read to read is a loop; the rest is array work.
+    """
+    rest = b""
+    while n:
+        more = f.read(size)
+        if not more:
+            raise ValueError("the file ends within a transcript")
+        data = rest + more
+        words = np.frombuffer(data, "<u4", len(data) // 4)
+        listed, starts, at, last = words.tolist(), [], 0, len(words)
+        while n and at + 3 <= last and at + 3 + listed[at + 2] <= last:
+            starts.append(at)
+            at += 3 + listed[at + 2]
+            n -= 1
+        first = np.array(starts, dtype=np.int64)
+        inner = np.ones(at, dtype=bool)
+        for k in range(3):
+            inner[first + k] = False
+        yield words[first].astype(np.int32), words[first + 1].astype(np.int32) + 1, words[first + 2].astype(np.int32), words[:at][inner].astype(np.int32)
+        rest = data[4 * at :]
+    f.seek(f.tell() - len(rest))
+
+
+def encode_reads(begin: np.ndarray, end: np.ndarray, counts: np.ndarray, indices: np.ndarray) -> bytes:
+    """Reads with sorted indices (flat), as they stand in a file."""
+    sizes = counts + 3
+    first = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), dtype="<u4")
+    inner = np.ones(len(out), dtype=bool)
+    for k, values in enumerate((begin, end - 1, counts)):
+        out[first + k] = values
+        inner[first + k] = False
+    out[inner] = indices
+    return out.tobytes()
 
 
 def skip_reads(f, n: int) -> None:
@@ -172,11 +207,17 @@ class MmReader(DataSourceReader):
                 wanted = self.wanted is None or h.transcript_id in self.wanted
                 if self.headers_only:
                     if wanted:
-                        yield part.replicate, ordinal, h.transcript_id, h.sequence, h.n_reads
+                        columns = [pa.array([part.replicate], pa.int32()), pa.array([ordinal], pa.int32()), pa.array([h.transcript_id]), pa.array([h.sequence]), pa.array([h.n_reads], pa.int64())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["replicate", "ordinal", "transcript_id", "sequence", "n_reads"])
                     skip_reads(f, h.n_reads)
                 elif wanted:
-                    for i, (begin, end, idx) in enumerate(read_reads(f, h.n_reads)):
-                        yield part.replicate, h.transcript_id, i, begin, end, idx
+                    done = 0
+                    for begin, end, counts, indices in read_batches(f, h.n_reads):
+                        r = len(begin)
+                        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                        columns = [pa.array(np.full(r, part.replicate, np.int32)), pa.array([h.transcript_id] * r, pa.string()), pa.array(np.arange(done, done + r)), pa.array(begin), pa.array(end), pa.ListArray.from_arrays(pa.array(offsets), pa.array(indices))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["replicate", "transcript_id", "read_id", "begin", "end", "idx"])
+                        done += r
                 else:
                     skip_reads(f, h.n_reads)
                 ordinal += 1
@@ -187,13 +228,16 @@ class Written(WriterCommitMessage):
     path: str
 
 
-class MmWriter(DataSourceWriter):
-    """Rows of transcript_id, sequence, n_reads, begin, end, idx, sorted by transcript; one file a partition."""
+class MmWriter(DataSourceArrowWriter):
+    """Rows of transcript_id, sequence, n_reads, begin, end, sorted idx, by transcript; one file a partition.
+
+    A transcript without reads has one row without begin.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
 
-    def write(self, rows):
+    def write(self, batches):
         from pyspark import TaskContext
 
         fs, base = opened(self.path)
@@ -202,16 +246,30 @@ class MmWriter(DataSourceWriter):
         path = f"{base}/part-{context.partitionId():05d}-{context.taskAttemptId()}.mm"
         index, current, left = [], None, 0
         with fs.open_output_stream(path) as f:
-            for r in rows:
-                if r.transcript_id != current:
-                    if left:
-                        raise ValueError(f"{current}: fewer reads than its header says")
-                    index.append((r.transcript_id, f.tell()))
-                    f.write(encode_header(r.transcript_id, r.sequence, r.n_reads))
-                    current, left = r.transcript_id, r.n_reads
-                if r.begin is not None:
-                    f.write(encode_read(r.begin, r.end, r.idx or []))
-                    left -= 1
+            for batch in batches:
+                ids, heads, totals = (batch.column(c).to_pylist() for c in ("transcript_id", "sequence", "n_reads"))
+                has = np.asarray(batch.column("begin").is_valid())
+                begin, end = (batch.column(c).fill_null(0).to_numpy() for c in ("begin", "end"))
+                lists = batch.column("idx")
+                counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+                flat, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(counts)])
+                at = 0
+                while at < len(ids):
+                    stop = at
+                    while stop < len(ids) and ids[stop] == ids[at]:
+                        stop += 1
+                    if ids[at] != current:
+                        if left:
+                            raise ValueError(f"{current}: fewer reads than its header says")
+                        index.append((ids[at], f.tell()))
+                        f.write(encode_header(ids[at], heads[at], totals[at]))
+                        current, left = ids[at], totals[at]
+                    if has[at]:
+                        f.write(encode_reads(begin[at:stop], end[at:stop], counts[at:stop], flat[offsets[at] : offsets[stop]]))
+                        left -= stop - at
+                    at = stop
+            if left:
+                raise ValueError(f"{current}: fewer reads than its header says")
             f.write(TRAILER)
         with fs.open_output_stream(path + "i") as f:
             f.write(encode_index(index))
@@ -273,7 +331,7 @@ def write_mm(reads: DataFrame, transcripts: DataFrame, path: str, partitions: in
     register(reads.sparkSession)
     counts = reads.groupBy("transcript_id").agg(F.count(F.lit(1)).cast("long").alias("n_reads"))
     heads = transcripts.select("transcript_id", "sequence").distinct().join(counts, "transcript_id", "left").withColumn("n_reads", F.coalesce("n_reads", F.lit(0).cast("long")))
-    rows = heads.join(reads.select("transcript_id", "read_id", "begin", "end", "idx"), "transcript_id", "left")
+    rows = heads.join(reads.select("transcript_id", "read_id", "begin", "end", F.array_sort("idx").alias("idx")), "transcript_id", "left")
     sorted_ = rows.repartition(partitions, "transcript_id").sortWithinPartitions("transcript_id", "read_id")
     sorted_.select("transcript_id", "sequence", "n_reads", "begin", "end", "idx").write.format("mm").option("path", path).mode("append").save()
 

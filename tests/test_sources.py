@@ -95,3 +95,23 @@ def test_structure_functions(spark):
     assert out[0].p == [5, 4, -1, -1, 1, 0] and out[1].p is None and [tuple(h) for h in out[0].h] == [(0, 5, 2)]
     stats = S.pair_stats(df.limit(1).select(S.pairs_of("a").alias("t"), S.pairs_of("b").alias("p")), [], "t", "p").first()
     assert (stats.ppv, stats.sensitivity) == (1.0, 0.5)
+
+
+def test_blocks_across_file_reads(tmp_path):
+    rng = random.Random(4)
+    reads = [(b := rng.randrange(50), b + 30, sorted(rng.sample(range(b, b + 30), rng.randrange(0, 9)))) for _ in range(500)]
+    mm.write_file(f"{tmp_path}/x.mm", [("t", "A" * 90, reads), ("u", "C" * 10, [])])
+    for size in (5, 64, 1 << 20):
+        with open(f"{tmp_path}/x.mm", "rb") as f:
+            h = mm.read_header(f)
+            got = []
+            for begin, end, counts, indices in mm.read_batches(f, h.n_reads, size):
+                at = 0
+                for b, e, k in zip(begin.tolist(), end.tolist(), counts.tolist()):
+                    got.append((b, e, indices[at : at + k].tolist()))
+                    at += k
+            assert got == reads and mm.read_header(f).transcript_id == "u"
+    import numpy as np
+
+    parts = [np.array(x) for x in ([r[0] for r in reads], [r[1] for r in reads], [len(r[2]) for r in reads], [i for r in reads for i in r[2]])]
+    assert mm.encode_reads(*parts) == b"".join(mm.encode_read(*r) for r in reads)
