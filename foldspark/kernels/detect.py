@@ -8,7 +8,7 @@ import numpy as np
 
 from ..params import Params
 from .distributions import looks_weibull, weibull_cdf, weibull_fit, weibull_moments
-from .spectral import adjacency, clip, eigengaps, incidence, perturbed
+from .spectral import adjacency, clip, eigengaps, incidence
 
 SIGNIFICANT, UNDECIDED, NULL_LIKE = "significant", "undecided", "null-like"
 
@@ -55,30 +55,67 @@ class Null:
         return (SIGNIFICANT if tail < p.alpha else UNDECIDED if tail < p.beta else NULL_LIKE), True
 
 
-def base_filter(x: np.ndarray, coverage: np.ndarray, allowed: np.ndarray, p: Params) -> np.ndarray:
+def base_filter(mutations: np.ndarray, coverage: np.ndarray, allowed: np.ndarray, p: Params) -> np.ndarray:
     """The bases of the first filter, by number."""
-    mutations = x.sum(axis=0)
     share = np.divide(mutations, coverage, out=np.zeros(len(coverage)), where=coverage > 0)
     return np.flatnonzero(allowed & (coverage >= p.min_base_coverage) & (share > p.min_mutation_freq) & (mutations > p.min_base_mutations))
 
 
+def null_adjacency(n_reads: int, mutations: np.ndarray, least: int, rng: np.random.Generator, rows: int = 50_000) -> tuple[np.ndarray, int]:
+    """Co-mutation of reads with at least ``least`` marks, when every base's marks fall on random reads; and how many there are.
+
+    What permuting the columns of the real reads gives, from their sums alone. Reads
+    are made in blocks of bounded size: how many of a base's marks fall into a block
+    is drawn first (without replacement; beyond a billion reads, where that draw
+    isn't offered, with).
+    """
+    left, left_rows = mutations.astype(np.int64).copy(), int(n_reads)
+    total, kept = np.zeros((len(left), len(left))), 0
+    while left_rows > 0:
+        m = min(rows, left_rows)
+        if m == left_rows:
+            here = left.copy()
+        elif left_rows < 1_000_000_000:
+            here = rng.hypergeometric(left, left_rows - left, m)
+        else:
+            here = np.minimum(rng.binomial(m, left / left_rows), left)
+        x = np.zeros((m, len(left)), dtype=np.float32)
+        for j, k in enumerate(np.minimum(here, m)):
+            x[rng.choice(m, int(k), replace=False, shuffle=False), j] = 1
+        x = x[x.sum(axis=1) >= least]
+        total += x.T @ x
+        kept += len(x)
+        left -= here
+        left_rows -= m
+    return total, kept
+
+
 def detect(idx: list, coverage: np.ndarray, allowed: np.ndarray, p: Params, seed: int) -> Detection:
     """From the reads of a window (mutated bases each), its coverage, and which bases the probe may modify."""
     x = incidence(idx, len(coverage))
-    bases = base_filter(x, coverage, allowed, p)
+    bases = base_filter(x.sum(axis=0), coverage, allowed, p)
     x = x[:, bases]
-    cover = coverage[bases].astype(float)
-    weights = cover / cover.max() if len(cover) else cover
+    kept = x[x.sum(axis=1) >= p.min_read_mutations]
+    return detect_counts(len(x), bases, x.sum(axis=0), coverage[bases], len(kept), adjacency(kept), p, seed)
+
+
+def detect_counts(n_reads: int, bases: np.ndarray, mutations: np.ndarray, coverage: np.ndarray, n_filtered: int, a: np.ndarray, p: Params, seed: int) -> Detection:
+    """From counts alone: all reads, the kept bases with their mutations and coverage, the reads with enough mutations on them, and their co-mutation.
+
+    Its input is bounded by the square of a window's size, whatever the number of reads.
+    """
+    bases = np.asarray(bases)
+    root = np.sqrt(coverage / coverage.max()) if len(bases) else np.ones(0)
+    scale = np.outer(root, root)
 
-    def gaps_of(rows: np.ndarray) -> np.ndarray | None:
-        kept = rows[rows.sum(axis=1) >= p.min_read_mutations]
-        return None if len(kept) < p.min_filtered_reads else eigengaps(clip(adjacency(kept, weights), p.max_mutation_freq))
+    def gaps_of(matrix: np.ndarray) -> np.ndarray:
+        return eigengaps(clip(np.divide(matrix, scale, out=np.zeros_like(scale), where=scale > 0), p.max_mutation_freq))
 
-    if (x.sum(axis=1) >= p.min_read_mutations).sum() < p.min_filtered_reads:
+    if n_filtered < p.min_filtered_reads:
         return Detection(0, "few reads", bases=bases.tolist())
     if len(bases) < p.min_win_bases or len(bases) < 2:
         return Detection(0, "few bases", bases=bases.tolist())
-    gaps = gaps_of(x)
+    gaps = gaps_of(a)
     useful = min(len(gaps) // 2, p.max_clusters)
     if not gaps.any() or not useful:
         return Detection(0, "no gaps", gaps.tolist(), bases=bases.tolist())
@@ -95,10 +132,10 @@ def detect(idx: list, coverage: np.ndarray, allowed: np.ndarray, p: Params, seed
         return at < useful and (at == 0 or (valid >= 0 and at <= valid + p.lookahead_eigengaps + 1))
 
     for permutation in range(p.max_permutations):
-        null = gaps_of(perturbed(x, rng))
-        if null is None:
+        null, left = null_adjacency(n_reads, mutations, p.min_read_mutations, rng)
+        if left < p.min_filtered_reads:
             return done(0, "few permuted reads")
-        for g, value in zip(nulls, null, strict=True):
+        for g, value in zip(nulls, gaps_of(null), strict=True):
             g.values.append(max(float(value), 1e-6))
         if permutation < p.min_permutations:
             continue

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernels import detect as D
-from ..kernels import graph_cut, merge, regions, smoothing, spectral
+from ..kernels import graph_cut, merge, regions, smoothing
 from ..operators import assign as A
 from ..operators import coverage as C
 from ..operators import joins as J
@@ -63,16 +63,63 @@ def windowed(reads: DataFrame, grid: DataFrame) -> DataFrame:
     return J.window_reads(placed, F.col("size"), F.col("count"), F.col("step")).select("replicate", "transcript_id", F.col("window_idx").cast("int").alias("window_idx"), F.col("start").cast("int").alias("start"), "size", F.expr("substring(sequence, int(start) + 1, size)").alias("sequence"), "read_id", "begin", "end", F.transform("idx", lambda i: i.cast("int")).alias("idx"))
 
 
+K = [*R, "window_idx"]
+
+
+def _probed(p: Params):
+    return F.lit(True) if p.shape else F.upper(F.substring("sequence", F.col("base") + 1, F.lit(1))).isin("A", "C")
+
+
+def _on_bases(win_reads: DataFrame, lists: DataFrame, keys: list[str], p: Params) -> DataFrame:
+    """Reads with their marks on the listed bases only, if there are enough of them."""
+    held = win_reads.join(lists.select(*keys, F.transform("kept", lambda b: b["base"]).alias("__bases")), keys)
+    return held.withColumn("idx", F.filter("idx", lambda i: F.array_contains("__bases", i))).filter(F.size("idx") >= p.min_read_mutations).drop("__bases")
+
+
+def window_counts(win_reads: DataFrame, p: Params) -> DataFrame:
+    """What detection needs of each replicate's window, one row each, of bounded size: n_reads, kept (base, mutations), n_filtered, cells (i, j, n).
+
+    A transcript with a third of all reads gives no larger group than others: reads
+    are counted on the map side, and the lists of bases that are joined back to
+    them are written first, so that join can be broadcast or a hot key split.
+    """
+    sizes = win_reads.groupBy(*K).agg(F.count(F.lit(1)).alias("n_reads"), F.first("sequence").alias("sequence"))
+    marks = win_reads.select(*K, F.explode("idx").alias("base")).groupBy(*K, "base").agg(F.count(F.lit(1)).alias("mutations"))
+    good = (F.col("n_reads") >= p.min_base_coverage) & (F.col("mutations") / F.col("n_reads") > p.min_mutation_freq) & (F.col("mutations") > p.min_base_mutations)
+    some = marks.join(sizes, K).filter(good & _probed(p))
+    lists = kept(some.groupBy(*K).agg(F.sort_array(F.collect_list(F.struct("base", "mutations"))).alias("kept")))
+    reads = _on_bases(win_reads, lists, K, p)
+    filtered = reads.groupBy(*K).agg(F.count(F.lit(1)).alias("n_filtered"))
+    cells = J.comutation_matrix(reads, K).groupBy(*K).agg(F.collect_list(F.struct("i", "j", "n")).alias("cells"))
+    whole = sizes.select(*K, "n_reads").join(lists, K, "left").join(filtered, K, "left").join(cells, K, "left")
+    return whole.withColumn("n_filtered", F.coalesce("n_filtered", F.lit(0).cast("long")))
+
+
+def matrix(cells, bases: np.ndarray) -> np.ndarray:
+    """Cells (i, j, n) of the upper triangle as a symmetric matrix over bases."""
+    place = {int(b): k for k, b in enumerate(bases)}
+    out = np.zeros((len(bases), len(bases)))
+    for c in cells if cells is not None else ():
+        i, j = place.get(int(c["i"])), place.get(int(c["j"]))
+        if i is not None and j is not None:
+            out[i, j] = out[j, i] = c["n"]
+    return out
+
+
 def detect_windows(win_reads: DataFrame, p: Params) -> DataFrame:
-    """PTBA rows: the number of clusters of each replicate's window."""
+    """PTBA rows: the number of clusters of each replicate's window, from its counts."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("read_id")
-        size, sequence = int(rows["size"].iloc[0]), rows["sequence"].iloc[0]
-        d = D.detect(list(rows["idx"]), np.full(size, len(rows)), allowed_bases(sequence, p.shape), p, seed_of(p.seed, "detect", *key))
-        return pd.DataFrame([[*key, d.n_clusters, d.status, d.gaps, d.null_gaps]], columns=["replicate", "transcript_id", "window_idx", "n_clusters", "status", "gaps", "null_gaps"])
+    def run(batches):
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                listed = r.kept if r.kept is not None else []
+                bases, mutations = (np.array([x[c] for x in listed], dtype=int) for c in ("base", "mutations"))
+                d = D.detect_counts(int(r.n_reads), bases, mutations, np.full(len(bases), float(r.n_reads)), int(r.n_filtered), matrix(r.cells, bases), p, seed_of(p.seed, "detect", r.replicate, r.transcript_id, r.window_idx))
+                out.append([r.replicate, r.transcript_id, r.window_idx, d.n_clusters, d.status, d.gaps, d.null_gaps])
+            yield pd.DataFrame(out, columns=["replicate", "transcript_id", "window_idx", "n_clusters", "status", "gaps", "null_gaps"])
 
-    return win_reads.groupBy("replicate", "transcript_id", "window_idx").applyInPandas(run, PTBA)
+    return window_counts(win_reads, p).repartition(*K).mapInPandas(run, PTBA)
 
 
 def all_windows(grid: DataFrame) -> DataFrame:
@@ -111,44 +158,52 @@ def smoothed(consensus: DataFrame, caps: DataFrame, p: Params) -> DataFrame:
     return capped.groupBy("transcript_id").applyInPandas(run, "transcript_id string, window_idx int, start int, size int, n_clusters int, confidence double")
 
 
-def shared_bases(groups: list[np.ndarray], coverage: list[int], allowed: np.ndarray, p: Params) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Bases that pass in every replicate, looked at again after reads were filtered; and the reads left on them."""
-    keep = allowed.copy()
-    for x, c in zip(groups, coverage, strict=True):
-        n = x.sum(axis=0)
-        keep &= (c >= p.min_base_coverage) & (n > p.min_mutation_freq * c) & (n >= p.min_base_mutations)
-    bases = np.flatnonzero(keep)
-    rows = [x[:, bases] for x in groups]
-    rows = [x[x.sum(axis=1) >= p.min_read_mutations] for x in rows]
-    again = np.ones(len(bases), dtype=bool)
-    for x in rows:
-        again &= x.sum(axis=0) >= p.min_base_mutations
-    return bases[again], [x[:, again] for x in rows]
+def shared_counts(win_reads: DataFrame, p: Params) -> DataFrame:
+    """What a cut needs of each window, one row each: the bases that pass in every replicate, and cells (replicate, i, j, n) on them."""
+    key = ["transcript_id", "window_idx"]
+    sizes = win_reads.groupBy(*K).agg(F.count(F.lit(1)).alias("n_reads"), F.first("sequence").alias("sequence"))
+    marks = win_reads.select(*K, F.explode("idx").alias("base")).groupBy(*K, "base").agg(F.count(F.lit(1)).alias("mutations"))
+    good = (F.col("n_reads") >= p.min_base_coverage) & (F.col("mutations") / F.col("n_reads") > p.min_mutation_freq) & (F.col("mutations") >= p.min_base_mutations)
+    passed = marks.join(sizes, K).filter(good & _probed(p)).groupBy(*key, "base").agg(F.count(F.lit(1)).alias("passed"))
+    every = sizes.groupBy(*key).agg(F.count(F.lit(1)).alias("replicates"))
+    shared = passed.join(every, key).filter("passed = replicates")
+    lists = kept(shared.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("base"))).alias("kept")))
+    cells = J.comutation_matrix(_on_bases(win_reads, lists, key, p), K)
+    by_window = cells.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("replicate", "i", "j", "n"))).alias("cells"))
+    return every.select(*key).join(lists, key, "left").join(by_window, key, "left")
 
 
 def cut_windows(win_reads: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
     """transcript_id, window_idx, w: soft weights [base][cluster] of windows with more than one cluster, shared by replicates."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["replicate", "read_id"])
-        size, k = int(rows["size"].iloc[0]), int(rows["n_clusters"].iloc[0])
-        groups = [spectral.incidence(list(g["idx"]), size) for _, g in rows.groupby("replicate")]
-        bases, kept_rows = shared_bases(groups, [len(g) for g in groups], allowed_bases(rows["sequence"].iloc[0], p.shape), p)
-        graphs = [spectral.adjacency(x) for x in kept_rows if len(x)]
-        # A base without any co-mutation can't be cut.
-        linked = np.all([(a - np.diag(np.diag(a))).sum(axis=1) > 0 for a in graphs], axis=0) if graphs else np.zeros(len(bases), dtype=bool)
-        w = np.zeros((size, max(k, 1)))
-        if linked.sum() >= 3:
-            cut = graph_cut.soft_cut([graph_cut.cut_graph(a[np.ix_(linked, linked)]) for a in graphs], k, p.soft_clustering_weight_module, p.soft_clustering_inits, p.soft_clustering_iters, seed_of(p.seed, "cut", *key))
-            w = np.zeros((size, cut.shape[1]))
-            w[bases[linked]] = cut
-        else:
-            w = np.zeros((size, 1))
-            w[:, 0] = 1
-        return pd.DataFrame([[*key, w.tolist()]], columns=["transcript_id", "window_idx", "w"])
-
-    many = labels.filter("n_clusters > 1").select("transcript_id", "window_idx", "n_clusters")
-    return win_reads.join(many, ["transcript_id", "window_idx"]).groupBy("transcript_id", "window_idx").applyInPandas(run, "transcript_id string, window_idx int, w array<array<double>>")
+    def weights(r) -> np.ndarray:
+        size, k = int(r.size_), int(r.n_clusters)
+        bases = np.array([x["base"] for x in r.kept], dtype=int) if r.kept is not None else np.zeros(0, dtype=int)
+        groups: dict[int, list] = {}
+        for c in r.cells if r.cells is not None else ():
+            groups.setdefault(int(c["replicate"]), []).append(c)
+        graphs = [matrix(cells, bases) for _, cells in sorted(groups.items())]
+        # Looked at again after reads were filtered; a base without any co-mutation can't be cut.
+        held = np.ones(len(bases), dtype=bool)
+        for a in graphs:
+            held &= np.diag(a) >= p.min_base_mutations
+        graphs = [a[np.ix_(held, held)] for a in graphs]
+        linked = np.all([(a - np.diag(np.diag(a))).sum(axis=1) > 0 for a in graphs], axis=0) if graphs else np.zeros(0, dtype=bool)
+        if linked.sum() < 3:
+            return np.ones((size, 1))
+        cut = graph_cut.soft_cut([graph_cut.cut_graph(a[np.ix_(linked, linked)]) for a in graphs], k, p.soft_clustering_weight_module, p.soft_clustering_inits, p.soft_clustering_iters, seed_of(p.seed, "cut", r.transcript_id, r.window_idx))
+        w = np.zeros((size, cut.shape[1]))
+        w[bases[held][linked]] = cut
+        return w
+
+    def run(batches):
+        for rows in batches:
+            yield pd.DataFrame([[r.transcript_id, r.window_idx, weights(r).tolist()] for r in rows.itertuples()], columns=["transcript_id", "window_idx", "w"])
+
+    key = ["transcript_id", "window_idx"]
+    many = labels.filter("n_clusters > 1").select(*key, "n_clusters", F.col("size").alias("size_"))
+    counts = shared_counts(win_reads.join(many.select(*key), key, "left_semi"), p)
+    return many.join(counts, key, "left").repartition(*key).mapInPandas(run, "transcript_id string, window_idx int, w array<array<double>>")
 
 
 def merged_regions(labels: DataFrame, weights: DataFrame, win_reads: DataFrame, p: Params) -> DataFrame:

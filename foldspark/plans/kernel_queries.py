@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .. import simulate
 from .. import surrogate as S
 from ..functions import structures as ST
-from ..kernels import detect as D
 from ..kernels import distributions, graph_cut, merge, regions, smoothing, spectral
 from ..operators import joins as J
 from ..params import Params
@@ -102,13 +101,8 @@ def ptba(spark, d):
     """Clusters detected in every window of every replicate."""
     p = Params(max_permutations=14, min_base_coverage=1, min_filtered_reads=20, min_mutation_freq=0.0, shape=True)
     w = J.window_reads(S.reads(spark, d), SIZE, GRID.count, GRID.step)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("read_id")
-        r = D.detect(list(rows["idx"]), np.full(SIZE, len(rows)), np.ones(SIZE, dtype=bool), p, P.seed_of(*key))
-        return pd.DataFrame([[*key, r.n_clusters, r.status]], columns=["transcript_id", "replicate", "window_idx", "n_clusters", "status"])
-
-    return w.select(*KEYS, "window_idx", "read_id", "idx").groupBy(*KEYS, "window_idx").applyInPandas(run, "transcript_id long, replicate long, window_idx long, n_clusters int, status string")
+    rows = w.select(F.col("replicate").cast("int").alias("replicate"), F.col("transcript_id").cast("string").alias("transcript_id"), F.col("window_idx").cast("int").alias("window_idx"), F.lit("A" * SIZE).alias("sequence"), F.transform("idx", lambda i: i.cast("int")).alias("idx"))
+    return P.detect_windows(rows, p).select("replicate", "transcript_id", "window_idx", "n_clusters", "status")
 
 
 @query()

@@ -77,6 +77,23 @@ def test_detection_of_one_and_two():
     assert few.n_clusters == 0 and few.status == "few reads"
 
 
+def test_null_model_from_sums_equals_permuted_reads():
+    rng = np.random.default_rng(12)
+    x = (rng.random((900, 12)) < 0.15).astype(np.float32)
+    by_sums, by_rows, kept_sums, kept_rows = np.zeros((12, 12)), np.zeros((12, 12)), 0, 0
+    for _ in range(300):
+        a, n = detect.null_adjacency(900, x.sum(axis=0), 2, rng, rows=250)
+        by_sums, kept_sums = by_sums + a, kept_sums + n
+        y = spectral.perturbed(x, rng)
+        y = y[y.sum(axis=1) >= 2]
+        by_rows, kept_rows = by_rows + spectral.adjacency(y), kept_rows + len(y)
+    off = ~np.eye(12, dtype=bool)
+    assert abs(kept_sums / kept_rows - 1) < 0.01
+    assert np.abs(by_sums[off] / by_rows[off] - 1).max() < 0.1 and abs(by_sums[off].sum() / by_rows[off].sum() - 1) < 0.01
+    whole, n = detect.null_adjacency(900, x.sum(axis=0), 0, rng, rows=100)
+    assert n == 900 and (np.diag(whole) == x.sum(axis=0)).all()
+
+
 def test_hard_cut_finds_planted_parts():
     rng = np.random.default_rng(7)
     parts = [[0, 4, 6, 8, 9], [1, 5, 10], [2, 3, 7, 11, 12]]
