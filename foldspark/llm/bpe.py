@@ -10,6 +10,9 @@ last token of the prefix before it. Storing that token for each prefix gives
 * edits: prefixes before the edit stay, and behind it the stored tokens hold
   again as soon as they have agreed over the longest token's length.
 
+Both need a vocabulary in which the parts of a token rank before it, as training
+makes them; another one is an error.
+
 Text is first cut by the vocabulary's pattern and each match is encoded on its
 own, as in the tiktoken library; a match that is itself in the vocabulary is
 that token. Special tokens are ordinary text.
@@ -98,6 +101,8 @@ class PrefixCoder:
                 return out[::-1]
             ends = self.ranks[token]
             token = self.parts[token][side]
+            if self.ranks[token] >= ends and len(token) > 1:
+                raise ValueError("a token ranks before one of its parts")
 
     def _fit(self, pair: int) -> bool:
         """Whether two tokens side by side encode themselves; pair is left << 32 | right.
@@ -106,6 +111,8 @@ class PrefixCoder:
         in a known order; the two fit if none of the pairs of parts that meet there
         would have been merged first. Of equal ranks the left one comes first.
         """
+        if not (self.whole[pair >> 32] and self.whole[pair & 0xFFFFFFFF]):
+            return False
         left, right, i, j = self.right[pair >> 32], self.left[pair & 0xFFFFFFFF], 0, 0
         rank = self.ranks.get
         while True:
