@@ -67,7 +67,8 @@ class PrefixCoder:
         #: Lengths of the tokens of which the last three bytes, or the whole, are given, longest first.
         self.lengths = {tail: tuple(sorted(found | {n for n in (1, 2) if tail[-n:] in ranks}, reverse=True)) for tail, found in tails.items()}
         self.parts = Memo(lambda token: self.merged(token, 2), 1 << 20)
-        self.whole = Memo(lambda rank: len(self.merged(self.token[rank])) == 1, 1 << 20)
+        #: Whether a token encodes itself: its merges then come down to two parts, which it joins.
+        self.whole = Memo(lambda rank: len(self.token[rank]) == 1 or len(self.parts[self.token[rank]]) == 2, 1 << 20)
         self.left = Memo(lambda rank: self._edge(rank, 0), 1 << 20)
         self.right = Memo(lambda rank: self._edge(rank, -1), 1 << 20)
         self.fits = Memo(self._fit, 1 << 18)
