@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def along(steps: DataFrame, keys: list[str], length: int) -> DataFrame:
+def along(steps: DataFrame, keys: list[str], length: int | Column) -> DataFrame:
     """base, coverage and mutations of every base, from steps (base, step, marks) summed by base.
 
     Coverage only changes where a step is, so each step is spread up to the next
-    one: no grid of bases is joined, and reads are aggregated once.
+    one: no grid of bases is joined, and reads are aggregated once. length is a
+    number or, where it differs between keys, a column of keys.
     """
     summed = steps.groupBy(*keys, "base").agg(F.sum("step").alias("step"), F.sum("marks").alias("marks"))
     order = Window.partitionBy(*keys).orderBy("base")
@@ -33,7 +34,7 @@ def step(base: Column, by, marks: int) -> Column:
     return F.struct(base.cast("long").alias("base"), F.lit(by).cast("long").alias("step"), F.lit(marks).alias("marks"))
 
 
-def base_coverage(reads: DataFrame, keys: list[str], length: int) -> DataFrame:
+def base_coverage(reads: DataFrame, keys: list[str], length: int | Column) -> DataFrame:
     """Reads that cover each base: +1 where a read begins, -1 where it ends, summed along the transcript."""
     ends = F.array(step(F.col("begin"), 1, 0), step(F.col("end"), -1, 0))
     steps = reads.select(*keys, F.explode(ends).alias("s")).select(*keys, "s.*")

@@ -24,7 +24,7 @@ from ..operators import coverage as C
 from ..operators import joins as J
 from ..operators import windows as W
 from ..params import Params
-from ..schemas import PTBA, REGIONS
+from ..schemas import MERGED, PTBA, REGIONS  # noqa: F401
 from ..tables import kept
 
 T = ["transcript_id"]
@@ -207,7 +207,10 @@ def cut_windows(win_reads: DataFrame, labels: DataFrame, p: Params) -> DataFrame
 
 
 def merged_regions(labels: DataFrame, weights: DataFrame, win_reads: DataFrame, p: Params) -> DataFrame:
-    """REGIONS of each replicate: runs of windows merged."""
+    """MERGED of each replicate: runs of windows merged, with the starts of the windows that each holds.
+
+    coverage is summed over these windows: it weighs them in the merge, and counts a read once for each.
+    """
     counts = win_reads.groupBy(*R, "window_idx").agg(F.count(F.lit(1)).alias("n_reads"))
     replicates = counts.select(*R).distinct()
     rows = labels.join(replicates, "transcript_id").join(counts, [*R, "window_idx"], "left").join(weights, ["transcript_id", "window_idx"], "left")
@@ -226,10 +229,26 @@ def merged_regions(labels: DataFrame, weights: DataFrame, win_reads: DataFrame,
                 start, w, cover = m.begin, m.w.tolist(), m.coverage.astype(int).tolist()
             else:
                 start, w, cover = starts[r.first], [[] for _ in range(size)], [reads[r.first]] * size
-            out.append([int(key[0]), key[1], i, start, start + len(w), r.n_clusters, r.first, r.windows[-1] + 1, w, cover])
-        return pd.DataFrame(out, columns=["replicate", "transcript_id", "region_idx", "start", "end", "n_clusters", "win_begin", "win_end", "w", "coverage"])
+            out.append([int(key[0]), key[1], i, start, start + len(w), r.n_clusters, r.first, r.windows[-1] + 1, w, cover, [starts[j] for j in r.windows]])
+        return pd.DataFrame(out, columns=["replicate", "transcript_id", "region_idx", "start", "end", "n_clusters", "win_begin", "win_end", "w", "coverage", "members"])
+
+    return rows.groupBy(*R).applyInPandas(run, MERGED)
+
 
-    return rows.groupBy(*R).applyInPandas(run, REGIONS)
+def region_precoverage(reads: DataFrame, found: DataFrame, grid: DataFrame) -> DataFrame:
+    """replicate, transcript_id, region_idx, pre: reads over each base of a region, of those that cover one of its windows whole.
+
+    A read meets the few regions of its transcript as a list, so it counts once
+    for each, however many of the windows it covers.
+    """
+    keys = [*R, "region_idx"]
+    lists = found.join(grid.select("transcript_id", "size"), "transcript_id").groupBy(*R).agg(F.collect_list(F.struct("region_idx", "start", F.col("end").alias("stop"), "members", "size")).alias("__regions"))
+    each = reads.select(*R, "begin", "end").join(lists, R).withColumn("r", F.explode("__regions"))
+    held = each.filter(F.exists("r.members", lambda m: (F.col("begin") <= m) & (F.col("end") >= m + F.col("r.size"))))
+    n_bases = F.col("r.stop") - F.col("r.start")
+    clipped = held.select(*R, "r.region_idx", n_bases.alias("n_bases"), F.greatest(F.col("begin") - F.col("r.start"), F.lit(0)).alias("begin"), F.least(F.col("end") - F.col("r.start"), n_bases).alias("end"))
+    by_base = C.base_coverage(clipped, [*keys, "n_bases"], F.col("n_bases"))
+    return by_base.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("base", "coverage"))), lambda x: x["coverage"]).alias("pre"))
 
 
 def assigned_reads(reads: DataFrame, found: DataFrame, grid: DataFrame, p: Params) -> DataFrame:
@@ -291,15 +310,16 @@ def lowered(caps: DataFrame, bad: DataFrame, found: DataFrame, labels: DataFrame
     return caps.unionByName(inside.select("transcript_id", "window_idx", "cap")).groupBy("transcript_id", "window_idx").agg(F.min("cap").cast("int").alias("cap"))
 
 
-def results(found: DataFrame, fractions: DataFrame, patterns: DataFrame, labels: DataFrame, transcripts: DataFrame) -> DataFrame:
+def results(found: DataFrame, precoverage: DataFrame, fractions: DataFrame, patterns: DataFrame, labels: DataFrame, transcripts: DataFrame) -> DataFrame:
     """One row a transcript: id, sequence, nReads by replicate, windows by replicate, and clusters with confidence."""
     keys = [*R, "region_idx"]
     shares = fractions.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("cluster", "fraction"))), lambda x: F.round(x["fraction"], 3)).alias("stoichiometries"))
     lists = patterns.groupBy(*keys, "cluster").agg(F.map_from_entries(F.collect_list(F.struct(F.col("base").cast("int"), "mutations"))).alias("m"))
     per = lists.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster", F.map_entries("m").alias("e")))).alias("p"))
-    whole = found.join(shares, keys, "left").join(per, keys, "left")
+    whole = found.join(precoverage, keys, "left").join(shares, keys, "left").join(per, keys, "left")
+    pre = F.coalesce("pre", F.array_repeat(F.lit(0).cast("long"), F.col("end") - F.col("start")))
     counts = F.transform("p", lambda c: F.transform(F.sequence(F.lit(0), F.col("end") - F.col("start") - 1), lambda b: F.coalesce(F.element_at(F.map_from_entries(c["e"]), b), F.lit(0).cast("long"))))
-    window = F.struct("start", "end", "stoichiometries", counts.alias("counts"), F.col("coverage").alias("preCoverage"), F.col("w").alias("weights"))
+    window = F.struct("start", "end", "stoichiometries", counts.alias("counts"), pre.alias("preCoverage"), F.col("w").alias("weights"))
     by_replicate = whole.groupBy(*R).agg(F.sort_array(F.collect_list(F.struct("region_idx", window.alias("w")))).alias("ws"))
     windows = by_replicate.groupBy("transcript_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("replicate", "ws"))), lambda r: F.transform(r["ws"], lambda x: x["w"])).alias("windows"))
     sized = labels.select("transcript_id", "window_idx", "start", "size", "n_clusters", "confidence")
@@ -327,7 +347,7 @@ def deconvolve(reads: DataFrame, transcripts: DataFrame, p: Params, most_rounds:
         bad = kept(failing(fractions, patterns, found, p))
         again = bad.select("transcript_id").distinct()
         done = [x.join(again, "transcript_id", "left_anti") for x in (found, fractions, patterns, labels, transcripts)]
-        settled = kept(results(*done))
+        settled = kept(results(done[0], region_precoverage(reads, done[0], grid), *done[1:]))
         out = settled if out is None else out.unionByName(settled)
         if not bad.limit(1).count():
             break

@@ -11,6 +11,7 @@ PTBA = "replicate int, transcript_id string, window_idx int, n_clusters int, sta
 CONSENSUS = "transcript_id string, window_idx int, n_clusters int, confidence double"
 WEIGHTS = "replicate int, transcript_id string, window_idx int, w array<array<float>>"
 REGIONS = "replicate int, transcript_id string, region_idx int, start int, end int, n_clusters int, win_begin int, win_end int, w array<array<float>>, coverage array<long>"
+MERGED = f"{REGIONS}, members array<int>"
 ASSIGNMENTS = "replicate int, transcript_id string, region_idx int, read_id long, cluster int"
 
 

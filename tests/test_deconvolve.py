@@ -112,3 +112,27 @@ def test_assignments_are_dumped_by_cluster(spark, tables, tmp_path):
     assert set(names) == {f"two_0-{LENGTH}_c0", f"two_0-{LENGTH}_c1"} and min(names.values()) > 0
     got = {r.transcript_id: r.m for r in dumped.groupBy("transcript_id").agg(F.max(F.array_max("idx")).alias("m")).collect()}
     assert got[f"two_0-{LENGTH}_c0"] < 20
+
+
+WIN = 20
+SEVERAL = Params(win_len=WIN, win_offset=0.25, all_non_informative_to_one=True)
+
+
+@pytest.fixture(scope="module")
+def several(spark):
+    """A transcript of five windows that merge to one region, its reads, and its result: some reads cover no window, others up to three."""
+    rows = [(r, "t", i, i % 13, min(LENGTH, i % 13 + (12, 20, 23, 31)[i % 4]), sorted({i % 13 + 2 - i % 13 % 2, i % 13 + 4 - i % 13 % 2})) for r in (0, 1) for i in range(80 + 7 * r)]
+    reads = spark.createDataFrame(rows, "replicate int, transcript_id string, read_id long, begin int, end int, idx array<int>")
+    heads = spark.createDataFrame([(r, 0, "t", "AC" * (LENGTH // 2), 80 + 7 * r) for r in (0, 1)], "replicate int, ordinal int, transcript_id string, sequence string, n_reads long")
+    return rows, D.deconvolve(reads, heads, SEVERAL).collect()
+
+
+def covered(rows: list, length: int = LENGTH) -> list[int]:
+    return [sum(b <= x < e for *_, b, e, _ in rows) for x in range(length)]
+
+
+def test_pre_coverage_counts_each_read_of_a_region_once(several):
+    rows, (result,) = several
+    for replicate, (window,) in enumerate(result["windows"]):
+        held = [x for x in rows if x[0] == replicate and any(x[3] <= s and x[4] >= s + WIN for s in range(0, LENGTH - WIN + 1, 5))]
+        assert (window["start"], window["end"]) == (0, LENGTH) and window["preCoverage"] == covered(held)
