@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .coverage import along, step
@@ -52,7 +52,7 @@ def cluster_patterns(assigned: DataFrame, keys: list[str]) -> DataFrame:
     return assigned.select(*keys, "cluster", F.explode("idx").alias("base"), "assigned").groupBy(*keys, "cluster", "base").agg(F.sum("assigned").alias("mutations"))
 
 
-def cluster_coverage(assigned: DataFrame, keys: list[str], length: int) -> DataFrame:
+def cluster_coverage(assigned: DataFrame, keys: list[str], length: int | Column) -> DataFrame:
     """Assigned reads that cover each base of each cluster."""
     ends = F.array(step(F.col("begin"), F.col("assigned"), 0), step(F.col("end"), -F.col("assigned"), 0))
     steps = assigned.select(*keys, "cluster", F.explode(ends).alias("s")).select(*keys, "cluster", "s.*")

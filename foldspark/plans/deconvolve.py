@@ -251,6 +251,19 @@ def region_precoverage(reads: DataFrame, found: DataFrame, grid: DataFrame) -> D
     return by_base.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("base", "coverage"))), lambda x: x["coverage"]).alias("pre"))
 
 
+def clusters_coverage(assigned: DataFrame, found: DataFrame) -> DataFrame:
+    """replicate, transcript_id, region_idx, cover: assigned reads over each base of a region, a list for each cluster, also of those without reads."""
+    keys = [*R, "region_idx"]
+    n_bases = F.col("stop") - F.col("start")
+    spans = found.filter("n_clusters > 0").select(*keys, "start", F.col("end").alias("stop"), "n_clusters")
+    clipped = assigned.join(spans, keys).select(*keys, "cluster", "assigned", n_bases.alias("n_bases"), F.greatest(F.col("begin") - F.col("start"), F.lit(0)).alias("begin"), F.least(F.col("end") - F.col("start"), n_bases).alias("end"))
+    by_base = A.cluster_coverage(clipped, [*keys, "n_bases"], F.col("n_bases"))
+    lists = by_base.groupBy(*keys, "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("base", "coverage"))), lambda x: x["coverage"]).alias("c"))
+    every = spans.withColumn("cluster", F.explode(F.sequence(F.lit(0), F.col("n_clusters") - 1))).join(lists, [*keys, "cluster"], "left")
+    filled = every.withColumn("c", F.coalesce("c", F.array_repeat(F.lit(0).cast("long"), n_bases)))
+    return filled.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("cluster", "c"))), lambda x: x["c"]).alias("cover"))
+
+
 def assigned_reads(reads: DataFrame, found: DataFrame, grid: DataFrame, p: Params) -> DataFrame:
     """Unique reads of each region with their clusters; reads shorter than a window don't count."""
     keys = [*R, "region_idx"]
@@ -310,16 +323,16 @@ def lowered(caps: DataFrame, bad: DataFrame, found: DataFrame, labels: DataFrame
     return caps.unionByName(inside.select("transcript_id", "window_idx", "cap")).groupBy("transcript_id", "window_idx").agg(F.min("cap").cast("int").alias("cap"))
 
 
-def results(found: DataFrame, precoverage: DataFrame, fractions: DataFrame, patterns: DataFrame, labels: DataFrame, transcripts: DataFrame) -> DataFrame:
+def results(found: DataFrame, precoverage: DataFrame, covers: DataFrame, fractions: DataFrame, patterns: DataFrame, labels: DataFrame, transcripts: DataFrame) -> DataFrame:
     """One row a transcript: id, sequence, nReads by replicate, windows by replicate, and clusters with confidence."""
     keys = [*R, "region_idx"]
     shares = fractions.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("cluster", "fraction"))), lambda x: F.round(x["fraction"], 3)).alias("stoichiometries"))
     lists = patterns.groupBy(*keys, "cluster").agg(F.map_from_entries(F.collect_list(F.struct(F.col("base").cast("int"), "mutations"))).alias("m"))
     per = lists.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster", F.map_entries("m").alias("e")))).alias("p"))
-    whole = found.join(precoverage, keys, "left").join(shares, keys, "left").join(per, keys, "left")
+    whole = found.join(precoverage, keys, "left").join(covers, keys, "left").join(shares, keys, "left").join(per, keys, "left")
     pre = F.coalesce("pre", F.array_repeat(F.lit(0).cast("long"), F.col("end") - F.col("start")))
     counts = F.transform("p", lambda c: F.transform(F.sequence(F.lit(0), F.col("end") - F.col("start") - 1), lambda b: F.coalesce(F.element_at(F.map_from_entries(c["e"]), b), F.lit(0).cast("long"))))
-    window = F.struct("start", "end", "stoichiometries", counts.alias("counts"), pre.alias("preCoverage"), F.col("w").alias("weights"))
+    window = F.struct("start", "end", "stoichiometries", counts.alias("counts"), F.col("cover").alias("coverage"), pre.alias("preCoverage"), F.col("w").alias("weights"))
     by_replicate = whole.groupBy(*R).agg(F.sort_array(F.collect_list(F.struct("region_idx", window.alias("w")))).alias("ws"))
     windows = by_replicate.groupBy("transcript_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("replicate", "ws"))), lambda r: F.transform(r["ws"], lambda x: x["w"])).alias("windows"))
     sized = labels.select("transcript_id", "window_idx", "start", "size", "n_clusters", "confidence")
@@ -347,7 +360,7 @@ def deconvolve(reads: DataFrame, transcripts: DataFrame, p: Params, most_rounds:
         bad = kept(failing(fractions, patterns, found, p))
         again = bad.select("transcript_id").distinct()
         done = [x.join(again, "transcript_id", "left_anti") for x in (found, fractions, patterns, labels, transcripts)]
-        settled = kept(results(done[0], region_precoverage(reads, done[0], grid), *done[1:]))
+        settled = kept(results(done[0], region_precoverage(reads, done[0], grid), clusters_coverage(assigned, done[0]), *done[1:]))
         out = settled if out is None else out.unionByName(settled)
         if not bad.limit(1).count():
             break

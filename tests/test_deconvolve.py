@@ -127,8 +127,8 @@ def several(spark):
     return rows, D.deconvolve(reads, heads, SEVERAL).collect()
 
 
-def covered(rows: list, length: int = LENGTH) -> list[int]:
-    return [sum(b <= x < e for *_, b, e, _ in rows) for x in range(length)]
+def covered(rows: list) -> list[int]:
+    return [sum(b <= x < e for _, _, _, b, e, _ in rows) for x in range(LENGTH)]
 
 
 def test_pre_coverage_counts_each_read_of_a_region_once(several):
@@ -136,3 +136,14 @@ def test_pre_coverage_counts_each_read_of_a_region_once(several):
     for replicate, (window,) in enumerate(result["windows"]):
         held = [x for x in rows if x[0] == replicate and any(x[3] <= s and x[4] >= s + WIN for s in range(0, LENGTH - WIN + 1, 5))]
         assert (window["start"], window["end"]) == (0, LENGTH) and window["preCoverage"] == covered(held)
+
+
+def test_coverage_of_every_cluster_is_in_the_result(spark, several):
+    rows, (result,) = several
+    for replicate, (window,) in enumerate(result["windows"]):
+        held = [x for x in rows if x[0] == replicate and x[4] - x[3] >= WIN and sum(i < LENGTH for i in x[5]) >= 2]
+        assert window["coverage"] == [covered(held)]
+    keys = "replicate int, transcript_id string, region_idx int"
+    found = spark.createDataFrame([(0, "t", 0, 5, 15, 2)], f"{keys}, start int, end int, n_clusters int")
+    assigned = spark.createDataFrame([(0, "t", 0, 0, 8, 1, 3), (0, "t", 0, 7, 30, 1, 2)], f"{keys}, begin int, end int, cluster int, assigned long")
+    assert D.clusters_coverage(assigned, found).first()["cover"] == [[0] * 10, [3, 3, 5] + [2] * 7]
