@@ -342,8 +342,8 @@ def results(found: DataFrame, precoverage: DataFrame, covers: DataFrame, fractio
     return heads.join(windows, "transcript_id", "left").join(clusters, "transcript_id", "left").withColumnRenamed("transcript_id", "id")
 
 
-def deconvolve(reads: DataFrame, transcripts: DataFrame, p: Params, most_rounds: int = 20) -> DataFrame:
-    """The result of every transcript that all replicates hold with one sequence."""
+def deconvolve(reads: DataFrame, transcripts: DataFrame, p: Params) -> DataFrame:
+    """The result of every transcript that all replicates hold with one sequence; rounds go on until no region fails."""
     aligned = J.replicate_align(transcripts).filter("same_sequence").select("transcript_id")
     reads, transcripts = (x.join(aligned, "transcript_id", "left_semi") for x in (reads, transcripts))
     grid = kept(grids(reads, transcripts, p))
@@ -351,8 +351,8 @@ def deconvolve(reads: DataFrame, transcripts: DataFrame, p: Params, most_rounds:
     replicates = transcripts.select(*R).distinct()
     consensus = kept(consensus_of(detect_windows(win_reads, p), grid, replicates))
     caps = reads.sparkSession.createDataFrame([], "transcript_id string, window_idx int, cap int")
-    out = None
-    for _ in range(most_rounds):
+    every, out = (win_reads, reads, transcripts, consensus), None
+    while True:
         labels = kept(smoothed(consensus, caps, p))
         found = kept(merged_regions(labels, kept(cut_windows(win_reads, labels, p)), win_reads, p))
         assigned = kept(assigned_reads(reads, found, grid, p))
@@ -363,10 +363,13 @@ def deconvolve(reads: DataFrame, transcripts: DataFrame, p: Params, most_rounds:
         settled = kept(results(done[0], region_precoverage(reads, done[0], grid), clusters_coverage(assigned, done[0]), *done[1:]))
         out = settled if out is None else out.unionByName(settled)
         if not bad.limit(1).count():
-            break
-        caps = kept(lowered(caps, bad, found, labels))
-        win_reads, reads, transcripts, consensus = (x.join(again, "transcript_id", "left_semi") for x in (win_reads, reads, transcripts, consensus))
-    return out
+            return out
+        # A failing region lowers a cap each round, so the rounds end.
+        lower = kept(lowered(caps, bad, found, labels))
+        if not lower.join(caps.withColumnRenamed("cap", "old"), ["transcript_id", "window_idx"], "left").filter("old is null or cap < old").limit(1).count():
+            raise RuntimeError(f"regions fail, but no cap falls: {again.limit(10).collect()}")
+        caps = lower
+        win_reads, reads, transcripts, consensus = (x.join(again, "transcript_id", "left_semi") for x in every)
 
 
 def raw_n_clusters(detected: DataFrame, grid: DataFrame) -> DataFrame:

@@ -147,3 +147,33 @@ def test_coverage_of_every_cluster_is_in_the_result(spark, several):
     found = spark.createDataFrame([(0, "t", 0, 5, 15, 2)], f"{keys}, start int, end int, n_clusters int")
     assigned = spark.createDataFrame([(0, "t", 0, 0, 8, 1, 3), (0, "t", 0, 7, 30, 1, 2)], f"{keys}, begin int, end int, cluster int, assigned long")
     assert D.clusters_coverage(assigned, found).first()["cover"] == [[0] * 10, [3, 3, 5] + [2] * 7]
+
+
+def test_rounds_go_on_until_no_region_fails(spark, monkeypatch):
+    """A window of 23 clusters that fails with more than one, so its cap falls 22 times; the kernels are stand-ins."""
+    empty = spark.createDataFrame([], "x int")
+    region = "replicate int, transcript_id string, region_idx int"
+    consensus = spark.createDataFrame([("t", 0, 0, 40, 23, 1.0)], "transcript_id string, window_idx int, start int, size int, n_clusters int, confidence double")
+    seen = []
+
+    def merged(labels, *_):
+        seen.extend(r["n_clusters"] for r in labels.collect())
+        return labels.select(F.lit(0).alias("replicate"), "transcript_id", F.lit(0).alias("region_idx"), "start", (F.col("start") + F.col("size")).alias("end"), "n_clusters")
+
+    stands = {
+        "kept": lambda df: spark.createDataFrame(df.collect(), df.schema), "grids": lambda *_: empty, "windowed": lambda *_: spark.createDataFrame([("t",)], "transcript_id string"), "detect_windows": lambda *_: empty,
+        "consensus_of": lambda *_: consensus, "cut_windows": lambda *_: empty, "merged_regions": merged, "assigned_reads": lambda *_: spark.createDataFrame([], f"{region}, cluster int, idx array<int>, assigned long"),
+        "fractions_of": lambda *_: spark.createDataFrame([], f"{region}, fraction double"), "failing": lambda fractions, patterns, found, p: found.filter("n_clusters > 1").select("replicate", "transcript_id", "region_idx"),
+        "region_precoverage": lambda *_: empty, "clusters_coverage": lambda *_: empty, "results": lambda *x: x[0].select("transcript_id", "n_clusters"),
+    }
+    for name, f in stands.items():
+        monkeypatch.setattr(D, name, f)
+    reads = spark.createDataFrame([(0, "t")], "replicate int, transcript_id string")
+    heads = spark.createDataFrame([(0, 0, "t", "AC" * 20, 9)], "replicate int, ordinal int, transcript_id string, sequence string, n_reads long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 1)
+        assert [tuple(r) for r in D.deconvolve(reads, heads, P).collect()] == [("t", 1)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == list(range(23, 0, -1))
