@@ -11,12 +11,13 @@ from .. import simulate
 from .. import surrogate as S
 from ..functions import structures as ST
 from ..kernels import distributions, graph_cut, merge, regions, smoothing, spectral
+from ..operators import assign as A
 from ..operators import joins as J
 from ..params import Params
 from ..sources import mm, text
-from ..tables import shared_dir, table
+from ..tables import kept, shared_dir, table
 from . import deconvolve as P
-from .catalog import GRID, RUNS, SIZE, UNIQUE, _joined, query, rounded
+from .catalog import GRID, RUNS, SIZE, STEP, UNIQUE, _joined, query, rounded
 
 KEYS = ["transcript_id", "replicate"]
 
@@ -283,42 +284,42 @@ def simulate_reads(spark, d):
     return simulate.simulate(spark, "two", profiles, 2000, 30, [0.7, 0.3], rate=0.08).withColumn("idx", _joined("idx"))
 
 
-def _small(spark) -> tuple[DataFrame, DataFrame, Params]:
-    profiles = [[int(i < 20) for i in range(40)], [int(i >= 20) for i in range(40)]]
-    reads = None
-    for replicate in (0, 1):
-        r = simulate.simulate(spark, "two", profiles, 1500, 40, [0.6, 0.4], rate=0.08, replicate=replicate)
-        reads = r if reads is None else reads.unionByName(r)
-    transcripts = spark.createDataFrame([(r, 0, "two", "AC" * 20, 1500) for r in (0, 1)], "replicate int, ordinal int, transcript_id string, sequence string, n_reads long")
-    p = Params(win_len=40, max_permutations=14, soft_clustering_inits=4, soft_clustering_iters=1, soft_clustering_weight_module=0.2, min_base_coverage=50)
-    return reads.drop("conformation"), transcripts, p
+def _whole(spark, d) -> tuple[DataFrame, DataFrame, Params]:
+    """All surrogate reads, their transcripts, and default options on the surrogate's grid of windows.
+
+    Windows without a detection take their neighbours' label, or 1 where a transcript
+    has none, so that regions are built and merged on tables of any size.
+    """
+    reads = kept(typed_reads(spark, d))
+    counts = reads.groupBy("replicate", "transcript_id").agg(F.count(F.lit(1)).alias("n_reads"))
+    transcripts = heads(spark).drop("n_reads").join(counts, ["replicate", "transcript_id"])
+    return reads, transcripts, Params(win_len=SIZE, win_offset=STEP / SIZE, non_informative_to_surround=True, all_non_informative_to_one=True)
 
 
 @query()
 def result_json(spark, d):
-    """The nested result document of a simulated transcript."""
-    r = P.deconvolve(*_small(spark))
+    """The nested result documents of all surrogate transcripts."""
+    r = P.deconvolve(*_whole(spark, d))
     return r.select("id", F.to_json(F.struct(*[r[c] for c in r.columns])).alias("document"))
 
 
 @query()
 def raw_n_clusters(spark, d):
-    reads, transcripts, p = _small(spark)
-    grid = P.grids(reads, transcripts, p)
-    return P.raw_n_clusters(P.detect_windows(P.windowed(reads, grid), p), grid)
+    reads, transcripts, p = _whole(spark, d)
+    grid = kept(P.grids(reads, transcripts, p))
+    return P.raw_n_clusters(P.detect_windows(kept(P.windowed(reads, grid)), p), grid)
 
 
 @query()
 def failing_regions(spark, d):
-    """Shares of reads and the windows' lowered caps when a cluster is called too small."""
-    reads, transcripts, p = _small(spark)
-    found = spark.createDataFrame([(r, "two", 0, 0, 40, 2, 0, 1, [[float(i < 20), float(i >= 20)] for i in range(40)], [1] * 40) for r in (0, 1)], P.REGIONS)
-    grid = P.grids(reads, transcripts, p)
-    fractions = P.fractions_of(P.assigned_reads(reads, found, grid, p), found)
+    """The windows' lowered caps when the smaller cluster of one of each transcript's two regions is called too small."""
+    reads, transcripts, p = _whole(spark, d)
+    spans = [(0, 2 * SIZE, SIZE), (SIZE, S.LENGTH, SIZE + SIZE // 4)]
+    at = [(begin, end, [[float(b < cut), float(b >= cut)] for b in range(begin, end)]) for begin, end, cut in spans]
+    found = spark.createDataFrame([(r["replicate"], r["transcript_id"], i, begin, end, 2, i * 2, i * 2 + 3, w, [1] * (end - begin)) for r in transcripts.select(*P.R).collect() for i, (begin, end, w) in enumerate(at)], P.REGIONS)
+    grid = kept(P.grids(reads, transcripts, p))
+    assigned = kept(P.assigned_reads(reads, found, grid, p))
     labels = P.all_windows(grid).withColumn("n_clusters", F.lit(2))
-    strict = Params(min_cluster_fraction=0.45)
-    bad = P.failing(fractions, fractions.select(*P.R, "region_idx", "cluster", F.lit(0).alias("base"), F.col("n").alias("mutations")), found, strict)
+    bad = P.failing(P.fractions_of(assigned, found), A.cluster_patterns(assigned, [*P.R, "region_idx"]), found, Params(min_cluster_fraction=0.3))
     caps = spark.createDataFrame([], "transcript_id string, window_idx int, cap int")
     return P.lowered(caps, bad, found, labels)
-
-
