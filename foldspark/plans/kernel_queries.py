@@ -100,7 +100,7 @@ def eigengaps(spark, d):
 @query()
 def ptba(spark, d):
     """Clusters detected in every window of every replicate."""
-    p = Params(max_permutations=14, min_base_coverage=1, min_filtered_reads=20, min_mutation_freq=0.0, shape=True)
+    p = Params(min_base_coverage=1, min_filtered_reads=20, min_mutation_freq=0.0, shape=True)
     w = J.window_reads(S.reads(spark, d), SIZE, GRID.count, GRID.step)
     rows = w.select(F.col("replicate").cast("int").alias("replicate"), F.col("transcript_id").cast("string").alias("transcript_id"), F.col("window_idx").cast("int").alias("window_idx"), F.lit("A" * SIZE).alias("sequence"), F.transform("idx", lambda i: i.cast("int")).alias("idx"))
     return P.detect_windows(rows, p).select("replicate", "transcript_id", "window_idx", "n_clusters", "status")
@@ -179,8 +179,10 @@ def _graphs(spark, d, cut, schema: str) -> DataFrame:
 
 @query()
 def soft_graph_cut(spark, d):
+    p = Params()
+
     def cut(t, bases, g) -> pd.DataFrame:
-        w = graph_cut.soft_cut([g], 2, 0.2, 5, 2, P.seed_of("cut", t))
+        w = graph_cut.soft_cut([g], 2, p.soft_clustering_weight_module, p.soft_clustering_inits, p.soft_clustering_iters, P.seed_of("cut", t))
         return pd.DataFrame([[t, int(b), c, round(float(w[i, c]), 6)] for i, b in enumerate(bases) for c in range(w.shape[1])], columns=["transcript_id", "base", "cluster", "weight"])
 
     return _graphs(spark, d, cut, "transcript_id long, base int, cluster int, weight double")
@@ -188,8 +190,10 @@ def soft_graph_cut(spark, d):
 
 @query()
 def hard_graph_cut(spark, d):
+    rounds = Params().soft_clustering_iters
+
     def cut(t, bases, g) -> pd.DataFrame:
-        return pd.DataFrame({"transcript_id": t, "base": bases, "cluster": graph_cut.hard_cut(g, 3, 2, P.seed_of("hard", t))})
+        return pd.DataFrame({"transcript_id": t, "base": bases, "cluster": graph_cut.hard_cut(g, 3, rounds, P.seed_of("hard", t))})
 
     return _graphs(spark, d, cut, "transcript_id long, base int, cluster int")
 

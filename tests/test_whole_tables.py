@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import os
 
+import numpy as np
 import pytest
 
-from foldspark.plans import catalog
+from foldspark.kernels import graph_cut
+from foldspark.params import Params
+from foldspark.plans import catalog, kernel_queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -26,4 +29,16 @@ def test_raw_numbers_and_caps_cover_all_transcripts(spark):
     raw = {(r["replicate"], r["transcript_id"], r["start"]) for r in catalog.QUERIES["raw_n_clusters"](spark, SF).collect()}
     assert raw == {(r, t, s) for r in range(3) for t in EVERY for s in range(0, 41, 10)}
     caps = {tuple(r) for r in catalog.QUERIES["failing_regions"](spark, SF).collect()}
-    assert caps == {(t, w, 1) for t in EVERY for w in (2, 3, 4)}
+    assert caps >= {(t, w, 1) for t in EVERY for w in (2, 3, 4)} and {c for _, _, c in caps} == {1}
+
+
+def test_registered_kernels_use_the_default_effort(spark, monkeypatch):
+    asked, p = {}, Params()
+    monkeypatch.setattr(kernel_queries, "_graphs", lambda spark, d, cut, schema: cut(0, [0], None))
+    monkeypatch.setattr(graph_cut, "soft_cut", lambda graphs, k, *x: asked.setdefault("soft", x[:3]) and np.ones((1, 2)))
+    monkeypatch.setattr(graph_cut, "hard_cut", lambda g, k, rounds, seed: asked.setdefault("hard", rounds) and [0])
+    monkeypatch.setattr(kernel_queries.P, "detect_windows", lambda rows, p: asked.setdefault("ptba", p) and rows.selectExpr("*", "0 as n_clusters", "'' as status"))
+    for name in ("soft_graph_cut", "hard_graph_cut", "ptba"):
+        catalog.QUERIES[name](spark, SF)
+    assert asked["soft"] == (p.soft_clustering_weight_module, p.soft_clustering_inits, p.soft_clustering_iters)
+    assert asked["hard"] == p.soft_clustering_iters and asked["ptba"].max_permutations == p.max_permutations
