@@ -10,6 +10,7 @@ carry on with the unsettled transcripts only, from written tables.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -342,17 +343,28 @@ def results(found: DataFrame, precoverage: DataFrame, covers: DataFrame, fractio
     return heads.join(windows, "transcript_id", "left").join(clusters, "transcript_id", "left").withColumnRenamed("transcript_id", "id")
 
 
-def deconvolve(reads: DataFrame, transcripts: DataFrame, p: Params) -> DataFrame:
-    """The result of every transcript that all replicates hold with one sequence; rounds go on until no region fails."""
+def deconvolve(reads: DataFrame, transcripts: DataFrame, p: Params, outputs: bool = False) -> DataFrame | None:
+    """The result of every transcript that all replicates hold with one sequence; rounds go on until no region fails.
+
+    With outputs, what the options ask for besides is written: eigengaps, the raw
+    numbers of clusters to ``p.output`` (the analysis ends there, without a result),
+    and the assignments of settled transcripts, a folder a round.
+    """
     aligned = J.replicate_align(transcripts).filter("same_sequence").select("transcript_id")
     reads, transcripts = (x.join(aligned, "transcript_id", "left_semi") for x in (reads, transcripts))
     grid = kept(grids(reads, transcripts, p))
     win_reads = kept(windowed(reads, grid))
     replicates = transcripts.select(*R).distinct()
-    consensus = kept(consensus_of(detect_windows(win_reads, p), grid, replicates))
+    detected = kept(detect_windows(win_reads, p))
+    if outputs and p.save_eigengap_data:
+        write_eigengaps(detected, p.eigengap_data_out)
+    if outputs and p.output_raw_n_clusters:
+        write_raw_n_clusters(detected, grid, p.output)
+        return None
+    consensus = kept(consensus_of(detected, grid, replicates))
     caps = reads.sparkSession.createDataFrame([], "transcript_id string, window_idx int, cap int")
     every, out = (win_reads, reads, transcripts, consensus), None
-    while True:
+    for number in itertools.count():
         labels = kept(smoothed(consensus, caps, p))
         found = kept(merged_regions(labels, kept(cut_windows(win_reads, labels, p)), win_reads, p))
         assigned = kept(assigned_reads(reads, found, grid, p))
@@ -362,6 +374,8 @@ def deconvolve(reads: DataFrame, transcripts: DataFrame, p: Params) -> DataFrame
         done = [x.join(again, "transcript_id", "left_anti") for x in (found, fractions, patterns, labels, transcripts)]
         settled = kept(results(done[0], region_precoverage(reads, done[0], grid), clusters_coverage(assigned, done[0]), *done[1:]))
         out = settled if out is None else out.unionByName(settled)
+        if outputs and p.assignments_dump_dir and settled.limit(1).count():
+            dump_assignments(reads.join(again, "transcript_id", "left_anti"), done[0], grid, p, f"{p.assignments_dump_dir}/round={number}")
         if not bad.limit(1).count():
             return out
         # A failing region lowers a cap each round, so the rounds end.
@@ -394,11 +408,12 @@ def write_result(result: DataFrame, p: Params, path: str) -> None:
     result.withColumn("params", F.lit(p.to_json())).write.mode("overwrite").json(path)
 
 
-def run(spark: SparkSession, p: Params) -> DataFrame:
-    """From mutation map files (one a replicate) to the result, written to ``p.output``."""
+def run(spark: SparkSession, p: Params) -> DataFrame | None:
+    """From mutation map files (one a replicate) to the result, written to ``p.output``; none if only the raw numbers are asked for."""
     from ..sources.mm import read_mm
 
     transcripts, reads = read_mm(spark, list(p.mm), p.whitelist)
-    result = deconvolve(reads, transcripts, p)
-    write_result(result, p, p.output)
+    result = deconvolve(reads, transcripts, p, outputs=True)
+    if result is not None:
+        write_result(result, p, p.output)
     return result

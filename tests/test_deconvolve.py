@@ -177,3 +177,17 @@ def test_rounds_go_on_until_no_region_fails(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen == list(range(23, 0, -1))
+
+
+def test_a_run_writes_what_its_options_ask_for(spark, several, tmp_path):
+    rows, _ = several
+    files = []
+    for replicate in (0, 1):
+        files.append(f"{tmp_path}/{replicate}.mm")
+        mm.write_file(files[-1], [("t", "AC" * (LENGTH // 2), [(x[3], x[4], x[5]) for x in rows if x[0] == replicate])])
+    asked = Params(**{**SEVERAL.__dict__, "mm": tuple(files), "output": f"{tmp_path}/raw", "output_raw_n_clusters": True, "save_eigengap_data": True, "eigengap_data_out": f"{tmp_path}/gaps"})
+    assert D.run(spark, asked) is None
+    assert len([line for f in (tmp_path / "raw").glob("*.csv") for line in f.read_text().splitlines()]) == 10 and (tmp_path / "gaps" / "_SUCCESS").exists()
+    dumped = Params(**{**SEVERAL.__dict__, "mm": tuple(files), "output": f"{tmp_path}/out", "assignments_dump_dir": f"{tmp_path}/dump"})
+    assert [r["id"] for r in D.run(spark, dumped).collect()] == ["t"]
+    assert mm.read_mm(spark, [str(f) for f in (tmp_path / "dump").rglob("*.mm")])[0].count() == 2
