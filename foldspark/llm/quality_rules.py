@@ -30,10 +30,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import exp, lgamma, log
 
-from pyspark.sql import Column, DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cached
+from .common import cached, compact
 from .text_stats import with_base_stats
 
 
@@ -54,6 +55,8 @@ RULES = (
     Rule("short words", "-try_divide(__chars, __words)", (-1.0, -1.5, -2.0, -2.5, -3.0)),
 )
 LEAST_WORDS, MOST_REPEATED = 50, 50
+#: Cutoffs of up to so many strata are broadcast; of more, joined.
+MOST_BROADCAST = 1000
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
@@ -97,35 +100,36 @@ def level(rule: Rule) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in rule.cutoffs]), lambda c: value > c))
 
 
-def thresholds(stats: DataFrame, labels: DataFrame, risk: float, delta: float, most_strata: int, id_col: str) -> list[Row]:
-    """For each stratum with labels: __stratum, good (documents) and cuts (how many cutoffs hold, by rule).
-
-    At most ``most_strata`` strata, the most frequent among the labels, get
-    cutoffs; others keep to the base rule, which rejects less, never more.
-    """
+def thresholds(stats: DataFrame, labels: DataFrame, risk: float, delta: float, id_col: str) -> tuple[DataFrame, int]:
+    """__stratum and __cuts (how many cutoffs hold, by rule) of every stratum with labels, and how many strata there are."""
     good = labels.filter("quality is not null").groupBy(F.col(id_col).alias("__id")).agg(F.max("quality").alias("__q")).filter("__q > 0").select("__id")
     passed = stats.filter(~base_failed()).select(F.col(id_col).alias("__id"), "__stratum", F.array(*[level(r) for r in RULES]).alias("__levels"))
     counts = passed.join(good, "__id", "left_semi").groupBy("__stratum", "__levels").agg(F.count(F.lit(1)).alias("n"))
     each = counts.select("__stratum", "n", F.posexplode("__levels").alias("rule", "level")).groupBy("__stratum", "rule", "level").agg(F.sum("n").alias("n"))
-    by = each.groupBy("__stratum").agg(F.collect_list(F.struct("rule", "level", "n")).alias("cells"), F.sum(F.when(F.col("rule") == 0, F.col("n"))).alias("good"))
-    rows = by.orderBy(F.desc("good"), "__stratum").limit(most_strata).collect()
-    out = []
-    for r in rows:
-        cuts = []
+    by = compact(each.groupBy("__stratum").agg(F.collect_list(F.struct("rule", "level", "n")).alias("cells"), F.sum(F.when(F.col("rule") == 0, F.col("n"))).alias("good")))
+    strata = by.count()
+
+    def cuts(r) -> list[int]:
+        out = []
         for i, rule in enumerate(RULES):
-            rejected = [sum(c["n"] for c in r["cells"] if c["rule"] == i and c["level"] >= len(rule.cutoffs) - k) for k in range(len(rule.cutoffs))]
-            cuts.append(certified(rejected, r["good"], risk / len(RULES), delta / (len(RULES) * len(rows))))
-        out.append(Row(__stratum=r["__stratum"], cuts=cuts))
-    return out
+            rejected = [sum(int(c["n"]) for c in r.cells if c["rule"] == i and c["level"] >= len(rule.cutoffs) - k) for k in range(len(rule.cutoffs))]
+            out.append(certified(rejected, int(r.good), risk / len(RULES), delta / (len(RULES) * strata)))
+        return out
+
+    def run(batches):
+        for rows in batches:
+            yield pd.DataFrame({"__stratum": rows["stratum"], "__cuts": [cuts(r) for r in rows.itertuples()]})
+
+    return by.withColumnRenamed("__stratum", "stratum").mapInPandas(run, "__stratum string, __cuts array<int>"), strata
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, stratum_col: str = "lang", id_col: str = "doc_id", most_strata: int = 1000) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, stratum_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """id, n_words, the base statistics, base_failed, kept, and why: the rules that reject."""
     rows = docs.withColumn("__stratum", docs[stratum_col].cast("string"))
     stats = cached(with_base_stats(rows, [id_col, "__stratum"]))
-    found = thresholds(stats, labels, risk, delta, most_strata, id_col)
-    table = docs.sparkSession.createDataFrame(found or [Row(__stratum="", cuts=[0] * len(RULES))], "__stratum string, __cuts array<int>")
-    judged = stats.withColumn("__s", F.coalesce("__stratum", F.lit("\0"))).join(F.broadcast(table.select(F.coalesce("__stratum", F.lit("\0")).alias("__s"), "__cuts")), "__s", "left")
+    found, strata = thresholds(stats, labels, risk, delta, id_col)
+    table = found.select(F.coalesce("__stratum", F.lit("\0")).alias("__s"), "__cuts")
+    judged = stats.withColumn("__s", F.coalesce("__stratum", F.lit("\0"))).join(F.broadcast(table) if strata <= MOST_BROADCAST else table, "__s", "left")
 
     def rejects(i: int, rule: Rule) -> Column:
         held = F.coalesce(F.element_at("__cuts", i + 1), F.lit(0))

@@ -135,3 +135,11 @@ def test_scores(spark, tables):
     alone = Q.score(docs, labels.limit(0)).collect()
     assert {r.score for r in alone} == {0.5}
     assert Q.score(docs.limit(0), labels).collect() == []
+
+
+def test_every_stratum_gets_cutoffs(spark):
+    words = "array_join(transform(sequence(1, 60), i -> concat(if(id % 9 = 8, repeat('x', 120), 'w'), 1000 + i)), ' ')"
+    docs = spark.range(9 * 1100).selectExpr("id as doc_id", "cast(id div 9 as string) as lang", f"{words} as text")
+    labels = docs.filter("doc_id % 9 < 8").selectExpr("doc_id", "1 as quality")
+    out = R.apply_rules(docs, labels, risk=4.5)
+    assert out.filter("why like '%long words%'").count() == 1100 and out.filter("kept").count() == 8 * 1100
