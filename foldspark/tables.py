@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+#: What was cached or written, in order, until it is released: DataFrames and folders.
+_made: list[DataFrame | str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,11 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the one that all executors share.
 
-    A cluster names that in spark.checkpoint.dir; where it is unset (tests, one
-    machine) a folder below the warehouse is used.
+    A cluster names that in spark.checkpoint.dir. Where it is unset, only a session
+    on one machine may use a folder below the warehouse instead.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -31,3 +41,39 @@ def kept(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """df stored on the executors' disks as it is first computed, with its lineage.
+
+    For what several later passes of one plan read: what a lost executor held is
+    computed again from the inputs. Rounds that would make lineage long use kept().
+    """
+    out = df.persist(StorageLevel.DISK_ONLY)
+    _made.append(out)
+    return out
+
+
+def made() -> int:
+    """How much is cached or written by now: what release() takes as ``since``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Unpersist and delete what was cached or written since, but for the files that a DataFrame reads.
+
+    Only for callers that know that no result of those steps is still to be
+    computed; a query itself returns before its rows are.
+    """
+    used = but.inputFiles() if but is not None else []
+    left = []
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for x in _made[since:]:
+        if isinstance(x, DataFrame):
+            x.unpersist()
+        elif any(f"/{x.rsplit('/', 1)[1]}/" in f for f in used):
+            left.append(x)
+        else:
+            path = jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(conf).delete(path, True)
+    _made[since:] = left
