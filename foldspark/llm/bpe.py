@@ -18,8 +18,9 @@ own, as in the tiktoken library; a match that is itself in the vocabulary is
 that token. Special tokens are ordinary text.
 
 Defined results: null text is empty text: 0 tokens and the digests of nothing;
-repeated rows stay; a null id stays null; other columns are not read. Very long
-matches take time in proportion to their length.
+repeated rows stay; a null id stays null; an empty table gives none; other columns
+are not read and may have any name. Very long matches take time in proportion to
+their length, and aren't held in a worker's memo.
 """
 
 from __future__ import annotations
@@ -236,10 +237,9 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = text_coder(path, pattern)
         for batch in batches:
-            for small in _slices(batch):
-                ids = [coder.encode(text.as_py() or "") for text in small.column(len(keep))]
-                n = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(small.column(i) for i in range(len(keep))), n, pa.array(ids, pa.binary())], names=[*keep, "n_tokens", "token_ids"])
+            ids = [coder.encode(text.as_py() or "") for text in batch.column(len(keep))]
+            n = pa.array([len(x) // 4 for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), n, pa.array(ids, pa.binary())], names=[*keep, "n_tokens", "token_ids"])
 
     rows = docs.select(*keep, docs[text_col].alias("__text"))
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
@@ -263,7 +263,3 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     rows = docs.select(id_col, docs[text_col].alias("__text"))
     return map_texts(rows, run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-
-def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)

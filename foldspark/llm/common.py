@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..tables import kept, shared_dir
+from ..tables import cached, kept, release, shared_dir
 
-__all__ = ["Memo", "SPACES", "WORD", "cached", "compact", "held", "in_fold", "kept", "map_texts", "shared_dir", "words_of"]
+__all__ = ["Memo", "SPACES", "WORD", "cached", "compact", "held", "in_fold", "kept", "map_texts", "prepare", "quoted", "release", "shared_dir", "words_of"]
 
 #: White space of the contracts: 0x20 and 0x09-0x0D. bytes.split() splits at exactly these.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -18,18 +21,20 @@ WORD = re.compile(f"[^{SPACES}]+")
 
 
 class Memo(dict):
-    """A dict that computes missing values and holds at most twice ``most`` keys.
+    """A dict that computes missing values and holds at most twice ``most`` keys of at most ``longest`` letters or bytes.
 
     When it is full, its keys become the old generation, from which those that
-    are asked for again come back; the older ones go. The bound is on memory
-    only: a dropped value is computed again.
+    are asked for again come back; the older ones go. Longer keys are computed
+    each time. The bounds are on memory only: a dropped value is computed again.
     """
 
-    def __init__(self, compute, most: int = 400_000):
+    def __init__(self, compute, most: int = 100_000, longest: int = 64):
         super().__init__()
-        self.compute, self.most, self.old = compute, most, {}
+        self.compute, self.most, self.longest, self.old = compute, most, longest, {}
 
     def __missing__(self, key):
+        if isinstance(key, (bytes, str)) and len(key) > self.longest:
+            return self.compute(key)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -59,15 +64,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def cached(df: DataFrame) -> DataFrame:
-    """df stored on the executors' disks as it is first computed, with its lineage.
-
-    For what several later passes of one plan read: what a lost executor held is
-    computed again from the inputs. Rounds that would make lineage long use kept().
-    """
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def compact(df: DataFrame, rows_per_file: int = 100_000) -> DataFrame:
     """kept(), in as many files as its rows need: for tables much smaller than what they are made from.
 
@@ -81,20 +77,47 @@ def compact(df: DataFrame, rows_per_file: int = 100_000) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of one Arrow batch of whole texts; a text may be long.
-BATCH_ROWS = 512
+#: Bytes of one Arrow batch of whole texts; a single text may be longer.
+BATCH_BYTES = 2 << 20
 
 
-def map_texts(rows: DataFrame, run, schema: str) -> DataFrame:
-    """rows.mapInArrow(run, schema) in small batches.
+def prepare(spark: SparkSession) -> None:
+    """Set up a session for whole texts: Arrow batches of at most BATCH_BYTES, or one row.
 
-    Batches of the default 10,000 rows of text take memory for several copies of
-    them in the JVM and in Python. The session's setting is lowered, not raised.
+    Called once a session, by the registered queries and the pipeline; operators
+    change no setting. Narrow rows aren't concerned: 10,000 of them (Spark's own
+    bound) are smaller. Without this call Spark's 64 MB hold, and each operator
+    still slices what it gets.
     """
-    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, BATCH_ROWS)
-    return rows.mapInArrow(run, schema)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("b")) != BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = -1, most: int = BATCH_BYTES, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches cut where ``rows`` rows or, in that column's texts, about ``most`` bytes are full."""
+    for batch in batches:
+        at = 0
+        if not batch.num_rows:
+            yield batch
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = sizes.cumsum()
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = min(max(at + 1, int(ends.searchsorted(before + most, "right"))), at + rows)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def map_texts(rows: DataFrame, run, schema: str | StructType, column: int = -1) -> DataFrame:
+    """rows.mapInArrow(run, schema) over slices whose texts (in that column) are bounded in bytes."""
+    return rows.mapInArrow(lambda batches: run(slices(batches, column)), schema)
+
+
+def quoted(name: str) -> str:
+    """A column's name for select and col, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def in_fold(id_column: Column, folds: int, fold: int) -> Column:

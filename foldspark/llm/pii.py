@@ -2,24 +2,34 @@
 
 Candidates are the base matches (email, ip, card, phone) and looser ones that
 the base patterns leave out: written-out addresses, phone numbers without a
-plus, national ids, and digit groups that only look like a base kind. Five
-labelers vote on each candidate, for, against or not at all: the base pattern,
-the checksum or shape, a gazetteer, the words before it, and its edges.
+plus, national ids, and base matches that failed their kind's check, whatever
+their length. Where loose candidates overlap, the more specific kind is taken.
+Five labelers vote on each candidate, for, against or not at all: the base
+pattern, the checksum or shape, a gazetteer, the words before it, and its edges.
 Expectation-maximisation (Dawid and Skene, 1979) estimates for each kind how
 reliable each labeler is and how likely each pattern of votes is personal data;
 it needs only the number of candidates with each pattern, which Spark counts and
 whose number is bounded (3 to the power of 5 for each kind). A logistic
 classifier of the span's shape and context is then trained on those
-probabilities, on a sample of at most about ``most_sampled`` candidates, and has
-the last word on the looser candidates; base matches always stay.
+probabilities and has the last word on the looser candidates; base matches
+always stay.
+
+The classifier's rows are the distinct candidates (kind, votes, features) with
+their counts, which Spark adds up over all rows, so a template that stands in a
+third of all texts is one weighted row. Of each kind about ``most_sampled``
+distinct ones are taken at most (a documented bound on what the fit holds), each
+with a probability in proportion to its count and weighted by its inverse: the
+frequent ones are always in.
 
 Base matches are leftmost and non-overlapping for each kind; those that fail the
 kind's check are dropped without a retry. Offsets are code points, ends are
 exclusive.
 
-Defined results: null text is empty and has no spans; repeated rows stay; a null
-id stays; other columns aren't read; without candidates nothing is trained and
-nothing added.
+Defined results: null or empty text has no spans; very long texts and matches
+(runs of thousands of digits among them) are read whole, in linear time; repeated
+rows and repeated ids stay, each row with its own text's spans; a null id stays;
+other columns aren't read and may have any name; without candidates nothing is
+trained and nothing added; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -27,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -51,7 +62,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 
 # Looser candidates.
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]{1,63})+", re.I)
+_AT = re.compile(r"\x20?(?:\(at\)|\[at\])\x20?", re.I)
+_SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]++)+", re.I)
 _PLAIN_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
@@ -78,6 +90,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(part: str) -> bool:
+    """At most 255; a run of any number of digits."""
+    short = part.lstrip("0")
+    return len(short) <= 3 and int(short or 0) <= 255
+
+
 def base_matches(text: str) -> list[tuple[int, int, int, bool]]:
     """(kind number, start, end, passes the kind's check) of every base match."""
     out = []
@@ -93,7 +111,7 @@ def base_matches(text: str) -> list[tuple[int, int, int, bool]]:
         at = text.find("@", max(at + 1, end))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            out.append((1, m.start(), m.end(), all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))))
+            out.append((1, m.start(), m.end(), all(map(_octet, m[0].split(".")))))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 9:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -104,67 +122,122 @@ def base_matches(text: str) -> list[tuple[int, int, int, bool]]:
     return out
 
 
+def spelled(text: str) -> list[tuple[int, int]]:
+    """Addresses with a written-out at sign: name (at) domain [dot] com."""
+    out, end = [], 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _SPELLED_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if domain:
+            end = domain.end()
+            out.append((start, end))
+    return out
+
+
+#: Of overlapping loose candidates the more specific kind is taken: national id, phone, email, ip, card.
+_ORDER = {4: 0, 3: 1, 0: 2, 1: 3, 2: 4}
+
+
 def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     """Base matches, failed ones among them, and the looser candidates beside them: (kind, start, end, base)."""
     found = base_matches(text)
     sure = sorted((a, b) for _, a, b, ok in found if ok)
-    loose = [(k, a, b) for k, a, b, ok in found if not ok and b - a <= 40]
-    low = "(at)" in text.lower() or "[at]" in text.lower() if "(" in text or "[" in text else False
-    if low:
-        loose += [(0, m.start(), m.end()) for m in _SPELLED.finditer(text)]
-    if any(k for k, *_ in found) or _DIGIT.search(text):
+    loose = [(k, a, b) for k, a, b, ok in found if not ok]
+    if "(" in text or "[" in text:
+        loose += [(0, a, b) for a, b in spelled(text)]
+    if _DIGIT.search(text):
         loose += [(3, m.start(), m.end()) for m in _PLAIN_PHONE.finditer(text)]
         loose += [(4, m.start(), m.end()) for m in _NATIONAL.finditer(text)]
     starts = [a for a, _ in sure]
     highest = np.maximum.accumulate([b for _, b in sure]) if sure else []
+    taken: list[tuple[int, int]] = []  # apart from each other, in order
 
     def free(a: int, b: int) -> bool:
-        i = int(np.searchsorted(starts, b)) - 1
-        return i < 0 or highest[i] <= a
+        i = bisect_left(starts, b) - 1
+        if i >= 0 and highest[i] > a:
+            return False
+        j = bisect_left(taken, (b, b)) - 1
+        return j < 0 or taken[j][1] <= a
 
     out = [(k, a, b, True) for k, a, b, ok in found if ok]
-    taken = -1
-    for k, a, b in sorted(set(loose), key=lambda x: (x[1], x[0], x[2])):
-        if a >= taken and free(a, b):
+    for k, a, b in sorted(set(loose), key=lambda x: (_ORDER[x[0]], x[1], x[2])):
+        if free(a, b):
             out.append((k, a, b, False))
-            taken = b
+            insort(taken, (a, b))
     return sorted(out)
 
 
-def votes(text: str, kind: int, start: int, end: int, base: bool) -> list[int]:
+def _failed(kind: int, span: str) -> bool:
+    """Whether a span that isn't a base match is a match of its kind's base pattern that failed the check."""
+    return kind in (1, 2) or (kind == 3 and span.startswith("+"))
+
+
+_TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)?|[$€]")
+
+
+class Context:
+    """The tokens of a text, found once, for the words around its candidates."""
+
+    def __init__(self, text: str):
+        self.text = text
+        found = [m.span() for m in _TOKEN.finditer(text)]
+        self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
+
+    def _words(self, a: int, b: int) -> list[str]:
+        return [self.text[self.starts[i] : self.ends[i]].lower() for i in range(max(a, 0), min(b, len(self.starts)))]
+
+    def before(self, start: int, n: int) -> list[str]:
+        """The last n tokens that end before start."""
+        i = bisect_right(self.ends, start)
+        return self._words(i - n, i)
+
+    def after(self, end: int, n: int) -> list[str]:
+        i = bisect_left(self.starts, end)
+        return self._words(i, i + n)
+
+
+def votes(text: str, context: Context, kind: int, start: int, end: int, base: bool) -> list[int]:
     """One vote (1, -1 or 0: none) of each labeler."""
     span = text[start:end]
     digits = "".join(_DIGIT.findall(span))
-    before = re.findall(r"[^\W_]+(?:-[^\W_]+)?|[$€]", text[max(0, start - 48) : start].lower())[-4:]
-    pattern = 1 if base else -1
+    before = context.before(start, 4)
+    # A candidate of a looser pattern is none of the base pattern's concern; a failed match speaks against.
+    pattern = 1 if base else -1 if _failed(kind, span) else 0
     if kind == 0:
         last = re.split(r"[.\s)\]]+", span)[-1].lower()
         check, gazetteer = (1 if last.isalpha() and len(last) > 1 else -1), (1 if last in _DOMAINS else 0)
     elif kind == 1:
         parts = span.split(".")
-        check = 1 if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts) else -1
-        gazetteer = -1 if parts[0] in ("0", "00", "000") or all(len(p) == 1 for p in parts) else 0
+        check = 1 if all(map(_octet, parts)) else -1
+        gazetteer = -1 if not parts[0].strip("0") or all(len(p) == 1 for p in parts) else 0
     elif kind == 2:
-        check, gazetteer = (1 if luhn(digits) else -1), (1 if digits.startswith(_CARD_PREFIXES) else -1)
+        check, gazetteer = (1 if 13 <= len(digits) <= 19 and luhn(digits) else -1), (1 if digits.startswith(_CARD_PREFIXES) else -1)
     elif kind == 3:
         check, gazetteer = (1 if 9 <= len(digits) <= 15 else -1), (1 if span.startswith(("+1", "+3", "+4", "(")) else 0)
     else:
         check, gazetteer = (-1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" else 1), 0
-    context = 1 if _HINTS[kind].intersection(before) else -1 if _AGAINST.intersection(before) else 0
+    hint = 1 if _HINTS[kind].intersection(before) else -1 if _AGAINST.intersection(before) else 0
     glued = (start > 0 and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
-    return [pattern, check, gazetteer, context, -1 if glued else 1]
+    return [pattern, check, gazetteer, hint, -1 if glued else 1]
 
 
-def shape_features(text: str, kind: int, start: int, end: int) -> list[int]:
-    """Hashed features of a span and its context, for the classifier."""
+def shape_features(text: str, context: Context, kind: int, start: int, end: int) -> list[int]:
+    """Hashed features of a span and its context, for the classifier. Lengths from 40 on share one bin."""
     span = text[start:end]
-    shape = re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", re.sub("[0-9]", "9", span)))[:40]
-    before = text[max(0, start - 30) : start].lower().split()[-2:]
-    after = text[end : end + 30].lower().split()[:1]
-    names = [f"k{kind}", f"k{kind}s{shape}", f"k{kind}n{min(end - start, 40) // 4}", f"k{kind}l{text[start - 1 : start]}", f"k{kind}r{text[end : end + 1]}", *(f"k{kind}b{w}" for w in before), *(f"k{kind}a{w}" for w in after)]
+    shape = re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", re.sub("[0-9]", "9", span)))
+    names = [f"k{kind}", f"k{kind}s{shape}", f"k{kind}n{min(end - start, 40) // 4}", f"k{kind}l{text[start - 1 : start]}", f"k{kind}r{text[end : end + 1]}", *(f"k{kind}b{w}" for w in context.before(start, 2)), *(f"k{kind}a{w}" for w in context.after(end, 1))]
     return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % DIMENSIONS for n in names]
 
 
+def described(text: str) -> list[dict]:
+    """The candidates of a text with their votes and features."""
+    found = candidates(text)
+    context = Context(text) if found else None
+    return [dict(kind=k, start=a, end=b, base=base, votes=",".join(map(str, votes(text, context, k, a, b, base))), features=shape_features(text, context, k, a, b)) for k, a, b, base in found]
+
+
 CANDIDATE = "array<struct<kind:int,start:int,end:int,base:boolean,votes:string,features:array<int>>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))]))
 
@@ -174,10 +247,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x in batch.column(1):
-                text = x.as_py() or ""
-                rows.append([dict(kind=k, start=a, end=b, base=base, votes=",".join(map(str, votes(text, k, a, b, base))), features=shape_features(text, k, a, b)) for k, a, b, base in candidates(text)])
+            rows = [described(x.as_py() or "") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _ARROW)], names=[id_col, "__found"])
 
     rows = docs.select(id_col, docs[text_col].alias("__text"))
@@ -185,14 +255,17 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def dawid_skene(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of each pattern of votes, the vote rates [class, labeler, vote + 1], and the prior."""
+    """Posterior of each pattern of votes, the vote rates [class, labeler, vote + 1], and the prior.
+
+    A labeler that doesn't vote says nothing: rates are among its votes.
+    """
     p = np.clip(0.5 + patterns.mean(axis=1) / 2, 0.05, 0.95)
-    rates, prior = np.zeros((2, patterns.shape[1], 3)), 0.5
+    rates, prior = np.ones((2, patterns.shape[1], 3)), 0.5
     for _ in range(rounds):
         for c, w in ((0, counts * (1 - p)), (1, counts * p)):
             for j in range(patterns.shape[1]):
-                n = np.array([w[patterns[:, j] == v].sum() for v in (-1, 0, 1)]) + 0.5 + np.array([0.5, 0, 0] if c == 0 else [0, 0, 0.5])
-                rates[c, j] = n / n.sum()
+                n = np.array([w[patterns[:, j] == v].sum() for v in (-1, 1)]) + 0.5 + np.array([0.5, 0] if c == 0 else [0, 0.5])
+                rates[c, j, ::2] = n / n.sum()
         prior = (counts @ p + 1) / (counts.sum() + 2)
         log = np.array([np.log((1 - prior, prior)[c]) + sum(np.log(rates[c, j, patterns[:, j] + 1]) for j in range(patterns.shape[1])) for c in (0, 1)])
         p = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
@@ -211,31 +284,42 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[features].sum(), -500, 500))))
 
 
-def train(found: DataFrame, most_sampled: int = 20_000, rounds: int = 300) -> Model:
+def sample_of(each: DataFrame, totals: dict[int, int], most: int) -> DataFrame:
+    """About ``most`` distinct candidates of each kind at most, with their weights: no more depends on partitions or order than in a count."""
+    counts = each.groupBy("kind", "votes", "features").agg(F.count(F.lit(1)).alias("n"))
+    total = F.element_at(F.create_map(*[F.lit(x) for kv in totals.items() for x in kv]), F.col("kind"))
+    share = F.least(F.lit(1.0), F.col("n") * F.lit(float(most)) / total)
+    u = F.pmod(F.xxhash64(F.lit("pii"), "kind", "votes", "features"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return counts.withColumn("share", share).filter(u < F.col("share")).select("kind", "votes", "features", (F.col("n") / F.col("share")).alias("weight"))
+
+
+def train(found: DataFrame, most_sampled: int = 10_000, rounds: int = 300) -> Model:
     """From the rows of extract(): reliabilities by kind, then the span classifier."""
     model = Model()
     each = found.select(F.explode("__found").alias("c")).select("c.*")
     table = each.groupBy("kind", "votes").count().collect()
+    totals: dict[int, int] = {}
     for kind in sorted({r["kind"] for r in table}):
         rows = sorted((r["votes"], r["count"]) for r in table if r["kind"] == kind)
         patterns = np.array([[int(v) for v in votes_.split(",")] for votes_, _ in rows])
         p, rates, _ = dawid_skene(patterns, np.array([float(n) for _, n in rows]))
         model.reliability[kind] = rates
         model.posterior |= {(kind, v): float(x) for (v, _), x in zip(rows, p, strict=True)}
-    total = sum(r["count"] for r in table)
-    if not total:
+        totals[kind] = sum(n for _, n in rows)
+    if not totals:
         return model
-    share = F.pmod(F.xxhash64(F.lit("pii"), "kind", "start", "votes", "features"), F.lit(1 << 30)) < int(min(1.0, most_sampled / total) * (1 << 30))
-    sample = each.filter(share).select("kind", "votes", "features").limit(2 * most_sampled).collect()
+    sample = sorted(sample_of(each, totals, most_sampled).collect(), key=lambda r: (r["kind"], r["votes"], r["features"]))
     if not sample:
         return model
     row = np.repeat(np.arange(len(sample)), [len(r["features"]) for r in sample])
     col = np.concatenate([r["features"] for r in sample]).astype(int)
     y = np.array([model.posterior[r["kind"], r["votes"]] for r in sample])
+    weight = np.array([r["weight"] for r in sample])
+    weight = weight / weight.sum()
     w, bias, scale, bias_scale = np.zeros(DIMENSIONS), 0.0, np.full(DIMENSIONS, 1e-8), 1e-8
     for _ in range(rounds):
         z = bias + np.bincount(row, w[col], minlength=len(y))
-        delta = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
+        delta = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * weight
         grad = np.bincount(col, delta[row], minlength=DIMENSIONS) + 1e-6 * w
         scale += grad * grad
         w -= 0.3 * grad / np.sqrt(scale)
