@@ -97,10 +97,27 @@ def test_mix_is_the_same_whatever_the_join(spark):
 
 
 def test_mix_equals_sql_with_nulls_and_repeats(spark):
-    rows = [(i % 400, None if i % 11 == 0 else f"s{i % 3}", f"t{i}") for i in range(900)] + [(None, "s1", None)] * 3
+    rows = [(i % 400, None if i % 11 == 0 else f"s{i % 3}", f"t{i}") for i in range(900)] + [(None, "s1", None)] * 30 + [(None, "s2", f"t{i % 5}") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     got = sorted((tuple(r) for r in mixing.mix(docs).collect()), key=repr)
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, source varchar, text varchar)")
     con.executemany("insert into documents values (?, ?, ?)", rows)
-    assert got == sorted(con.sql(mixing.duckdb_sql()).fetchall(), key=repr)
+    assert got == sorted(con.sql(mixing.duckdb_sql(columns=("doc_id", "source", "text"))).fetchall(), key=repr)
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    docs = spark.range(20000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.when(F.col("id") % 2 == 0, "x").alias("text"), (F.col("id") % 3).alias("meta.k"))
+    out = mixing.mix(docs, {"a": 1.0}, total=20000)
+    assert out.columns == [*docs.columns, "copy"]
+    n = {(r.text, r["meta.k"]): r.n for r in out.groupBy("text", "`meta.k`").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(n) == 6 and all(abs(x - 20000 / 6) < 300 for x in n.values())
+    copies = {r["copy"]: r["count"] for r in out.groupBy("copy").count().collect()}
+    assert abs(copies[1] / 20000 - 0.632) < 0.02 and abs(copies[2] / 20000 - 0.264) < 0.02
+    assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mix(docs.repartition(7), {"a": 1.0}, total=20000, most_broadcast=0).collect()))
+
+
+def test_mix_takes_string_ids_and_long_texts(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"s{i % 2}", "w " * (200_000 if i == 3 else 2)) for i in range(40)], "doc_id string, source string, text string")
+    out = mixing.mix(docs, total=400).collect()
+    assert {len(r.text) for r in out if r.doc_id == "d3"} == {400_000} and abs(len(out) - 400) < 90
