@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, mixing, ngram_join, pii, quality_rules, quality_score, secret_scan, token_count, topk, toxicity
-from .common import in_fold
+from .common import in_fold, prepare, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +46,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger starts empty, in a folder of its own; one that is kept between runs gives the same rows."""
     docs = documents(spark, sf_dir)
-    # The ledger starts empty here and is read once, so it isn't written first.
-    return secret_scan.digest(secret_scan.findings(docs, secret_scan.scan(docs)))
+    ledger = secret_scan.Ledger(spark, shared_dir(spark))
+    ledger.update(docs)
+    return secret_scan.digest(secret_scan.findings(docs, ledger.read()))
 
 
 ORACLE["op7_secret_scan"] = secret_scan.duckdb_sql()

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldspark.llm import mixing, secret_scan
-from foldspark.llm.common import kept
 
 TEXTS = [
     None,
@@ -44,8 +43,15 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, spans string, blob string")
 
 
-def test_findings_equal_regular_expressions(spark, docs):
-    out = secret_scan.digest(secret_scan.findings(docs, kept(secret_scan.scan(docs)))).collect()
+@pytest.fixture
+def ledger(spark, docs, tmp_path):
+    out = secret_scan.Ledger(spark, f"{tmp_path}/ledger")
+    assert out.read() is None and out.update(docs) == len(set(t or "" for t in TEXTS))
+    return out
+
+
+def test_findings_equal_regular_expressions(spark, docs, ledger):
+    out = secret_scan.digest(secret_scan.findings(docs, ledger.read())).collect()
     assert len(out) == len(TEXTS) + 2
     for r in out:
         spans = brute(TEXTS[3 if r.doc_id is None else r.doc_id])
@@ -55,29 +61,62 @@ def test_findings_equal_regular_expressions(spark, docs):
     assert "pem:0:31" in by[8] and "jwt:32:" in by[8]
 
 
-def test_only_unseen_pairs_are_scanned(spark, docs):
-    ledger = kept(secret_scan.scan(docs))
-    assert ledger.count() == len(set(t or "" for t in TEXTS))
-    assert secret_scan.scan(docs, ledger).count() == 0
+def test_only_unseen_pairs_are_scanned(spark, docs, ledger):
+    first = sorted(map(tuple, secret_scan.digest(secret_scan.findings(docs, ledger.read())).collect()), key=str)
+    rows = ledger.read().count()
+    assert ledger.update(docs) == 0 and ledger.read().count() == rows
     more = spark.createDataFrame([(99, "secret=0123456789abcdef0"), (100, TEXTS[3])], "doc_id long, text string")
-    assert [r.scanned for r in secret_scan.scan(more, ledger).collect()] == [[r.key for r in secret_scan.RULES]]
+    assert ledger.update(more) == 1 and ledger.read().count() == rows + 1
     old = secret_scan.RULES[2]
     newer = (*secret_scan.RULES[:2], secret_scan.Rule(old.kind, 2, "[0-9a-f]{8,}", 0, 8, "[0-9a-f]{8}"), *secret_scan.RULES[3:])
-    again = secret_scan.scan(docs, ledger, newer).collect()
-    assert len(again) == ledger.count() and all(r.scanned == ["hex@2"] for r in again)
-    assert all(s.kind_no == 2 for r in again for s in r.spans)
+    again = secret_scan.scan(docs, ledger.read(), newer).collect()
+    assert len(again) == rows and all(r.scanned == ["hex@2"] for r in again) and {s.rule for r in again for s in r.spans} == {"hex@2"}
+    assert ledger.update(docs, newer) == rows
+    # Both versions' findings are in the ledger; each set of rules reads its own.
+    assert first == sorted(map(tuple, secret_scan.digest(secret_scan.findings(docs, ledger.read())).collect()), key=str)
+    assert first != sorted(map(tuple, secret_scan.digest(secret_scan.findings(docs, ledger.read(), newer)).collect()), key=str)
+
+
+def test_a_repeated_update_does_no_harm(docs, ledger):
+    want = sorted(map(str, secret_scan.findings(docs, ledger.read()).collect()))
+    secret_scan.scan(docs).write.mode("append").parquet(ledger.path)
+    assert want == sorted(map(str, secret_scan.findings(docs, ledger.read()).collect()))
+
+
+def masked(text):
+    out, at = "", 0
+    for start, _, _, end in brute(text):
+        if start >= at:
+            out += text[at:start] + "[secret]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_redacted(spark, docs, ledger):
+    many = "é deadbeefdeadbeefa password=0123456789abcdef01 " * 700 + "end"
+    rows = docs.withColumn("meta.k", F.lit(1)).unionByName(spark.createDataFrame([(50, many, "x", "y", 1), (51, "0123456789abcdefapi_key=aaaaaaaaaaaaaaaa.", "x", "y", 1)], "doc_id long, text string, spans string, blob string, `meta.k` int"))
+    for most in (0, 1 << 20):
+        found = secret_scan.redacted(rows, ledger, most_broadcast=most)
+        out = {r.doc_id: r for r in found.collect()}
+        assert found.columns == rows.columns and len(out) + 1 == rows.count()
+        assert out[0].text is None and out[2].text == TEXTS[2] and out[2].blob == "y"
+        assert out[3].text == "[secret] and [secret]'"
+        assert out[50].text == masked(many) and out[51].text == "[secret]."
+
 
+def test_many_findings_take_little_more_than_linear_time(spark, tmp_path):
+    import time
 
-def test_redacted(spark, docs):
-    out = {r.doc_id: r for r in secret_scan.redacted(docs).collect()}
-    assert out[0].text is None and out[2].text == TEXTS[2] and out[2].blob == "y"
-    assert out[3].text == "[secret] and [secret]'"
-    assert secret_scan.redacted(docs).columns == docs.columns and secret_scan.redacted(docs).count() == docs.count()
+    text, ledger = "deadbeefdeadbeef " * 60_000, secret_scan.Ledger(spark, f"{tmp_path}/ledger")
+    docs, began = spark.createDataFrame([("a", text)], "doc_id string, text string"), time.time()
+    assert secret_scan.redacted(docs, ledger).first().text == "[secret] " * 60_000
+    assert time.time() - began < 60
 
 
-def test_empty_tables(spark, docs):
+def test_empty_tables(spark, docs, tmp_path):
     none = docs.limit(0)
-    assert secret_scan.findings(none, kept(secret_scan.scan(none))).count() == 0
+    ledger = secret_scan.Ledger(spark, f"{tmp_path}/ledger")
+    assert ledger.update(none) == 0 and secret_scan.findings(none, ledger.read()).count() == 0 and secret_scan.redacted(none, ledger).count() == 0
     assert mixing.mix(none.withColumn("source", F.lit("a"))).count() == 0
 
 
