@@ -3,19 +3,21 @@
 The statistics of each whole text (text_stats.FEATURES) are standardised over
 all documents and mapped to cosines of random projections, whose inner products
 approximate a Gaussian kernel (Rahimi and Recht, 2007). Ridge regression on them
-needs only sums over the labelled rows, their normal equations: each partition
-sums its own, Spark adds those up row by row of the matrix, and the driver
-solves one system of fixed size. Every labelled row outside the held-out fold
+needs only sums over the labelled rows, their normal equations: each task sums
+ROWS_A_TASK labelled rows (a few megabytes of statistics), Spark adds those sums
+up cell by cell, and the driver solves one system of fixed size. Every labelled row outside the held-out fold
 counts: three quarters of them (by a hash of the id) fit the weights, the rest
 the calibration, for which the driver gets counts of at most BINS bins.
 
 Inputs of a score are the text's statistics only.
 
 Defined results: null, empty or white text has all statistics 0 and gets a score
-like any other; null labels are no labels; a document with several labels is
-good if one says so; repeated rows score alike (and count as often when they
-are labelled); without both classes among the labels the score is the share of
-good ones (0.5 without any); extra columns aren't read.
+like any other; texts of any length are read whole; null labels are no labels; a
+document with several labels is good if one says so; repeated rows score alike
+(and count as often when they are labelled); rows with a null id are scored and
+never learned from; without both classes among the labels the score is the share
+of good ones (0.5 without any); extra columns aren't read and may have any name;
+an empty table gives none.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from .text_stats import FEATURES, with_features
 
 FOLDS, HELD_OUT = 3, 1
 BINS = 1024
+#: Labelled rows whose normal equations one task sums.
+ROWS_A_TASK = 50_000
 
 
 @dataclass
@@ -77,8 +81,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, len(FEATURES)) if len(column) else np.zeros((0, len(FEATURES)))
 
 
-def normal_equations(rows: DataFrame, model: Model) -> np.ndarray:
-    """[Z'Z, Z'y] over rows of __x and __y, summed by partition and then by matrix row."""
+def normal_equations(rows: DataFrame, model: Model, tasks: int) -> np.ndarray:
+    """[Z'Z, Z'y] over rows of __x and __y: one partial sum for each of so many tasks, added up cell by cell."""
     size = len(model.phase) + 1
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,17 +94,13 @@ def normal_equations(rows: DataFrame, model: Model) -> np.ndarray:
                 z = model.expand(_matrix(batch.column(0)))
                 total += z.T @ np.column_stack([z, np.asarray(batch.column(1), dtype=float)])
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel(), pa.float64())], names=["cell", "sum"])
 
-    def add(table):
-        rows = np.asarray(table.column("sums").combine_chunks().flatten()).reshape(-1, size + 1)
-        return pa.table({"i": table.column("i").slice(0, 1), "sums": pa.array([rows.sum(axis=0)], pa.list_(pa.float64()))})
-
-    summed = rows.select("__x", "__y").mapInArrow(partial, "i int, sums array<double>").groupBy("i").applyInArrow(add, "i int, sums array<double>")
-    out = np.zeros((size, size + 1))
+    summed = rows.select("__x", "__y").coalesce(tasks).mapInArrow(partial, "cell int, sum double").groupBy("cell").agg(F.sum("sum").alias("sum"))
+    out = np.zeros(size * (size + 1))
     for r in summed.collect():
-        out[r["i"]] = r["sums"]
-    return out
+        out[r["cell"]] = r["sum"]
+    return out.reshape(size, size + 1)
 
 
 def score_rows(rows: DataFrame, model: Model, keep: list[str], raw: bool = False) -> DataFrame:
@@ -124,14 +124,14 @@ def train(features: DataFrame, labels: DataFrame, size: int = 160, width: float
     rng = np.random.default_rng(seed)
     frequency = rng.normal(0, 1 / (width * np.sqrt(d)), (d, size))
     model = Model(mean, sd, frequency, rng.uniform(0, 2 * np.pi, size), np.zeros(size + 1), np.zeros(0), np.zeros(0))
-    known = labels.select(F.col(id_col).alias("__id"), F.col("quality").cast("int").alias("__y")).dropna().filter(~in_fold(F.col("__id"), FOLDS, HELD_OUT))
+    known = labels.select(F.col(id_col).cast("string").alias("__id"), F.col("quality").cast("int").alias("__y")).dropna().filter(~in_fold(F.col("__id"), FOLDS, HELD_OUT))
     known = known.groupBy("__id").agg((F.max("__y") > 0).cast("int").alias("__y"))
-    rows = cached(features.select(F.col(id_col).alias("__id"), "__x").join(known, "__id").withColumn("__part", F.pmod(F.xxhash64(F.lit("calibrate"), "__id"), F.lit(4))))
+    rows = cached(features.select(F.col(id_col).cast("string").alias("__id"), "__x").join(known, "__id").withColumn("__part", F.pmod(F.xxhash64(F.lit("calibrate"), "__id"), F.lit(4))))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("__y"), F.lit(0.5)).alias("share")).first()
     model.constant = float(total["share"])
     if not total["n"] or model.constant in (0.0, 1.0):
         return model
-    sums = normal_equations(rows.filter("__part > 0"), model)
+    sums = normal_equations(rows.filter("__part > 0"), model, -(-total["n"] // ROWS_A_TASK))
     gram, n = sums[:, :-1], max(sums[-1, -2], 1.0)
     model.weights = np.linalg.solve(gram + ridge * n / size * np.eye(size + 1), sums[:, -1])
     bins = score_rows(rows.filter("__part = 0"), model, ["__y"], raw=True)
