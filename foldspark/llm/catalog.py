@@ -70,7 +70,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = toxicity.train(docs, labels(spark, sf_dir))
     scored = toxicity.score(docs, chain)
     held_out = in_fold(F.col("doc_id"), toxicity.FOLDS, toxicity.HELD_OUT).alias("held_out")
-    return scored.select("doc_id", held_out, "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+    offsets = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return scored.select("doc_id", held_out, "score", "predicted", F.size("spans").cast("long").alias("n_spans"), offsets.alias("spans"))
 
 
 @query

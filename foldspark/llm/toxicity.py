@@ -12,18 +12,23 @@ gives document scores.
 Scoring. A chain with two labels needs one number a position and direction: the
 log odds of the prefix and of the suffix. Both recursions are contractions, so
 they are solved by sweeps over all positions at once until nothing changes by
-1e-10, not by a loop over tokens. Documents without any weighed token need no
-chain of their own: their marginals depend on their length alone.
+1e-10; where the weights of label pairs are so strong that SWEEPS don't settle
+them, a plain loop over the tokens does. Documents without any weighed token need
+no chain of their own: their marginals depend on their length alone.
 
-The fit uses at most about ``most_labelled`` labelled documents (a documented
-bound; all where there are fewer), chosen by a hash of the id. Inputs of a score
-are the text's tokens only: never labels, lang, source or doc_id.
+The fit uses at most about ``most_labelled`` labelled documents, chosen by a hash
+of the id, one text an id (the least of its rows'), and of these, in the order of
+the hash, as many as ``most_bytes`` hold (two documented bounds; all where there
+are fewer). Inputs of a score are the text's tokens only: never labels, lang,
+source or doc_id.
 
 Defined results: null or empty texts score as a document without weighed tokens;
-repeated rows score alike; a document with several labels is toxic if one says
-so; null labels are no labels; without both classes among the labels the score
-is the share of toxic ones (0 without any); rows with a null id are scored and
-never learned from; extra columns aren't read.
+texts of any length are read whole; repeated rows score alike, and rows that
+repeat an id each by their own text; a document with several labels is toxic if
+one says so; null labels are no labels; without both classes among the labels the
+score is the share of toxic ones (0 without any); rows with a null id are scored
+and never learned from; extra columns aren't read, may have any name, and stay
+where documents are filtered; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -32,13 +37,14 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Memo, held, in_fold, map_texts
+from .common import WORD, Memo, cached, held, in_fold, map_texts, quoted
 
 FOLDS, HELD_OUT = 5, 0
 PREFIXES = (3, 4, 5, 6)
@@ -60,7 +66,7 @@ class Chain:
     before: dict[str, float] = field(default_factory=dict)
     after: dict[str, float] = field(default_factory=dict)
     join: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
-    #: Document score: sigmoid(a + b * largest log odds + c * log(1 + sum of marginals)).
+    #: Document score: sigmoid(a + b * largest log odds + c * log(1 + sum of marginals from FLOOR on)).
     score: tuple[float, float, float] = (-20.0, 0.0, 0.0)
 
 
@@ -73,28 +79,53 @@ def passed(odds: np.ndarray, join, back: bool = False) -> np.ndarray:
     return np.log((np.exp(j01) + np.exp(j11) * grown) / (np.exp(j00) + np.exp(j10) * grown))
 
 
+#: Marginals below this aren't added up: a clean text's would grow with its length.
+FLOOR = 0.05
+#: Sweeps after which a chain that hasn't settled is walked token by token.
+SWEEPS = 64
+
+
 def log_odds(own: np.ndarray, starts: np.ndarray, ends: np.ndarray, join, close: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginal log odds of the label, of the prefix and of the suffix, for chains laid end to end."""
-    forth, back = own.copy(), np.zeros_like(own)
-    for _ in range(len(own) + 1):
+    forth, back, settled = own.copy(), np.zeros_like(own), False
+    for _ in range(SWEEPS):
         new = own.copy()
         new[1:] += passed(forth[:-1], join)
         new[starts] = own[starts]
-        done = np.abs(new - forth).max(initial=0.0) < close
+        settled = np.abs(new - forth).max(initial=0.0) < close
         forth = new
-        if done:
+        if settled:
             break
-    for _ in range(len(own) + 1):
+    if not settled:
+        forth = _walked(own, starts, ends, join)
+    settled = False
+    for _ in range(SWEEPS):
         new = np.zeros_like(own)
         new[:-1] = passed((own + back)[1:], join, True)
         new[ends] = 0.0
-        done = np.abs(new - back).max(initial=0.0) < close
+        settled = np.abs(new - back).max(initial=0.0) < close
         back = new
-        if done:
+        if settled:
             break
+    if not settled:
+        back = (_walked(own[::-1], len(own) - 1 - ends[::-1], len(own) - 1 - starts[::-1], (join[0], join[2], join[1], join[3])) - own[::-1])[::-1]
     return forth + back, forth, back
 
 
+def _walked(own: np.ndarray, starts: np.ndarray, ends: np.ndarray, join) -> np.ndarray:
+    """Log odds of the prefixes, from each position to the next."""
+    j00, j01, j10, j11 = map(exp, join)
+    values, out = own.tolist(), []
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        now = values[a]
+        out.append(now)
+        for x in values[a + 1 : b + 1]:
+            grown = exp(min(600.0, max(-600.0, now)))
+            now = x + log((j01 + j11 * grown) / (j00 + j10 * grown))
+            out.append(now)
+    return np.array(out)
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -700, 700)))
 
@@ -231,7 +262,7 @@ class Tagger:
         self.chain = chain
         self.table: list[tuple[float, float, float]] = [(0.0, 0.0, 0.0)]
         self.index = {self.table[0]: 0}
-        self.code = Memo(self._code, 300_000)
+        self.code = Memo(self._code, 150_000)
         #: The first characters of all weighed features: other words weigh nothing.
         self.heads = {f[2:5] for part in (chain.weights, chain.before, chain.after) for f in part}
         self.plain = Memo(self._plain, 20_000)
@@ -253,7 +284,8 @@ class Tagger:
         if not n:
             return self.chain.bias, 0.0
         odds = log_odds(np.full(n, self.chain.bias), np.array([0]), np.array([n - 1]), self.chain.join)[0]
-        return float(odds.max()), float(np.log1p(sigmoid(odds).sum()))
+        p = sigmoid(odds)
+        return float(odds.max()), float(np.log1p(p[p >= FLOOR].sum()))
 
     def tagged(self, texts: list[str | None], least: float = 0.5) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
         """Aggregates of each text, and its tokens (number, marginal) that are toxic.
@@ -284,7 +316,7 @@ class Tagger:
             odds = log_odds(own, starts, ends, self.chain.join)[0]
             p = sigmoid(odds)
             sums[some, 0] = np.maximum.reduceat(odds, starts)
-            sums[some, 1] = np.log1p(np.add.reduceat(p, starts))
+            sums[some, 1] = np.log1p(np.add.reduceat(np.where(p >= FLOOR, p, 0.0), starts))
             at = np.flatnonzero(p >= least)
             for k, which in zip(at, np.searchsorted(ends, at), strict=True):
                 marked[some[which]].append((int(k - starts[which]), float(p[k])))
@@ -310,25 +342,35 @@ def placed(text: str | None, tokens: list[tuple[int, float]]) -> list[tuple[int,
     return [(m.start(), m.end(), marginal[i]) for i, m in enumerate(WORD.finditer(text)) if i in marginal]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int, id_col: str, label_col: str, folds: int, fold: int) -> list[tuple[str, int]]:
-    """Texts and labels to learn from: not the held-out fold, about ``most`` by a hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int, id_col: str, text_col: str, label_col: str, folds: int, fold: int) -> list[tuple[str, int]]:
+    """Texts and labels to learn from: not the held-out fold, about ``most`` by a hash of the id, as many of them as most_bytes hold.
 
-    Only the ids that are sampled are broadcast, a number that ``most`` bounds.
+    Only the ids that are sampled are broadcast, a number that ``most`` bounds;
+    their texts' sizes come first, then the texts that the bound admits.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__label")).dropna().filter(~in_fold(F.col("__id"), folds, fold))
+    known = labels.select(F.col(quoted(id_col)).cast("string").alias("__id"), F.col(quoted(label_col)).cast("int").alias("__label")).dropna().filter(~in_fold(F.col("__id"), folds, fold))
     known = known.groupBy("__id").agg(F.max("__label").alias("__label"))
     n = known.count()
     if not n:
         return []
-    share = F.pmod(F.xxhash64(F.lit("labelled"), "__id"), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))
-    sample = known.filter(share).limit(2 * most)
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col("text").alias("__text"))
-    rows = texts.join(F.broadcast(sample), "__id").select("__id", "__text", "__label").collect()
-    return [(r["__text"], int(r["__label"] > 0)) for r in sorted(rows, key=lambda r: (r["__id"], r["__text"] or ""))]
-
-
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, id_col: str = "doc_id") -> Chain:
-    return fit(labelled(docs, labels, most_labelled, id_col, "toxic", FOLDS, HELD_OUT))
+    place = F.pmod(F.xxhash64(F.lit("labelled"), "__id"), F.lit(1 << 30))
+    sample = known.withColumn("__place", place).filter(F.col("__place") < int(min(1.0, most / n) * (1 << 30)))
+    texts = docs.select(F.col(quoted(id_col)).cast("string").alias("__id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("__text"))
+    rows = cached(texts.join(F.broadcast(sample), "__id").groupBy("__id", "__place", "__label").agg(F.min("__text").alias("__text")))
+    sizes = rows.select("__place", "__id", F.octet_length("__text").alias("size")).collect()
+    taken, total = set(), 0
+    for r in sorted(sizes):
+        total += r["size"]
+        if total <= most_bytes:
+            taken.add(r["__id"])
+    some = rows if len(taken) == len(sizes) else rows.filter(F.col("__id").isin(sorted(taken)))
+    found = some.select("__id", "__text", "__label").collect()
+    rows.unpersist()
+    return [(r["__text"], int(r["__label"] > 0)) for r in sorted(found)]
+
+
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_bytes: int = 48 << 20, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    return fit(labelled(docs, labels, most_labelled, most_bytes, id_col, text_col, "toxic", FOLDS, HELD_OUT))
 
 
 def _tagger(key: int, chain: Chain) -> Tagger:
@@ -348,7 +390,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
             spans = [[{"start": a, "end": b, "marginal": p} for a, b, p in placed(x, m)] for x, m in zip(texts, marked, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, SPAN)], names=[id_col, "score", "predicted", "spans"])
 
-    rows = docs.select(id_col, docs[text_col].alias("__text"))
+    rows = docs.select(quoted(id_col), F.col(quoted(text_col)).alias("__text"))
     return map_texts(rows, run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>")
 
 
@@ -366,4 +408,6 @@ def without_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> Data
             sums, _ = tagger.tagged([x.as_py() for x in batch.column(at)])
             yield batch.filter(pa.array(tagger.scores_of(sums) < 0.5))
 
-    return map_texts(docs, run, docs.schema)
+    # mapInArrow looks columns up by name: plain ones on the way.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return map_texts(plain, run, plain.schema, at).toDF(*docs.columns)
