@@ -19,21 +19,32 @@ one node from the start, so copies cost a row each and no pairs.
    subsets plus the length of the lists scanned is least, added up by Spark for
    each size.
 4. Lists longer than ``long_list`` (near copies by the thousand) give no pairs.
-   The classes of lists that overlap form a group, and tasks on blocks of at most
-   ``block`` classes of a group compare two blocks, by counting shared shingles
-   in matrices; each returns a spanning forest of its links, at most one row a
-   class. So no row count grows with the square of a list. (Work does, for a
-   group of classes that share rare shingles and yet aren't similar.)
+   The classes of lists that overlap form a group, whose components matter, not
+   its links. Two rounds put classes with one min-hash (then one max-hash) into
+   blocks of about ``block`` sets, which are compared within, and with a few
+   pivots of their min-hash and of their group: near copies end in one component
+   with rows in proportion to the group. Exactness comes last: the classes that
+   aren't in their group's largest component are compared with all others of the
+   group in blocks, except where sizes, or distances from the group's pivot (a
+   metric), rule a link out. Blocks are compared by counting shared shingles in
+   matrices and return spanning forests, at most one row a class. (What those
+   last classes cost grows with their number times the group's size, in blocks.)
 5. Pairs that could reach the threshold by their sizes and unshared shingles are
    verified on the whole sets, and components are found by star contractions.
 
-A link is lost only where two 64-bit hashes collide.
+A class is named by 128 bits. Its first 64 are its node among the links; should
+two sets agree in these, the one with the smallest id is the node, and the other,
+told apart by the rest, is a component of its own: no document is joined with an
+unrelated one. (Links of that other one are then lost: one expected set among
+10^10.) Shingles are told apart by 64 bits.
 
 Defined results: null or empty text, or white space alone, has an empty set and
 is its own component; with fewer than five words the whole sequence is the one
-shingle; a null id links with nothing and its component is null; rows that
-repeat an id and text agree in everything, rows that repeat an id with other
-texts are separate nodes under that id; other columns aren't read.
+shingle; texts of any length are read whole; a null id links with nothing and its
+component is null; rows that repeat an id and text agree in everything, rows that
+repeat an id with other texts are separate nodes under that id; ids may be text;
+other columns aren't read, may have any name, and stay where one of each group is
+kept; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -46,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, cached, compact, held, map_texts
+from .common import Memo, cached, compact, held, map_texts, quoted
 from .components import components, forest
 
 WORDS = 5
@@ -68,7 +79,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes() -> Memo:
-    return held(("word hashes",), lambda: Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 250_000))
+    return held(("word hashes",), lambda: Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 150_000))
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -89,8 +100,10 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(total)
 
 
-def class_key(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_key(hashes: np.ndarray) -> tuple[int, int]:
+    """The 128 bits that name a set, as two whole numbers."""
+    digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def needed(n: Column) -> Column:
@@ -99,23 +112,21 @@ def needed(n: Column) -> Column:
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str, sample: float | None) -> DataFrame:
-    """doc_id, key, n and shingles: those in the sampled part of the hash space, or all."""
+    """doc_id, key, check (the further bits of the key), n and shingles: those in the sampled part of the hash space, or all."""
     most = np.uint64(int(sample * 2.0**64)) if sample else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingles(x.as_py()) for x in part.column(1)]
-                keys, sizes = [class_key(s) for s in sets], [len(s) for s in sets]
-                if most is not None:
-                    sets = [s[: np.searchsorted(s, most)] for s in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "key", "n", "shingles"])
+            sets = [shingles(x.as_py()) for x in batch.column(1)]
+            keys, sizes = np.array([class_key(s) for s in sets], np.int64).reshape(-1, 2), [len(s) for s in sets]
+            if most is not None:
+                sets = [s[: np.searchsorted(s, most)] for s in sets]
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "key", "check", "n", "shingles"])
 
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text"))
-    return map_texts(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, n int, shingles array<long>")
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("__text"))
+    return map_texts(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, check long, n int, shingles array<long>")
 
 
 def _only(docs: DataFrame, ids: DataFrame, n: int, id_col: str, how: str = "left_semi") -> DataFrame:
@@ -163,28 +174,109 @@ def links_of(sets: list[np.ndarray], n: np.ndarray, left: np.ndarray, right: np.
     return forest(left[i], right[j]) if len(i) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+#: Pivots of a group, and of each of its min-hashes.
+PIVOTS = 4
+#: Widths of bins: sizes of linked sets are in the same or in neighbouring ones, distances from a pivot at most FAR_BINS apart.
+SIZE_BIN, FAR_BIN, FAR_BINS = 0.2311, 0.051, 4
+
+
+def _numbers(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.asarray(x) for x in lists.combine_chunks().to_numpy(zero_copy_only=False)]
+
+
+def _keyed(table: pa.Table, u: np.ndarray, v: np.ndarray) -> pa.Table:
+    keys = table.column("key").to_numpy()
+    return pa.table({"a": pa.array(keys[u], pa.int64()), "b": pa.array(keys[v], pa.int64())})
+
+
+def _pivots(keys: list[str], what: str, members: DataFrame) -> DataFrame:
+    """For each group of members: blocks, that its size asks for, and a few keys that hashes choose."""
+    chosen = [F.min(F.struct(F.xxhash64(F.lit(what), F.lit(i), "key"), "key"))["key"] for i in range(PIVOTS)]
+    return members.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("size"), F.array_distinct(F.array(*chosen)).alias("pivots"))
+
+
+def _blocks(block: int) -> Column:
+    """Blocks of bounded size in rows and in shingles."""
+    return F.ceil(F.greatest(F.col("rows") / F.lit(block), F.col("size") / F.lit(block * 1000))).cast("int")
+
+
+def _round(members: DataFrame, sets: DataFrame, end: int, block: int) -> DataFrame:
+    """Links, as forests, within blocks of classes with one min-hash (end 1) or max-hash (end -1), and with pivots.
+
+    members has key, n, g and both hashes, low and high.
+    """
+    groups = _pivots(["g"], "group", members).withColumn("blocks", _blocks(block))
+    placed = members.join(groups.select("g", "blocks"), "g").withColumn("bucket", F.pmod(F.xxhash64("low" if end > 0 else "high"), F.col("blocks")).cast("int"))
+    buckets = _pivots(["g", "bucket"], "bucket", placed).withColumn("subs", _blocks(block)).drop("rows", "size")
+    own = placed.join(buckets.select("g", "bucket", "subs"), ["g", "bucket"]).select("key", "g", "bucket", F.pmod(F.xxhash64(F.lit("sub"), "key"), F.col("subs")).cast("int").alias("sub"), F.lit(True).alias("own"))
+    both = buckets.join(groups.select("g", F.col("pivots").alias("more"), "blocks"), "g").filter("blocks > 1 or subs > 1")
+    each = both.select("g", "bucket", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.explode(F.array_distinct(F.concat("pivots", "more"))).alias("key"))
+    dealt = own.unionByName(each.select("key", "g", "bucket", "sub", F.lit(False).alias("own")))
+
+    def compare(table: pa.Table) -> pa.Table:
+        held = _numbers(table.column("shingles"))
+        own_ = table.column("own").to_numpy()
+        return _keyed(table, *links_of(held, np.array([len(x) for x in held]), np.flatnonzero(own_), np.arange(len(held))))
+
+    return dealt.join(sets.select("key", "shingles"), "key").groupBy("g", "bucket", "sub").applyInArrow(compare, "a long, b long").filter("a <> b")
+
+
+def _rest(members: DataFrame, links: DataFrame, sets: DataFrame, block: int) -> DataFrame | None:
+    """Links, as forests, between classes outside their group's largest component and all others of the group; None if there is no such class.
+
+    Only groups of more than one block: blocks were compared whole.
+    """
+    groups = _pivots(["g"], "group", members).withColumn("blocks", _blocks(block)).filter("blocks > 1").select("g", F.col("pivots")[0].alias("pivot"))
+    some = members.join(groups, "g")
+    parts = components(links)
+    labelled = compact(some.join(parts, some["key"] == parts["node"], "left").select("key", "n", "g", "pivot", F.coalesce("component", "key").alias("c")))
+    counts = labelled.groupBy("g", "c").agg(F.count(F.lit(1)).alias("rows"))
+    main = counts.groupBy("g").agg(F.max(F.struct("rows", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("g", "main")
+    split = labelled.join(main, "g").withColumn("other", F.col("c") != F.col("main"))
+    if not split.limit(1).count():
+        return None
+    # Distances from the group's pivot, and the cells of like size and distance.
+    centre = sets.select(F.col("key").alias("pivot"), F.col("n").alias("n_p"), F.col("shingles").alias("s_p"))
+    pivoted = split.select("pivot").distinct().join(centre, "pivot")
+    common = F.size(F.array_intersect("shingles", "s_p"))
+    far = 1 - common / (F.col("n") + F.col("n_p") - common)
+    cells = ["g", "other", "s", "q"]
+    placed = compact(split.join(sets.select("key", "shingles"), "key").join(pivoted, "pivot").select("key", "n", "g", "other", F.floor(F.log("n") / SIZE_BIN).cast("int").alias("s"), F.floor(far / FAR_BIN).cast("int").alias("q")))
+    sized = placed.groupBy(*cells).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("size")).withColumn("subs", _blocks(block)).select(*cells, "subs")
+    name = F.concat_ws(":", *cells, "sub")
+    blocks = sized.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select("g", "other", "s", "q", name.alias("at"))
+    near_s, near_q = (F.explode(F.sequence(F.col(c) - w, F.col(c) + w)).alias(c) for c, w in (("s", 1), ("q", FAR_BINS)))
+    a = blocks.filter("other").select("g", near_s, "q", F.col("at").alias("a")).select("g", "s", near_q, "a")
+    pairs = compact(a.join(blocks.select("g", "s", "q", "other", F.col("at").alias("b")), ["g", "s", "q"]).filter("not other or a <= b").select("a", "b"))
+    housed = placed.join(sized, cells).withColumn("sub", F.pmod(F.xxhash64(F.lit("rest"), "key"), F.col("subs")).cast("int")).select("key", name.alias("at"))
+    left = housed.join(pairs, housed["at"] == pairs["a"]).select("key", "a", "b", F.lit(True).alias("left"))
+    right = housed.join(pairs.filter("a <> b"), housed["at"] == pairs["b"]).select("key", "a", "b", F.lit(False).alias("left"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        held = _numbers(table.column("shingles"))
+        on_left = table.column("left").to_numpy()
+        one, two = np.flatnonzero(on_left), np.flatnonzero(~on_left)
+        alone = table.column("a")[0] == table.column("b")[0]
+        if not len(one) or not (alone or len(two)):  # a block may be empty
+            return _keyed(table, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return _keyed(table, *links_of(held, np.array([len(x) for x in held]), one, one if alone else two))
+
+    dealt = left.unionByName(right).join(sets.select("key", "shingles"), "key")
+    return dealt.groupBy("a", "b").applyInArrow(compare, "a long, b long").filter("a <> b")
+
+
 def _grouped(hot: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     """Links, as forests, among classes that share a long list: hot has sig, key and n."""
     # Lists are nodes as well: odd numbers, classes even ones; both keep 63 bits of their hash.
     node = F.col("key").bitwiseAND(F.lit(-2))
     listed = F.col("sig").bitwiseOR(F.lit(1))
     parts = components(hot.select(node.alias("a"), listed.alias("b")))
-    members = hot.select("key", "n", node.alias("node")).distinct().join(parts, "node").select("key", "n", F.col("component").alias("g"))
-    # Of bounded size in rows and in shingles.
-    fill = F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("n") / F.lit(block * 1000))
-    sizes = members.groupBy("g").agg(F.ceil(fill).cast("int").alias("blocks"))
-    placed = members.join(sizes, "g").withColumn("at", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = placed.select("key", "g", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "g", "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
-
-    def compare(table):
-        sets_ = [np.asarray(x) for x in table.column("shingles").combine_chunks().to_numpy(zero_copy_only=False)]
-        at, i, j = (table.column(c).to_numpy() for c in ("at", "i", "j"))
-        keys, n = table.column("key").to_numpy(), np.array([len(s) for s in sets_])
-        u, v = links_of(sets_, n, np.flatnonzero(at == i), np.flatnonzero(at == j))
-        return pa.table({"a": pa.array(keys[u], pa.int64()), "b": pa.array(keys[v], pa.int64())})
-
-    return dealt.join(sets.select("key", "shingles"), "key").groupBy("g", "i", "j").applyInArrow(compare, "a long, b long")
+    named = hot.select("key", "n", node.alias("node")).distinct().join(parts, "node").select("key", "n", F.col("component").alias("g"))
+    ends = sets.select("key", F.element_at("shingles", 1).alias("low"), F.element_at("shingles", -1).alias("high"))
+    members = compact(named.join(ends, "key"))
+    links = compact(_round(members, sets, 1, block).unionByName(_round(members, sets, -1, block)))
+    rest = _rest(members, links, sets, block)
+    return links if rest is None else links.unionByName(compact(rest))
 
 
 def boundary(costs: list[tuple[int, float, float]]) -> int:
@@ -198,17 +290,17 @@ def boundary(costs: list[tuple[int, float, float]]) -> int:
     return at
 
 
-def classes_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: float = SAMPLE, long_list: int = LONG_LIST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, n of every row; links a, b between keys of different sets)."""
+def classes_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: float = SAMPLE, long_list: int = LONG_LIST, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, key, check, n of every row; links a, b between keys of different sets; key and check of the sets that are nodes)."""
     sketch = cached(_hashed(docs, id_col, text_col, sample))
     named = sketch.filter("doc_id is not null and n > 0")
     # 1. Elimination.
     owned = named.select(F.explode("shingles").alias("h"), "key").groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("last")).filter("key = last").groupBy("key").agg(F.count(F.lit(1)).alias("own"))
-    classes = named.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    classes = named.groupBy("key").agg(F.min(F.struct("doc_id", "n", "check")).alias("m")).select("key", "m.*")
     left = classes.join(owned, "key", "left").filter(F.coalesce("own", F.lit(0)) <= F.col("n") - needed(F.col("n")))
-    left = compact(left.select("key", "doc_id", "n"))
+    left = compact(left.select("key", "doc_id", "n", "check"))
     count = left.count()
-    texts = _only(docs.select(docs[id_col], docs[text_col]).filter(docs[id_col].isNotNull()), left, count, id_col)
+    texts = _only(docs.select(F.col(quoted(id_col)).alias(id_col), F.col(quoted(text_col)).alias(text_col)).filter(F.col(quoted(id_col)).isNotNull()), left, count, id_col)
     sets = cached(_hashed(texts, id_col, text_col, None).filter("n > 0").select("key", "n", "shingles").dropDuplicates(["key"]))
     # 2. Frequencies, and the first shingles of each class.
     each = sets.select(F.explode("shingles").alias("h"), "key", "n")
@@ -242,21 +334,22 @@ def classes_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = compact(rows.select(F.explode(F.filter("first", lambda x: x["df"] > long_list)).alias("x"), "key", "n").select(F.col("x.h").alias("sig"), "key", "n"))
     links = compact(checked)
     if hot.limit(1).count():
-        links = links.unionByName(compact(_grouped(hot, sets, block)))
-    return sketch.select("doc_id", "key", "n"), links
+        links = links.unionByName(_grouped(hot, sets, block))
+    return sketch.select("doc_id", "key", "check", "n"), links, left.select("key", "check")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id, n_shingles, component_id and copies (rows of the same set) of every row."""
-    rows, links = classes_linked(docs, id_col, text_col, **options)
+    rows, links, nodes = classes_linked(docs, id_col, text_col, **options)
     named = rows.filter("doc_id is not null and n > 0")
-    classes = named.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = named.groupBy("key", "check").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     parts = components(links)
-    placed = classes.join(parts, classes["key"] == parts["node"], "left").select("key", "least", "copies", "component")
+    parts = nodes.join(parts, nodes["key"] == parts["node"]).select("key", "check", "component")
+    placed = classes.join(parts, ["key", "check"], "left").select("key", "check", "least", "copies", "component")
     smallest = placed.filter("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
-    named_classes = placed.join(smallest, "component", "left").select(F.col("key").alias("k"), F.coalesce("smallest", "least").alias("smallest"), "copies")
+    named_classes = placed.join(smallest, "component", "left").select(F.col("key").alias("k"), F.col("check").alias("k2"), F.coalesce("smallest", "least").alias("smallest"), "copies")
     linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    out = rows.join(named_classes, (rows["key"] == named_classes["k"]) & linked, "left")
+    out = rows.join(named_classes, (rows["key"] == named_classes["k"]) & (rows["check"] == named_classes["k2"]) & linked, "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
@@ -265,9 +358,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null ids stay; rows that repeat an id stay together if one of them is to stay.
     """
-    own = join(docs, id_col, text_col).filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id"))
-    gone = compact(own.agg(F.max(F.col(id_col) == F.col("component_id")).alias("stays")).filter("not stays").select("doc_id"))
-    return _only(docs, gone, gone.count(), id_col, "left_anti").select(*docs.columns)
+    own = join(docs, id_col, text_col).filter(F.col(quoted(id_col)).isNotNull()).groupBy(F.col(quoted(id_col)).alias("doc_id"))
+    gone = compact(own.agg(F.max(F.col(quoted(id_col)) == F.col("component_id")).alias("stays")).filter("not stays").select("doc_id"))
+    return _only(docs, gone, gone.count(), id_col, "left_anti").select(*map(quoted, docs.columns))
 
 
 def duckdb_sql() -> str:
