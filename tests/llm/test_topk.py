@@ -33,7 +33,7 @@ def rows():
 
 
 def test_equals_brute_force(spark, rows):
-    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, rank int").repartition(5)
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, `meta.k` int").repartition(5)
     want = brute(clean(rows), [(i, v) for i, v in clean(rows) if i % 100 == 0], 10)
     for options in ({}, {"block": 3, "pilot": 50, "shard_rows": 70}, {"pilot": 0}):
         got = topk.top_k(df, df.filter("vec_id % 100 = 0"), **options)
@@ -62,3 +62,19 @@ def test_tree_prunes_clustered_vectors():
     best = topk.Best(10, -np.inf)
     tree.search(-1, vectors[0], tree.bounds(vectors[:1])[0], best)
     assert sum(seen) < 6000 and best.least == sorted(vectors @ vectors[0])[-10]
+
+
+def test_ids_as_text_and_many_shards(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(120)]
+    df = spark.createDataFrame([(str(i), v) for i, v in rows] + [("no number", [1.0] * 3)], "vec_id string, embedding array<double>")
+    monkeypatch.setattr(topk, "MOST_ROOTS", 2)
+    assert sorted(map(tuple, topk.top_k(df, df.filter("try_cast(vec_id as int) % 40 = 0"), shard_rows=10, block=2).collect())) == brute(rows, [r for r in rows if r[0] % 40 == 0], 10)
+
+
+def test_packed_trees_are_the_same():
+    rng = np.random.default_rng(8)
+    vectors = np.floor(rng.normal(size=(900, 4)) * 1000)
+    one = topk.BallTree(np.arange(900), vectors, 50)
+    two = topk.BallTree.unpacked(4, *one.packed())
+    assert (one.vectors == two.vectors).all() and one.children == two.children and one.spans == two.spans and one.largest == two.largest
