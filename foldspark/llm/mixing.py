@@ -25,7 +25,7 @@ an id share its draw, so they get the same count each; rows with a null id are
 drawn one by one; a source without a target weight, or with one that isn't
 positive, gets none; texts of any length are carried along; an empty table gives
 none; columns stay, whatever their names, and ``copy`` (from 1) is added,
-replacing a column of that name.
+replacing a column of that name, unless number_col is another name or None.
 """
 
 from __future__ import annotations
@@ -93,12 +93,12 @@ def identified(docs: DataFrame, columns: list[str], id_col: str) -> DataFrame:
     return named.unionByName(numbered.select("__row", F.concat_ws(":", "__hash", F.col("__no").cast("string")).alias("__key")))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, total: float | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", most_broadcast: int = 20_000) -> DataFrame:
-    """docs, each as often as drawn, in a random order, with the copy's number."""
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, total: float | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", most_broadcast: int = 20_000, number_col: str | None = "copy") -> DataFrame:
+    """docs, each as often as drawn, in a random order, with the copy's number if it has a column."""
     per_source, sources = rates(docs, weights, exponent, total, source_col)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
     tables = per_source.select("__source", "rate", parts.alias("__parts"), _cumulative(F.col("rate") / parts).alias("__cdf")).filter("rate > 0").drop("rate")
-    columns = [c for c in docs.columns if c != "copy"]
+    columns = [c for c in docs.columns if c != number_col]
     rows = identified(docs, columns, id_col).withColumn("__source", F.coalesce(F.col("__row")[source_col].cast("string"), F.lit("")))
     key = F.col("__key")
     if sources <= most_broadcast:
@@ -111,10 +111,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: floa
     more = F.aggregate(F.sequence(F.lit(2), F.col("__parts")), F.lit(0), lambda n, j: n + F.size(F.filter("__cdf", lambda c: c < uniform(seed, key, j))))
     count = F.when(F.col("__parts") > 1, first + more).otherwise(first)
     drawn = drawn.withColumn("__u", uniform(seed, key)).withColumn("__count", count).filter("__count > 0")
-    copies = drawn.select("__row", "__key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__count").cast("long"))).alias("copy"))
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "__key", F.col("copy").cast("string")).cast("binary"))
+    copies = drawn.select("__row", "__key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__count").cast("long"))).alias("__copy"))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "__key", F.col("__copy").cast("string")).cast("binary"))
     shuffled = copies.withColumn("__order", order).drop("__key").repartition("__order").sortWithinPartitions("__order")
-    return shuffled.select(*[F.col("__row")[c].alias(c) for c in columns], "copy")
+    return shuffled.select(*[F.col("__row")[c].alias(c) for c in columns], *([F.col("__copy").alias(number_col)] if number_col else []))
 
 
 def duckdb_sql(seed: str = "mix", columns: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")) -> str:

@@ -70,5 +70,22 @@ def test_stages_keep_the_columns(spark, tmp_path):
     rows, labels = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = docs.withColumn("meta.k", docs["doc_id"]).withColumn("copy", docs["lang"]).withColumn("score", docs["lang"]).withColumn("key", docs["lang"])
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).dtypes == docs.dtypes
+
+
+def test_hard_rows(spark, tmp_path):
+    """Nulls everywhere, repeated ids, a very long text, ids as text, and no rows at all."""
+    rows, labels = corpus()
+    rows = [(f"d{i}", t, g, s, n) for i, t, g, s, n in rows[:200]]
+    rows += [(None, None, None, None, None)] * 20 + [("d1", rows[1][1], "en", "s0", None)] * 3 + [("long", "word " * 200_000 + "password=abcdef0123456789xyz", "en", "s1", 5)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(f"d{i}", 1, y) for i, _, y in labels], "doc_id string, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert out and all(r.n_tokens == 0 for r in out if r.doc_id is None) and all(r.n_tokens > 200_000 for r in out if r.doc_id == "long")
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id string, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).collect() == []
