@@ -18,11 +18,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foldspark import tables
 from foldspark.llm import bpe, mixing, ngram_join, secret_scan, toxicity
-from foldspark.llm.common import kept, prepare, quoted, shared_dir
+from foldspark.llm.common import kept, prepare, shared_dir
 
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +41,7 @@ def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*[F.col(quoted(c)) for c in docs.columns])
+    return mixing.mix(docs, number_col=None)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
