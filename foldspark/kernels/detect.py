@@ -90,6 +90,50 @@ def null_adjacency(n_reads: int, mutations: np.ndarray, least: int, rng: np.rand
     return total, kept
 
 
+#: Reads of a window up to which its permuted reads are made one by one.
+MOST_MADE = 500_000
+
+
+def _at_least(shares: np.ndarray, least: int) -> np.ndarray:
+    """For each pair i, j (and, on the diagonal, each i): the chance of at least ``least`` marks on the other bases."""
+    k = len(shares)
+    if least <= 0:
+        return np.ones((k, k))
+    below = np.zeros((least, k, k))
+    below[0] = 1.0
+    for b, share in enumerate(shares):
+        after = below * (1 - share)
+        after[1:] += below[:-1] * share
+        after[:, b, :], after[:, :, b] = below[:, b, :], below[:, :, b]
+        below = after
+    return 1 - below.sum(axis=0)
+
+
+def null_drawn(n_reads: int, mutations: np.ndarray, least: int, rng: np.random.Generator) -> tuple[np.ndarray, int]:
+    """What null_adjacency gives, drawn cell by cell: its work doesn't grow with the reads.
+
+    Reads that carry two bases are hypergeometric (normal, at these numbers); of
+    them, and of a base's reads, those with enough marks are a binomial share. Cells
+    are drawn apart; in permuted reads they depend on each other only through marks
+    that meet threefold.
+    """
+    m, n, k = mutations.astype(float), float(n_reads), len(mutations)
+    shares = m / n
+    mean = np.outer(m, m) / n
+    sd = np.sqrt(mean * np.outer(1 - shares, 1 - shares) * n / max(n - 1, 1))
+    pairs = np.clip(np.rint(rng.normal(mean, sd)), 0, np.minimum.outer(m, m))
+    upper = np.triu(pairs, 1).astype(np.int64)
+    upper = rng.binomial(upper, np.clip(_at_least(shares, least - 2), 0, 1))
+    own = rng.binomial(mutations.astype(np.int64), np.clip(np.diag(_at_least(shares, least - 1)), 0, 1))
+    marks = np.zeros(max(least, 1))
+    marks[0] = 1.0
+    for share in shares:
+        marks[1:] = marks[1:] * (1 - share) + marks[:-1] * share
+        marks[0] *= 1 - share
+    kept = n_reads if least <= 0 else int(rng.binomial(int(n_reads), min(1.0, max(0.0, 1 - marks.sum()))))
+    return (upper + upper.T + np.diag(own)).astype(float), kept
+
+
 def detect(idx: list, coverage: np.ndarray, allowed: np.ndarray, p: Params, seed: int) -> Detection:
     """From the reads of a window (mutated bases each), its coverage, and which bases the probe may modify."""
     x = incidence(idx, len(coverage))
@@ -132,7 +176,8 @@ def detect_counts(n_reads: int, bases: np.ndarray, mutations: np.ndarray, covera
         return at < useful and (at == 0 or (valid >= 0 and at <= valid + p.lookahead_eigengaps + 1))
 
     for permutation in range(p.max_permutations):
-        null, left = null_adjacency(n_reads, mutations, p.min_read_mutations, rng)
+        # The reads of a hot window aren't made, so its task takes no longer than others.
+        null, left = (null_adjacency if n_reads <= MOST_MADE else null_drawn)(n_reads, mutations, p.min_read_mutations, rng)
         if left < p.min_filtered_reads:
             return done(0, "few permuted reads")
         for g, value in zip(nulls, gaps_of(null), strict=True):

@@ -37,6 +37,11 @@ def normalized_laplacian(a: np.ndarray) -> np.ndarray:
     return (np.diag(d) - a) * np.outer(root, root)
 
 
+def eigenvectors(a: np.ndarray) -> np.ndarray:
+    """Of the normalized Laplacian, as columns by ascending eigenvalue."""
+    return np.linalg.eigh(normalized_laplacian(a))[1]
+
+
 def eigengaps(a: np.ndarray) -> np.ndarray:
     return np.diff(np.linalg.eigvalsh(normalized_laplacian(a)))
 

@@ -43,9 +43,10 @@ def comutation_pairs(idx: Column) -> Column:
     return F.flatten(F.transform(idx, lambda i: F.transform(F.filter(idx, lambda j: j >= i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
 
-def comutation_matrix(reads: DataFrame, keys: list[str]) -> DataFrame:
-    """Upper triangle with diagonal: reads that carry both bases."""
-    return reads.select(*keys, F.explode(comutation_pairs(F.col("idx"))).alias("p")).groupBy(*keys, "p.i", "p.j").agg(F.count(F.lit(1)).alias("n"))
+def comutation_matrix(reads: DataFrame, keys: list[str], occurrences: str | None = None) -> DataFrame:
+    """Upper triangle with diagonal: reads that carry both bases; a row may stand for several reads."""
+    n = F.lit(1).cast("long") if occurrences is None else F.col(occurrences)
+    return reads.select(*keys, n.alias("__n"), F.explode(comutation_pairs(F.col("idx"))).alias("p")).groupBy(*keys, "p.i", "p.j").agg(F.sum("__n").alias("n"))
 
 
 def comutation_weighted(matrix: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:

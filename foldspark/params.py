@@ -65,8 +65,15 @@ class Params:
             raise ValueError("win_len must not be below min_win_bases")
         if not 0 < self.soft_clustering_weight_module <= 1:
             raise ValueError("soft_clustering_weight_module must be in (0, 1]")
+        if self.log_level not in ("trace", "debug", "info", "warn", "error"):
+            raise ValueError("log_level must be trace, debug, info, warn or error")
         if self.min_permutations > self.max_permutations:
             raise ValueError("min_permutations must not exceed max_permutations")
 
+    def named(self) -> dict:
+        """Every option under the name it has in the result document: in camel case, without the seed."""
+        words = {name: name.split("_") for name in asdict(self) if name != "seed"}
+        return {first + "".join(w.capitalize() for w in rest): getattr(self, name) for name, (first, *rest) in words.items()}
+
     def to_json(self) -> str:
-        return json.dumps(asdict(self))
+        return json.dumps(self.named())

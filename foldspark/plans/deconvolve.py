@@ -15,18 +15,19 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import log
 from ..kernels import detect as D
-from ..kernels import graph_cut, merge, regions, smoothing
+from ..kernels import graph_cut, merge, regions, smoothing, spectral
 from ..operators import assign as A
 from ..operators import coverage as C
 from ..operators import joins as J
 from ..operators import windows as W
 from ..params import Params
 from ..schemas import MERGED, PTBA, REGIONS  # noqa: F401
-from ..tables import kept
+from ..tables import kept, made, release
 
 T = ["transcript_id"]
 R = ["replicate", "transcript_id"]
@@ -59,16 +60,27 @@ def grids(reads: DataFrame, transcripts: DataFrame, p: Params) -> DataFrame:
 
 
 def windowed(reads: DataFrame, grid: DataFrame) -> DataFrame:
-    """One row for each read and window that it covers, mutated bases counted from the window's start."""
-    placed = reads.join(grid, "transcript_id")
-    return J.window_reads(placed, F.col("size"), F.col("count"), F.col("step")).select("replicate", "transcript_id", F.col("window_idx").cast("int").alias("window_idx"), F.col("start").cast("int").alias("start"), "size", F.expr("substring(sequence, int(start) + 1, size)").alias("sequence"), "read_id", "begin", "end", F.transform("idx", lambda i: i.cast("int")).alias("idx"))
+    """One row for each distinct read and window that it covers, with how often the read occurs; mutated bases counted from the window's start.
+
+    Reads are counted first, so copies cost a row, and windows carry no sequence.
+    """
+    placed = A.unique_reads(reads, R).join(grid.drop("sequence"), "transcript_id")
+    return J.window_reads(placed, F.col("size"), F.col("count"), F.col("step")).select("replicate", "transcript_id", F.col("window_idx").cast("int").alias("window_idx"), F.col("start").cast("int").alias("start"), "occurrences", F.transform("idx", lambda i: i.cast("int")).alias("idx"))
 
 
 K = [*R, "window_idx"]
 
 
-def _probed(p: Params):
-    return F.lit(True) if p.shape else F.upper(F.substring("sequence", F.col("base") + 1, F.lit(1))).isin("A", "C")
+def _probed(marks: DataFrame, grid: DataFrame, p: Params) -> DataFrame:
+    """Marks (start, base) on bases that the probe may modify."""
+    if p.shape:
+        return marks
+    letter = F.upper(F.substring("sequence", F.col("start") + F.col("base") + 1, F.lit(1)))
+    return marks.join(grid.select("transcript_id", "sequence"), "transcript_id").filter(letter.isin("A", "C")).drop("sequence")
+
+
+def _reads() -> Column:
+    return F.sum("occurrences")
 
 
 def _on_bases(win_reads: DataFrame, lists: DataFrame, keys: list[str], p: Params) -> DataFrame:
@@ -77,21 +89,21 @@ def _on_bases(win_reads: DataFrame, lists: DataFrame, keys: list[str], p: Params
     return held.withColumn("idx", F.filter("idx", lambda i: F.array_contains("__bases", i))).filter(F.size("idx") >= p.min_read_mutations).drop("__bases")
 
 
-def window_counts(win_reads: DataFrame, p: Params) -> DataFrame:
+def window_counts(win_reads: DataFrame, grid: DataFrame, p: Params) -> DataFrame:
     """What detection needs of each replicate's window, one row each, of bounded size: n_reads, kept (base, mutations), n_filtered, cells (i, j, n).
 
     A transcript with a third of all reads gives no larger group than others: reads
     are counted on the map side, and the lists of bases that are joined back to
     them are written first, so that join can be broadcast or a hot key split.
     """
-    sizes = win_reads.groupBy(*K).agg(F.count(F.lit(1)).alias("n_reads"), F.first("sequence").alias("sequence"))
-    marks = win_reads.select(*K, F.explode("idx").alias("base")).groupBy(*K, "base").agg(F.count(F.lit(1)).alias("mutations"))
+    sizes = win_reads.groupBy(*K).agg(_reads().alias("n_reads"), F.min("start").alias("start"))
+    marks = win_reads.select(*K, "occurrences", F.explode("idx").alias("base")).groupBy(*K, "base").agg(_reads().alias("mutations"))
     good = (F.col("n_reads") >= p.min_base_coverage) & (F.col("mutations") / F.col("n_reads") > p.min_mutation_freq) & (F.col("mutations") > p.min_base_mutations)
-    some = marks.join(sizes, K).filter(good & _probed(p))
+    some = _probed(marks.join(sizes, K).filter(good), grid, p)
     lists = kept(some.groupBy(*K).agg(F.sort_array(F.collect_list(F.struct("base", "mutations"))).alias("kept")))
     reads = _on_bases(win_reads, lists, K, p)
-    filtered = reads.groupBy(*K).agg(F.count(F.lit(1)).alias("n_filtered"))
-    cells = J.comutation_matrix(reads, K).groupBy(*K).agg(F.collect_list(F.struct("i", "j", "n")).alias("cells"))
+    filtered = reads.groupBy(*K).agg(_reads().alias("n_filtered"))
+    cells = J.comutation_matrix(reads, K, "occurrences").groupBy(*K).agg(F.collect_list(F.struct("i", "j", "n")).alias("cells"))
     whole = sizes.select(*K, "n_reads").join(lists, K, "left").join(filtered, K, "left").join(cells, K, "left")
     return whole.withColumn("n_filtered", F.coalesce("n_filtered", F.lit(0).cast("long")))
 
@@ -107,7 +119,7 @@ def matrix(cells, bases: np.ndarray) -> np.ndarray:
     return out
 
 
-def detect_windows(win_reads: DataFrame, p: Params) -> DataFrame:
+def detect_windows(win_reads: DataFrame, grid: DataFrame, p: Params) -> DataFrame:
     """PTBA rows: the number of clusters of each replicate's window, from its counts."""
 
     def run(batches):
@@ -120,7 +132,7 @@ def detect_windows(win_reads: DataFrame, p: Params) -> DataFrame:
                 out.append([r.replicate, r.transcript_id, r.window_idx, d.n_clusters, d.status, d.gaps, d.null_gaps])
             yield pd.DataFrame(out, columns=["replicate", "transcript_id", "window_idx", "n_clusters", "status", "gaps", "null_gaps"])
 
-    return window_counts(win_reads, p).repartition(*K).mapInPandas(run, PTBA)
+    return window_counts(win_reads, grid, p).repartition(*K).mapInPandas(run, PTBA)
 
 
 def all_windows(grid: DataFrame) -> DataFrame:
@@ -159,22 +171,22 @@ def smoothed(consensus: DataFrame, caps: DataFrame, p: Params) -> DataFrame:
     return capped.groupBy("transcript_id").applyInPandas(run, "transcript_id string, window_idx int, start int, size int, n_clusters int, confidence double")
 
 
-def shared_counts(win_reads: DataFrame, p: Params) -> DataFrame:
+def shared_counts(win_reads: DataFrame, grid: DataFrame, p: Params) -> DataFrame:
     """What a cut needs of each window, one row each: the bases that pass in every replicate, and cells (replicate, i, j, n) on them."""
     key = ["transcript_id", "window_idx"]
-    sizes = win_reads.groupBy(*K).agg(F.count(F.lit(1)).alias("n_reads"), F.first("sequence").alias("sequence"))
-    marks = win_reads.select(*K, F.explode("idx").alias("base")).groupBy(*K, "base").agg(F.count(F.lit(1)).alias("mutations"))
+    sizes = win_reads.groupBy(*K).agg(_reads().alias("n_reads"), F.min("start").alias("start"))
+    marks = win_reads.select(*K, "occurrences", F.explode("idx").alias("base")).groupBy(*K, "base").agg(_reads().alias("mutations"))
     good = (F.col("n_reads") >= p.min_base_coverage) & (F.col("mutations") / F.col("n_reads") > p.min_mutation_freq) & (F.col("mutations") >= p.min_base_mutations)
-    passed = marks.join(sizes, K).filter(good & _probed(p)).groupBy(*key, "base").agg(F.count(F.lit(1)).alias("passed"))
+    passed = _probed(marks.join(sizes, K).filter(good), grid, p).groupBy(*key, "base").agg(F.count(F.lit(1)).alias("passed"))
     every = sizes.groupBy(*key).agg(F.count(F.lit(1)).alias("replicates"))
     shared = passed.join(every, key).filter("passed = replicates")
     lists = kept(shared.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("base"))).alias("kept")))
-    cells = J.comutation_matrix(_on_bases(win_reads, lists, key, p), K)
+    cells = J.comutation_matrix(_on_bases(win_reads, lists, key, p), K, "occurrences")
     by_window = cells.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("replicate", "i", "j", "n"))).alias("cells"))
     return every.select(*key).join(lists, key, "left").join(by_window, key, "left")
 
 
-def cut_windows(win_reads: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
+def cut_windows(win_reads: DataFrame, labels: DataFrame, grid: DataFrame, p: Params) -> DataFrame:
     """transcript_id, window_idx, w: soft weights [base][cluster] of windows with more than one cluster, shared by replicates."""
 
     def weights(r) -> np.ndarray:
@@ -203,7 +215,7 @@ def cut_windows(win_reads: DataFrame, labels: DataFrame, p: Params) -> DataFrame
 
     key = ["transcript_id", "window_idx"]
     many = labels.filter("n_clusters > 1").select(*key, "n_clusters", F.col("size").alias("size_"))
-    counts = shared_counts(win_reads.join(many.select(*key), key, "left_semi"), p)
+    counts = shared_counts(win_reads.join(many.select(*key), key, "left_semi"), grid, p)
     return many.join(counts, key, "left").repartition(*key).mapInPandas(run, "transcript_id string, window_idx int, w array<array<double>>")
 
 
@@ -212,7 +224,7 @@ def merged_regions(labels: DataFrame, weights: DataFrame, win_reads: DataFrame,
 
     coverage is summed over these windows: it weighs them in the merge, and counts a read once for each.
     """
-    counts = win_reads.groupBy(*R, "window_idx").agg(F.count(F.lit(1)).alias("n_reads"))
+    counts = win_reads.groupBy(*R, "window_idx").agg(_reads().alias("n_reads"))
     replicates = counts.select(*R).distinct()
     rows = labels.join(replicates, "transcript_id").join(counts, [*R, "window_idx"], "left").join(weights, ["transcript_id", "window_idx"], "left")
 
@@ -339,25 +351,48 @@ def results(found: DataFrame, precoverage: DataFrame, covers: DataFrame, fractio
     sized = labels.select("transcript_id", "window_idx", "start", "size", "n_clusters", "confidence")
     runs = W.islands(sized, T, "window_idx", ["n_clusters", "confidence"]).groupBy("transcript_id", "island").agg(F.first("n_clusters").alias("nClusters"), F.round(F.first("confidence"), 3).alias("confidence"), F.min("start").alias("start"), (F.max(F.col("start") + F.col("size"))).alias("end"))
     clusters = runs.groupBy("transcript_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "nClusters", "confidence"))).alias("replicateClusters"))
-    heads = transcripts.groupBy("transcript_id").agg(F.min("sequence").alias("sequence"), F.transform(F.sort_array(F.collect_list(F.struct("replicate", "n_reads"))), lambda x: x["n_reads"]).alias("nReads"))
-    return heads.join(windows, "transcript_id", "left").join(clusters, "transcript_id", "left").withColumnRenamed("transcript_id", "id")
+    whole = heads_of(transcripts).join(windows, "transcript_id", "left").join(clusters, "transcript_id", "left").withColumnRenamed("transcript_id", "id")
+    return whole.withColumn("errors", F.lit(None).cast("array<string>"))
+
+
+def heads_of(transcripts: DataFrame) -> DataFrame:
+    n_reads = F.transform(F.sort_array(F.collect_list(F.struct("replicate", "n_reads"))), lambda x: x["n_reads"])
+    return transcripts.groupBy("transcript_id").agg(F.min("sequence").alias("sequence"), n_reads.alias("nReads"))
+
+
+def unaligned(transcripts: DataFrame) -> DataFrame:
+    """transcript_id and errors of the transcripts that can't be analysed: a replicate lacks them or their reads, or sequences differ."""
+    total = transcripts.agg(F.count_distinct("replicate")).first()[0]
+    by = transcripts.groupBy("transcript_id").agg(F.count_distinct("replicate").alias("replicates"), (F.min("sequence") == F.max("sequence")).alias("same"), F.min("n_reads").alias("least"))
+    why = [F.when(F.col("replicates") < total, F.lit("missing in a replicate")), F.when(~F.col("same"), F.lit("sequences differ between replicates")), F.when(F.col("least") <= 0, F.lit("no reads in a replicate"))]
+    return by.select("transcript_id", F.array_compact(F.array(*why)).alias("errors")).filter(F.size("errors") > 0)
+
+
+def rejected(transcripts: DataFrame, errors: DataFrame, like: DataFrame) -> DataFrame:
+    """Results that hold errors in the place of windows."""
+    rows = heads_of(transcripts).join(errors, "transcript_id").withColumnRenamed("transcript_id", "id")
+    return rows.select(*[c if c in rows.columns else F.lit(None).cast(like.schema[c].dataType).alias(c) for c in like.columns])
 
 
 def deconvolve(reads: DataFrame, transcripts: DataFrame, p: Params, outputs: bool = False) -> DataFrame | None:
-    """The result of every transcript that all replicates hold with one sequence; rounds go on until no region fails.
+    """The result of every transcript; rounds go on until no region fails.
+
+    A transcript that not all replicates hold, with reads and with one sequence, has
+    no windows but errors.
 
     With outputs, what the options ask for besides is written: eigengaps, the raw
     numbers of clusters to ``p.output`` (the analysis ends there, without a result),
     and the assignments of settled transcripts, a folder a round.
     """
-    aligned = J.replicate_align(transcripts).filter("same_sequence").select("transcript_id")
-    reads, transcripts = (x.join(aligned, "transcript_id", "left_semi") for x in (reads, transcripts))
+    errors, given = kept(unaligned(transcripts)), transcripts
+    log.on("info", lambda: f"{errors.count()} transcripts can't be analysed")
+    reads, transcripts = (x.join(errors, "transcript_id", "left_anti") for x in (reads, transcripts))
     grid = kept(grids(reads, transcripts, p))
     win_reads = kept(windowed(reads, grid))
     replicates = transcripts.select(*R).distinct()
-    detected = kept(detect_windows(win_reads, p))
+    detected = kept(detect_windows(win_reads, grid, p))
     if outputs and p.save_eigengap_data:
-        write_eigengaps(detected, p.eigengap_data_out)
+        write_eigengaps(detected, grid, p.eigengap_data_out)
     if outputs and p.output_raw_n_clusters:
         write_raw_n_clusters(detected, grid, p.output)
         return None
@@ -366,7 +401,7 @@ def deconvolve(reads: DataFrame, transcripts: DataFrame, p: Params, outputs: boo
     every, out = (win_reads, reads, transcripts, consensus), None
     for number in itertools.count():
         labels = kept(smoothed(consensus, caps, p))
-        found = kept(merged_regions(labels, kept(cut_windows(win_reads, labels, p)), win_reads, p))
+        found = kept(merged_regions(labels, kept(cut_windows(win_reads, labels, grid, p)), win_reads, p))
         assigned = kept(assigned_reads(reads, found, grid, p))
         patterns, fractions = A.cluster_patterns(assigned, [*R, "region_idx"]), kept(fractions_of(assigned, found))
         bad = kept(failing(fractions, patterns, found, p))
@@ -377,7 +412,8 @@ def deconvolve(reads: DataFrame, transcripts: DataFrame, p: Params, outputs: boo
         if outputs and p.assignments_dump_dir and settled.limit(1).count():
             dump_assignments(reads.join(again, "transcript_id", "left_anti"), done[0], grid, p, f"{p.assignments_dump_dir}/round={number}")
         if not bad.limit(1).count():
-            return out
+            return out.unionByName(rejected(given, errors, out)) if errors.limit(1).count() else out
+        log.on("debug", lambda: f"round {number}: {again.count()} transcripts go on")
         # A failing region lowers a cap each round, so the rounds end.
         lower = kept(lowered(caps, bad, found, labels))
         if not lower.join(caps.withColumnRenamed("cap", "old"), ["transcript_id", "window_idx"], "left").filter("old is null or cap < old").limit(1).count():
@@ -396,24 +432,75 @@ def write_raw_n_clusters(detected: DataFrame, grid: DataFrame, path: str) -> Non
     raw_n_clusters(detected, grid).write.mode("overwrite").option("sep", "\t").csv(path)
 
 
-def write_eigengaps(detected: DataFrame, path: str) -> None:
-    """Gaps and null gaps, 1-based, by transcript and replicate."""
-    each = detected.select("transcript_id", "replicate", "window_idx", F.posexplode("gaps").alias("i", "gap"), "null_gaps")
-    rows = each.select("transcript_id", "replicate", "window_idx", (F.col("i") + 1).alias("gap_idx"), "gap", F.get("null_gaps", F.col("i")).alias("null_gaps"))
-    rows.write.mode("overwrite").partitionBy("transcript_id", "replicate").parquet(path)
+def eigengap_lines(detected: DataFrame, grid: DataFrame) -> DataFrame:
+    """folder (transcript and 1-based replicate), file and line of the gaps and the permuted gaps, numbered from 1, in scientific notation."""
+    placed = detected.filter(F.size("gaps") > 0).join(all_windows(grid), ["transcript_id", "window_idx"])
+    window = F.format_string("window_%d-%d", F.col("start") + 1, F.col("start") + F.col("size"))
+    of_data = F.transform("gaps", lambda g, i: F.struct(F.lit("eigengaps").alias("what"), (i + 1).alias("i"), F.lit(0).alias("k"), g.alias("g")))
+    of_null = F.flatten(F.transform("null_gaps", lambda gs, i: F.transform(gs, lambda g, k: F.struct(F.lit("perturbed_eigengaps").alias("what"), (i + 1).alias("i"), k.alias("k"), g.alias("g")))))
+    each = placed.select(F.format_string("%s_%d", "transcript_id", F.col("replicate") + 1).alias("folder"), window.alias("window"), F.explode(F.concat(of_data, of_null)).alias("x"))
+    return each.select("folder", F.format_string("%s_%s", "window", "x.what").alias("file"), "x.i", "x.k", F.format_string("%d %.10e", "x.i", "x.g").alias("line"))
+
+
+def write_eigengaps(detected: DataFrame, grid: DataFrame, path: str) -> None:
+    """Text files ``folder=<transcript>_<replicate>/file=window_<start>-<end>_[perturbed_]eigengaps``, a line a gap."""
+    rows = eigengap_lines(detected, grid)
+    # The lines of one file go to one task, in order; a file holds at most a window's gaps times the permutations.
+    rows.repartition("folder", "file").sortWithinPartitions("folder", "file", "i", "k").select("folder", "file", "line").write.mode("overwrite").partitionBy("folder", "file").text(path)
+
+
+def write_eigenvectors(matrices: DataFrame, path: str) -> None:
+    """For inspection: the eigenvectors of the Laplacians of matrices (keys, then size and cells (i, j, n)), a text line a row of numbers."""
+    keys = [c for c in matrices.columns if c not in ("size", "cells")]
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                vectors = spectral.eigenvectors(matrix(r.cells, np.arange(r.size)))
+                out += [[":".join(str(getattr(r, k)) for k in keys), i, " ".join(f"{x:.10e}" for x in v)] for i, v in enumerate(vectors)]
+            yield pd.DataFrame(out, columns=["of", "row", "line"])
+
+    lines = matrices.mapInPandas(run, "of string, row int, line string")
+    lines.repartition("of").sortWithinPartitions("of", "row").select("of", "line").write.mode("overwrite").partitionBy("of").text(path)
+
+
+def document_of(result: DataFrame) -> DataFrame:
+    """id and document: each transcript as JSON, its shares and weights with three decimals; what is absent is left out."""
+    rounded = F.transform("windows", lambda r: F.transform(r, lambda w: w.withField("weights", F.transform(w["weights"], lambda b: F.transform(b, lambda x: F.round(x.cast("double"), 3))))))
+    r = result.withColumn("windows", rounded)
+    return r.select("id", F.to_json(F.struct(*[r[c] for c in r.columns])).alias("document"))
 
 
 def write_result(result: DataFrame, p: Params, path: str) -> None:
-    """JSON lines, one a transcript, with the options in each."""
-    result.withColumn("params", F.lit(p.to_json())).write.mode("overwrite").json(path)
+    """For very many transcripts: JSON lines, one a transcript, and a file of the options beside them."""
+    document_of(result).select("document").write.mode("overwrite").text(f"{path}/transcripts")
+    result.sparkSession.createDataFrame([(p.to_json(),)], "params string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
+
+
+def write_document(result: DataFrame, p: Params, path: str) -> None:
+    """One JSON document, {"params": ..., "transcripts": [...]}: a partition of results at a time passes through the driver."""
+    import pyarrow.fs as pafs
+
+    fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    with fs.open_output_stream(inner) as f:
+        f.write(f'{{"params":{p.to_json()},"transcripts":['.encode())
+        for i, row in enumerate(document_of(result).toLocalIterator()):
+            f.write((b"," if i else b"") + row["document"].encode())
+        f.write(b"]}")
 
 
 def run(spark: SparkSession, p: Params) -> DataFrame | None:
     """From mutation map files (one a replicate) to the result, written to ``p.output``; none if only the raw numbers are asked for."""
     from ..sources.mm import read_mm
 
+    log.set_level(p.log_level)
     transcripts, reads = read_mm(spark, list(p.mm), p.whitelist)
+    log.on("info", lambda: f"{transcripts.select('transcript_id').distinct().count()} transcripts in {len(p.mm)} replicates")
+    since = made()
     result = deconvolve(reads, transcripts, p, outputs=True)
     if result is not None:
-        write_result(result, p, p.output)
+        result = kept(result)
+        write_document(result, p, p.output)
+    release(spark, since, but=result)
     return result

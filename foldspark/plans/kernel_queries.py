@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import simulate
 from .. import surrogate as S
 from ..functions import structures as ST
-from ..kernels import distributions, graph_cut, merge, regions, smoothing, spectral
+from ..kernels import detect, distributions, graph_cut, merge, regions, smoothing, spectral
 from ..operators import assign as A
 from ..operators import joins as J
 from ..params import Params
@@ -77,33 +77,54 @@ def window_size_and_offset(spark, d):
 
 @query("select transcript_id, read_id % 3 as replicate, base, count(*) as mutations from mutations group by all")
 def perturb_invariants(spark, d):
-    """Mutations of each base after every base's marks were dealt to other reads: as before."""
+    """Mutations of each base after every base's marks were dealt to other reads: as before. From counts, a row a transcript and replicate."""
+    reads = S.reads(spark, d)
+    marks = reads.select(*KEYS, F.explode("idx").alias("base")).groupBy(*KEYS, "base").agg(F.count(F.lit(1)).alias("n"))
+    lists = marks.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("base", "n"))).alias("marks"))
+    rows = reads.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_reads")).join(lists, KEYS)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = spectral.incidence(list(rows.sort_values("read_id")["idx"]), S.LENGTH)
-        n = spectral.perturbed(x, np.random.default_rng(P.seed_of(*key))).sum(axis=0)
-        at = np.flatnonzero(n)
-        return pd.DataFrame({"transcript_id": key[0], "replicate": key[1], "base": at, "mutations": n[at].astype(int)})
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                rng = np.random.default_rng(P.seed_of(r.transcript_id, r.replicate))
+                dealt = detect.null_adjacency(int(r.n_reads), np.array([x["n"] for x in r.marks]), 1, rng)[0]
+                out += [(r.transcript_id, r.replicate, x["base"], int(n)) for x, n in zip(r.marks, np.diag(dealt), strict=True)]
+            yield pd.DataFrame(out, columns=[*KEYS, "base", "mutations"])
+
+    return rows.mapInPandas(run, "transcript_id long, replicate long, base long, mutations long")
+
+
+def _matrices(spark, d, keys: list[str]) -> DataFrame:
+    """Keys and cells (i, j, n), one row each: the co-mutation matrix, of bounded size whatever the number of reads."""
+    return J.comutation_matrix(S.reads(spark, d), keys).groupBy(*keys).agg(F.collect_list(F.struct("i", "j", "n")).alias("cells"))
+
+
+def _mapped(matrices: DataFrame, keys: list[str], one, columns: list[str], schema: str) -> DataFrame:
+    """The rows that one(dense matrix, *keys) gives for each matrix."""
 
-    return S.reads(spark, d).groupBy(*KEYS).applyInPandas(run, "transcript_id long, replicate long, base long, mutations long")
+    def run(batches):
+        for b in batches:
+            out = [(*key, *x) for *key, cells in b[[*keys, "cells"]].itertuples(index=False) for x in one(P.matrix(cells, np.arange(S.LENGTH)), *key)]
+            yield pd.DataFrame(out, columns=[*keys, *columns])
+
+    return matrices.repartition(*keys).mapInPandas(run, ", ".join([*(f"{k} long" for k in keys), schema]))
 
 
 @query()
 def eigengaps(spark, d):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        gaps = spectral.eigengaps(spectral.adjacency(spectral.incidence(list(rows["idx"]), S.LENGTH)))
-        return pd.DataFrame({"transcript_id": key[0], "replicate": key[1], "k": np.arange(len(gaps)), "gap": gaps.round(9)})
-
-    return S.reads(spark, d).groupBy(*KEYS).applyInPandas(run, "transcript_id long, replicate long, k int, gap double")
+    return _mapped(_matrices(spark, d, KEYS), KEYS, lambda a, *_: enumerate(spectral.eigengaps(a).round(9)), ["k", "gap"], "k int, gap double")
 
 
 @query()
 def ptba(spark, d):
     """Clusters detected in every window of every replicate."""
     p = Params(min_base_coverage=1, min_filtered_reads=20, min_mutation_freq=0.0, shape=True)
-    w = J.window_reads(S.reads(spark, d), SIZE, GRID.count, GRID.step)
-    rows = w.select(F.col("replicate").cast("int").alias("replicate"), F.col("transcript_id").cast("string").alias("transcript_id"), F.col("window_idx").cast("int").alias("window_idx"), F.lit("A" * SIZE).alias("sequence"), F.transform("idx", lambda i: i.cast("int")).alias("idx"))
-    return P.detect_windows(rows, p).select("replicate", "transcript_id", "window_idx", "n_clusters", "status")
+    unique = A.unique_reads(S.reads(spark, d), KEYS)
+    w = J.window_reads(unique, SIZE, GRID.count, GRID.step)
+    rows = w.select(F.col("replicate").cast("int").alias("replicate"), F.col("transcript_id").cast("string").alias("transcript_id"), F.col("window_idx").cast("int").alias("window_idx"), F.col("start").cast("int").alias("start"), "occurrences", F.transform("idx", lambda i: i.cast("int")).alias("idx"))
+    grid = spark.createDataFrame([(str(t), "A" * S.LENGTH) for t in range(4)], "transcript_id string, sequence string")
+    return P.detect_windows(rows, grid, p).select("replicate", "transcript_id", "window_idx", "n_clusters", "status")
 
 
 @query()
@@ -168,43 +189,38 @@ def region_range(spark, d):
 # Cuts, matching and merging
 
 
-def _graphs(spark, d, cut, schema: str) -> DataFrame:
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a = spectral.adjacency(spectral.incidence(list(rows.sort_values("read_id")["idx"]), S.LENGTH))
+def _graphs(spark, d, cut, columns: list[str], schema: str) -> DataFrame:
+    def one(a: np.ndarray, t: int):
         linked = np.flatnonzero((a - np.diag(np.diag(a))).sum(axis=1) > 0)
-        return cut(key[0], linked, graph_cut.cut_graph(a[np.ix_(linked, linked)]))
+        return cut(t, linked, graph_cut.cut_graph(a[np.ix_(linked, linked)]))
 
-    return S.reads(spark, d).groupBy("transcript_id").applyInPandas(run, schema)
+    return _mapped(_matrices(spark, d, ["transcript_id"]), ["transcript_id"], one, columns, schema)
 
 
 @query()
 def soft_graph_cut(spark, d):
     p = Params()
 
-    def cut(t, bases, g) -> pd.DataFrame:
+    def cut(t, bases, g) -> list:
         w = graph_cut.soft_cut([g], 2, p.soft_clustering_weight_module, p.soft_clustering_inits, p.soft_clustering_iters, P.seed_of("cut", t))
-        return pd.DataFrame([[t, int(b), c, round(float(w[i, c]), 6)] for i, b in enumerate(bases) for c in range(w.shape[1])], columns=["transcript_id", "base", "cluster", "weight"])
+        return [(int(b), c, round(float(w[i, c]), 6)) for i, b in enumerate(bases) for c in range(w.shape[1])]
 
-    return _graphs(spark, d, cut, "transcript_id long, base int, cluster int, weight double")
+    return _graphs(spark, d, cut, ["base", "cluster", "weight"], "base int, cluster int, weight double")
 
 
 @query()
 def hard_graph_cut(spark, d):
     rounds = Params().soft_clustering_iters
 
-    def cut(t, bases, g) -> pd.DataFrame:
-        return pd.DataFrame({"transcript_id": t, "base": bases, "cluster": graph_cut.hard_cut(g, 3, rounds, P.seed_of("hard", t))})
+    def cut(t, bases, g) -> list:
+        return list(zip(map(int, bases), map(int, graph_cut.hard_cut(g, 3, rounds, P.seed_of("hard", t)))))
 
-    return _graphs(spark, d, cut, "transcript_id long, base int, cluster int")
+    return _graphs(spark, d, cut, ["base", "cluster"], "base int, cluster int")
 
 
 @query()
 def spectral_bipartition(spark, d):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a = spectral.adjacency(spectral.incidence(list(rows["idx"]), S.LENGTH))
-        return pd.DataFrame({"transcript_id": key[0], "base": np.arange(S.LENGTH), "part": spectral.bipartition(a)})
-
-    return S.reads(spark, d).groupBy("transcript_id").applyInPandas(run, "transcript_id long, base int, part int")
+    return _mapped(_matrices(spark, d, ["transcript_id"]), ["transcript_id"], lambda a, t: enumerate(map(int, spectral.bipartition(a))), ["base", "part"], "base int, part int")
 
 
 @query("""with s as (select s_suppkey, s_acctbal as x, abs(s_acctbal) as y, s_acctbal / 2 as z, s_suppkey * 10.0 as u, s_suppkey * 5.0 as v, 100.0 as w from supplier)
@@ -303,15 +319,14 @@ def _whole(spark, d) -> tuple[DataFrame, DataFrame, Params]:
 @query()
 def result_json(spark, d):
     """The nested result documents of all surrogate transcripts."""
-    r = P.deconvolve(*_whole(spark, d))
-    return r.select("id", F.to_json(F.struct(*[r[c] for c in r.columns])).alias("document"))
+    return P.document_of(P.deconvolve(*_whole(spark, d)))
 
 
 @query()
 def raw_n_clusters(spark, d):
     reads, transcripts, p = _whole(spark, d)
     grid = kept(P.grids(reads, transcripts, p))
-    return P.raw_n_clusters(P.detect_windows(kept(P.windowed(reads, grid)), p), grid)
+    return P.raw_n_clusters(P.detect_windows(kept(P.windowed(reads, grid)), grid, p), grid)
 
 
 @query()

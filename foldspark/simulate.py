@@ -7,7 +7,7 @@ number, so results don't depend on partitions or retries.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, exp, lgamma, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -29,12 +29,13 @@ def stoichiometry(text: str | None, conformations: int) -> list[float]:
 
 def binomial_cdf(n: int, p: float, upto: float = 0.9999) -> np.ndarray:
     """P(X <= k) for k = 0, 1, ... until it passes ``upto``."""
-    term = (1 - p) ** n
-    out = [term]
-    k = 0
-    while out[-1] <= upto and k < n:
-        term *= (n - k) / (k + 1) * p / (1 - p)
-        out.append(out[-1] + term)
+    if not 0 < p < 1:
+        return np.array([1.0]) if p <= 0 else np.array([0.0] * n + [1.0])
+    out, total, k = [], 0.0, 0
+    while total <= upto and k <= n:
+        # In logarithms: the first terms of a long sequence are below the smallest number.
+        total += exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p))
+        out.append(total)
         k += 1
     return np.array(out)
 

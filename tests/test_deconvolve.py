@@ -40,11 +40,20 @@ def test_simulated_reads_are_the_same_in_any_partitioning(spark):
     assert simulate.stoichiometry("50,51", 2) == [50 / 101, 51 / 101] and simulate.stoichiometry("100", 2) == [0.5, 0.5]
     cdf = simulate.binomial_cdf(50, 0.02)
     assert abs(cdf[0] - 0.98**50) < 1e-12 and cdf[-1] > 0.9999 and (np.diff(cdf) > 0).all()
+    long = simulate.binomial_cdf(40_000, simulate.RATE)
+    assert long[0] == 0 and long[-1] > 0.9999 and abs(np.searchsorted(long, 0.5) - 40_000 * simulate.RATE) < 3
+    assert simulate.binomial_cdf(5, 0.0).tolist() == [1.0] and simulate.binomial_cdf(3, 1.0).tolist() == [0, 0, 0, 1]
 
 
 def test_conformations_are_recovered(spark, tables, tmp_path):
     reads, heads = tables
-    out = {r["id"]: r for r in D.deconvolve(reads.drop("conformation"), heads, P).collect()}
+    # Besides, transcripts that can't be analysed: one that replicate 1 lacks, one without reads, one of two sequences.
+    bad = [(0, 2, "lone", "AC", 5), *((r, 3, "none", "AC", 5 * r) for r in (0, 1)), *((r, 4, "differs", "AC"[r:] + "CA", 5) for r in (0, 1))]
+    result = D.deconvolve(reads.drop("conformation"), heads.unionByName(spark.createDataFrame(bad, heads.schema)), P).persist()
+    out = {r["id"]: r for r in result.collect()}
+    errors = {i: r["errors"] for i, r in out.items()}
+    assert errors == {"two": None, "one": None, "lone": ["missing in a replicate"], "none": ["no reads in a replicate"], "differs": ["sequences differ between replicates"]}
+    assert out["none"]["windows"] is None and out["none"]["nReads"] == [0, 5]
     two = out["two"]
     assert two["nReads"] == [4000, 4000] and len(two["windows"]) == 2
     for replicate in two["windows"]:
@@ -56,9 +65,15 @@ def test_conformations_are_recovered(spark, tables, tmp_path):
         assert len(set(labels[:20])) == len(set(labels[20:])) == 1 and labels[0] != labels[20]
     assert two["replicateClusters"][0]["nClusters"] == 2 and two["replicateClusters"][0]["confidence"] == 1.0
     assert all(len(w["stoichiometries"] or [1]) == 1 for r in out["one"]["windows"] or [] for w in r)
-    D.write_result(spark.createDataFrame([two]), P, f"{tmp_path}/out")
-    line = json.loads("".join(f.read_text() for f in (tmp_path / "out").glob("*.json")))
-    assert line["id"] == "two" and json.loads(line["params"])["win_len"] == 40
+    D.write_result(result, P, f"{tmp_path}/out")
+    lines = [json.loads(x) for f in (tmp_path / "out" / "transcripts").glob("*.txt") for x in f.read_text().splitlines()]
+    assert {x["id"] for x in lines} == set(out)
+    D.write_document(result, P, f"{tmp_path}/out.json")
+    document = json.loads((tmp_path / "out.json").read_text())
+    assert document["params"]["winLen"] == 40 and document["params"]["minBaseCoverage"] == 50 and len(document["params"]) == 42
+    by = {x["id"]: x for x in document["transcripts"]}
+    assert set(by) == set(out) and "windows" not in by["lone"] and "errors" not in by["two"]
+    assert all(round(x, 3) == x for w in by["two"]["windows"][0] for b in w["weights"] for x in b)
 
 
 def test_a_cluster_too_small_is_taken_back(spark, tables):
@@ -92,11 +107,17 @@ def test_streaming_and_dumps(spark, tables, tmp_path):
     landing.watch(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck", P).awaitTermination(300)
     assert [r["id"] for r in spark.read.json(f"{tmp_path}/out").collect()] == ["two"]
     grid = D.grids(reads, heads, P)
-    detected = D.detect_windows(D.windowed(reads.filter("transcript_id = 'two'"), grid), P).persist()
+    detected = D.detect_windows(D.windowed(reads.filter("transcript_id = 'two'"), grid), grid, P).persist()
     assert {tuple(r)[1:] for r in D.raw_n_clusters(detected, grid).collect()} == {("two", 0, LENGTH, 2)}
     D.write_raw_n_clusters(detected, grid, f"{tmp_path}/raw")
-    D.write_eigengaps(detected, f"{tmp_path}/gaps")
-    assert spark.read.parquet(f"{tmp_path}/gaps").filter(F.size("null_gaps") > 0).count() > 0
+    D.write_eigengaps(detected, grid, f"{tmp_path}/gaps")
+    files = {f"{f.parent.parent.name}/{f.parent.name}": f.read_text().splitlines() for f in (tmp_path / "gaps").rglob("*.txt")}
+    assert set(files) == {f"folder=two_{r}/file=window_1-{LENGTH}_{what}" for r in (1, 2) for what in ("eigengaps", "perturbed_eigengaps")}
+    gaps = detected.filter("replicate = 0").first()
+    assert files[f"folder=two_1/file=window_1-{LENGTH}_eigengaps"] == [f"{i + 1} {g:.10e}" for i, g in enumerate(gaps["gaps"])]
+    assert files[f"folder=two_1/file=window_1-{LENGTH}_perturbed_eigengaps"] == [f"{i + 1} {g:.10e}" for i, gs in enumerate(gaps["null_gaps"]) for g in gs]
+    D.write_eigenvectors(spark.createDataFrame([("t", 3, [(0, 1, 5), (1, 2, 4)])], "id string, size int, cells array<struct<i:int,j:int,n:int>>"), f"{tmp_path}/vectors")
+    assert len("".join(f.read_text() for f in (tmp_path / "vectors").rglob("*.txt")).splitlines()) == 3
 
 
 def test_assignments_are_dumped_by_cluster(spark, tables, tmp_path):

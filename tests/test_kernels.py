@@ -180,3 +180,29 @@ def test_smoothing():
         caps = [n + rng.randrange(3) if rng.random() < 0.3 else None for n in labels]
         out = smoothing.collapse_outliers(labels, caps, 2, 3)
         assert len(out) == len(labels) and all(c is None or n <= c for n, c in zip(out, caps))
+
+
+def test_drawn_nulls_have_the_distribution_of_made_ones():
+    from foldspark.kernels import detect, spectral
+
+    rng, m = np.random.default_rng(3), np.array([900, 1200, 500, 2500, 1800, 700, 1500, 2000, 1000, 1300])
+    for least in (1, 2, 3):
+        both = []
+        for draw in (detect.null_adjacency, detect.null_drawn):
+            cells, kept, gaps = zip(*((a[np.triu_indices(10)], n, spectral.eigengaps(a)) for a, n in (draw(20_000, m, least, rng) for _ in range(150))))
+            both.append((np.mean(cells, axis=0), np.std(cells, axis=0), np.mean(kept), np.mean(gaps, axis=0), np.std(gaps, axis=0)))
+        made, drawn = both
+        assert np.allclose(made[0], drawn[0], rtol=0.03, atol=1.5) and abs(made[2] / drawn[2] - 1) < 0.02
+        assert np.allclose(made[1][made[0] > 5], drawn[1][made[0] > 5], rtol=0.35, atol=1.0)
+        assert np.allclose(made[3], drawn[3], rtol=0.25, atol=0.01) and np.allclose(made[4], drawn[4], rtol=0.6, atol=0.01)
+
+
+def test_the_null_of_a_hot_window_takes_no_longer():
+    import time
+
+    from foldspark.kernels import detect
+
+    began = time.time()
+    for _ in range(20):
+        detect.null_drawn(10**9, np.full(100, 10**7), 2, np.random.default_rng(1))
+    assert time.time() - began < 10

@@ -34,10 +34,10 @@ def test_raw_numbers_and_caps_cover_all_transcripts(spark):
 
 def test_registered_kernels_use_the_default_effort(spark, monkeypatch):
     asked, p = {}, Params()
-    monkeypatch.setattr(kernel_queries, "_graphs", lambda spark, d, cut, schema: cut(0, [0], None))
+    monkeypatch.setattr(kernel_queries, "_graphs", lambda spark, d, cut, columns, schema: cut(0, [0], None))
     monkeypatch.setattr(graph_cut, "soft_cut", lambda graphs, k, *x: asked.setdefault("soft", x[:3]) and np.ones((1, 2)))
     monkeypatch.setattr(graph_cut, "hard_cut", lambda g, k, rounds, seed: asked.setdefault("hard", rounds) and [0])
-    monkeypatch.setattr(kernel_queries.P, "detect_windows", lambda rows, p: asked.setdefault("ptba", p) and rows.selectExpr("*", "0 as n_clusters", "'' as status"))
+    monkeypatch.setattr(kernel_queries.P, "detect_windows", lambda rows, grid, p: asked.setdefault("ptba", p) and rows.selectExpr("*", "0 as n_clusters", "'' as status"))
     for name in ("soft_graph_cut", "hard_graph_cut", "ptba"):
         catalog.QUERIES[name](spark, SF)
     assert asked["soft"] == (p.soft_clustering_weight_module, p.soft_clustering_inits, p.soft_clustering_iters)
