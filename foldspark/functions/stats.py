@@ -82,3 +82,28 @@ def tiny_encode(x: Column) -> Column:
 
 def tiny_decode(x: Column) -> Column:
     return x / F.lit(255.0)
+
+
+def tiny_add(a: Column, b: Column) -> Column:
+    """The sum of two encoded shares, in a wider type: it may go beyond 1."""
+    return (a.cast("int") + b.cast("int")).cast("int")
+
+
+def tiny_subtract(a: Column, b: Column) -> Column:
+    """Null below 0."""
+    return F.when(a >= b, (a - b).cast("smallint"))
+
+
+def tiny_multiply(a: Column, b: Column) -> Column:
+    """The product of two encoded shares, cut to a whole 255th."""
+    return F.floor(a.cast("int") * b.cast("int") / 255).cast("int")
+
+
+def tiny_divide(a: Column, by: Column) -> Column:
+    """An encoded share over a whole number, cut; null over 0."""
+    return F.when(by != 0, F.floor(a / by).cast("smallint"))
+
+
+def null_distance(gap: Column, mean: Column, sd: Column) -> Column:
+    """How far beyond one standard deviation of the null model a gap lies."""
+    return F.greatest(F.abs(gap - mean) - sd, F.lit(0.0))

@@ -88,3 +88,13 @@ def pair_stats(df: DataFrame, keys: list[str], truth: str, predicted: str) -> Da
     t, p = (F.size(F.filter(c, lambda x: x >= 0)) for c in (truth, predicted))
     sums = df.groupBy(*keys).agg(F.sum(hit).alias("common"), F.sum(t).alias("true_pairs"), F.sum(p).alias("predicted_pairs"))
     return sums.select(*keys, F.when(F.col("predicted_pairs") > 0, F.col("common") / F.col("predicted_pairs")).alias("ppv"), F.when(F.col("true_pairs") > 0, F.col("common") / F.col("true_pairs")).alias("sensitivity"))
+
+
+def concatenated(a: Column, b: Column) -> Column:
+    """One structure behind another; pairs of the second move on by the first's length."""
+    return F.concat(a, b)
+
+
+def shifted(helices: Column, by) -> Column:
+    """Helices (first, partner, length) moved along the sequence."""
+    return F.transform(helices, lambda h: F.struct((h["first"] + by).cast("int").alias("first"), (h["partner"] + by).cast("int").alias("partner"), h["length"].alias("length")))

@@ -104,3 +104,26 @@ def collapse_outliers(labels: list[int], caps: list[int | None], most: int, leas
 
 def fill_uninformative(labels: list[int], caps: list[int | None]) -> list[int]:
     return expand(labels, caps, lambda r: r.n == 0, lambda a, b: True, lambda r: True)
+
+
+def fill_holes(labels: list[int], most: int) -> list[int]:
+    """Runs of at most ``most`` labels are filled, the shortest first (ties: the leftmost), neighbours of one size together.
+
+    Both sides of one label give it; else the shorter side grows (ties: the left
+    one); at an end the only side does.
+    """
+    labels = list(labels)
+    while True:
+        runs = runs_of(labels, [None] * len(labels))
+        holes = [r for r in runs if r.size <= most]
+        if not holes or len(runs) == 1:
+            return labels
+        hole = min(holes, key=lambda r: (r.size, r.first))
+        last = at = next(i for i, r in enumerate(runs) if r is hole)
+        while last + 1 < len(runs) and runs[last + 1].size == hole.size:
+            last += 1
+        left, right = runs[at - 1] if at else None, runs[last + 1] if last + 1 < len(runs) else None
+        if left is None and right is None:
+            return labels
+        taker = right if left is None or (right is not None and right.size < left.size) else left
+        labels[hole.first : runs[last].stop] = [taker.n] * (runs[last].stop - hole.first)

@@ -48,6 +48,11 @@ def read_filter(reads: DataFrame, min_mutations: int) -> DataFrame:
     return reads.filter(F.size("idx") >= min_mutations)
 
 
+def long_enough(size) -> Column:
+    """Reads shorter than a window don't count when reads are assigned."""
+    return F.col("end") - F.col("begin") >= size
+
+
 def mask_filter(reads: DataFrame, mask: str) -> DataFrame:
     """Keep the bases where the 0/1 mask has 1."""
     return reads.withColumn("idx", F.filter("idx", lambda i: F.substring(F.lit(mask), (i + 1).cast("int"), F.lit(1)) == "1"))

@@ -81,6 +81,12 @@ def replicate_align(transcripts: DataFrame) -> DataFrame:
     return by.filter((F.col("replicates") == total) & (F.col("least_reads") > 0))
 
 
+def replicate_zip(rows: DataFrame, keys: list[str], columns: list[str], replicates: int) -> DataFrame:
+    """Rows of all replicates of a key side by side, in the order of the replicates; keys that one lacks are left out."""
+    zipped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("replicate", *columns))).alias("zipped"))
+    return zipped.filter(F.size("zipped") == replicates)
+
+
 def window_pair_overlap(windows: DataFrame, keys: list[str], size: int, step: float) -> DataFrame:
     """Pairs a < b of windows that overlap: neighbours up to the last that can begin before a ends."""
     reach = int(size / step) + 2 if step > 0 else 0

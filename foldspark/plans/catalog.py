@@ -282,11 +282,12 @@ def uninformative_to_one(spark, d):
     return P.all_uninformative_to_one(c, T).select("transcript_id", "window_idx", "n_clusters")
 
 
-@query("select event_type, event_id as k, round(lead(value) over (partition by event_type order by value, event_id) - value, 9) as gap from events qualify gap is not null", views=False)
+@query("select user_id, k, round(lead(value) over (partition by user_id order by k) - value, 9) as gap from (select user_id, value, row_number() over (partition by user_id order by value, event_id) as k from events) qualify gap is not null", views=False)
 def eigengap_diff(spark, d):
-    e = table(spark, d, "events").select("event_type", F.col("event_id").alias("k"), "value")
-    after = F.lead("value").over(Window.partitionBy("event_type").orderBy("value", "k"))
-    return e.withColumn("gap", F.round(after - F.col("value"), 9)).filter("gap is not null").select("event_type", "k", "gap")
+    """Differences of each user's ascending values."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("value", "event_id")).cast("long")
+    values = table(spark, d, "events").select("user_id", place.alias("k"), "value")
+    return rounded(W.eigengap_diff(values, ["user_id"]), "gap")
 
 
 # The base-base graph
@@ -422,18 +423,18 @@ def replicate_align(spark, d):
 # Sets
 
 
-@query("select transcript_id, count(*) as n, sum(read_id)::bigint as ids from (select * from reads where replicate = 0 union all select * from reads where replicate = 2) group by 1")
+@query("select transcript_id, count(*) as n, sum(read_id)::bigint as ids from (select * from reads where replicate = 0 union all select * from reads where replicate > 0) group by 1")
 def concat(spark, d):
     r = S.reads(spark, d)
-    both = U.concat(r.filter("replicate = 0"), r.filter("replicate = 2"))
+    both = U.concat(r.filter("replicate = 0"), r.filter("replicate > 0"))
     return both.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("n"), F.sum("read_id").alias("ids"))
 
 
-@query("""with a as (select transcript_id, base from mutations where read_id % 3 = 0), b as (select transcript_id, base from mutations where read_id % 3 = 1),
+@query("""with a as (select transcript_id, base from mutations where read_id % 2 = 0), b as (select transcript_id, base from mutations where read_id % 2 = 1),
 s as (select transcript_id, base, 1 as n from a union all select transcript_id, base, -1 from b) select transcript_id, base, sum(n)::bigint as surplus from s group by all having sum(n) <> 0""")
 def dataset_equality(spark, d):
     m = S.mutations(spark, d)
-    a, b = (m.filter(F.col("read_id") % 3 == r).select("transcript_id", "base") for r in (0, 1))
+    a, b = (m.filter(F.col("read_id") % 2 == r).select("transcript_id", "base") for r in (0, 1))
     return U.differences(a, b)
 
 
@@ -524,4 +525,4 @@ def unfilter_weights(spark, d):
     return P.unfilter_weights(some, full.select("transcript_id", "base", "cluster"), T)
 
 
-from . import kernel_queries  # noqa: E402, F401 - registers its queries here
+from . import kernel_queries, matrix_queries  # noqa: E402, F401 - they register their queries here

@@ -23,6 +23,7 @@ from ..kernels import detect as D
 from ..kernels import graph_cut, merge, regions, smoothing, spectral
 from ..operators import assign as A
 from ..operators import coverage as C
+from ..operators import filters as P
 from ..operators import joins as J
 from ..operators import windows as W
 from ..params import Params
@@ -286,7 +287,7 @@ def assigned_reads(reads: DataFrame, found: DataFrame, grid: DataFrame, p: Param
 
 def inside_regions(reads: DataFrame, found: DataFrame, grid: DataFrame, p: Params) -> DataFrame:
     """Reads, one row for each region they have enough mutations in; idx counts from the region's start."""
-    long_reads = reads.join(grid.select("transcript_id", "size", "sequence"), "transcript_id").filter(F.col("end") - F.col("begin") >= F.col("size"))
+    long_reads = reads.join(grid.select("transcript_id", "size", "sequence"), "transcript_id").filter(P.long_enough(F.col("size")))
     if not p.shape:
         long_reads = long_reads.withColumn("idx", F.filter("idx", lambda i: F.upper(F.substring("sequence", i.cast("int") + 1, F.lit(1))).isin("A", "C")))
     spans = found.filter("n_clusters > 0").select(*R, "region_idx", "start", F.col("end").alias("stop"))

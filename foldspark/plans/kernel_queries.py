@@ -237,34 +237,22 @@ def best_matching(spark, d):
     return rows.mapInPandas(run, "s_suppkey long, cost double")
 
 
-def _windows(spark, d) -> DataFrame:
-    """Windows of as many bases as a vector has components, two clusters, four to a region."""
-    e = table(spark, d, "embeddings")
-    return e.select((F.col("vec_id") / 4).cast("long").alias("region"), F.col("vec_id"), F.col("embedding").alias("v"))
-
-
-def _window(row) -> merge.Merged:
-    w = np.abs(np.array(list(row.v), dtype=float))
-    w = w / w.max()
-    return merge.single(16 * (row.vec_id % 4), np.column_stack([w, 1 - w]), np.full(len(w), 100 + row.vec_id % 7))
-
-
 @query()
 def window_distance(spark, d):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ws = [_window(r) for r in rows.sort_values("vec_id").itertuples()]
+        ws = [S.merge_window(r) for r in rows.sort_values("vec_id").itertuples()]
         return pd.DataFrame([[key[0], i, j, round(merge.distance(ws[i], ws[j])[0], 6)] for i in range(len(ws)) for j in range(i + 1, len(ws))], columns=["region", "a", "b", "distance"])
 
-    return _windows(spark, d).groupBy("region").applyInPandas(run, "region long, a int, b int, distance double")
+    return S.merge_windows(spark, d).groupBy("region").applyInPandas(run, "region long, a int, b int, distance double")
 
 
 @query()
 def merge_windows(spark, d):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        m = merge.merge_windows([_window(r) for r in rows.sort_values("vec_id").itertuples()])
+        m = merge.merge_windows([S.merge_window(r) for r in rows.sort_values("vec_id").itertuples()])
         return pd.DataFrame([[key[0], m.begin + i, c, round(float(m.w[i, c]), 6), int(m.coverage[i])] for i in range(len(m.w)) for c in range(2)], columns=["region", "base", "cluster", "weight", "coverage"])
 
-    return _windows(spark, d).groupBy("region").applyInPandas(run, "region long, base int, cluster int, weight double, coverage long")
+    return S.merge_windows(spark, d).groupBy("region").applyInPandas(run, "region long, base int, cluster int, weight double, coverage long")
 
 
 # Structures

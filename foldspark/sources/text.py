@@ -40,3 +40,16 @@ def bad_profiles(structures: DataFrame) -> DataFrame:
 def split_numbers(column, separator: str = ","):
     """A list of numbers in a string; what isn't a number is null."""
     return F.transform(F.split(column, f"\\Q{separator}\\E"), lambda x: x.try_cast("int"))
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON values, one a line, with a schema; lines that aren't JSON (a header) are left out."""
+    rows = spark.read.text(path).filter(F.trim("value").rlike(r"^[\[{]"))
+    return rows.select(F.from_json("value", schema).alias("x")).select("x.*")
+
+
+def read_lines(reads: DataFrame) -> DataFrame:
+    """Reads as text lines: begin-end, and the mutated bases behind a blank."""
+    idx = F.array_join(F.transform("idx", lambda i: i.cast("string")), ",")
+    span = F.concat_ws("-", F.col("begin").cast("string"), F.col("end").cast("string"))
+    return reads.withColumn("line", F.when(F.size("idx") > 0, F.concat_ws(" ", span, idx)).otherwise(span))

@@ -6,9 +6,11 @@ The tables hold no sequencing reads; these views stand in for them, in Spark and
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernels import merge
 from .tables import table
 
 #: Length of a surrogate transcript.
@@ -49,3 +51,15 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nucleotide(base):
     return F.substring(F.lit("ACGT"), (base % 4 + 1).cast("int"), F.lit(1))
+
+
+def merge_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of as many bases as a vector has components, two clusters, four to a region."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select((F.col("vec_id") / 4).cast("long").alias("region"), F.col("vec_id"), F.col("embedding").alias("v"))
+
+
+def merge_window(row) -> merge.Merged:
+    w = np.abs(np.array(list(row.v), dtype=float))
+    w = w / w.max()
+    return merge.single(16 * (row.vec_id % 4), np.column_stack([w, 1 - w]), np.full(len(w), 100 + row.vec_id % 7))
