@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import kept
+
 
 def null_moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("stddev"), F.count(value).alias("n"))
@@ -62,6 +64,32 @@ def weibull_log_likelihood(df: DataFrame, keys: list[str], value: str, shape: fl
     return df.groupBy(*keys).agg((n * (F.log(k) - k * F.log(s)) + (k - 1) * F.sum(F.log(value)) - F.sum(F.pow(F.col(value) / s, k))).alias("log_likelihood"))
 
 
+def weibull_fit(df: DataFrame, keys: list[str], value: str, passes: int = 8, steps: int = 15) -> DataFrame:
+    """Shape (at least 1) and scale of positive values by key, by maximum likelihood, from sums alone.
+
+    The likelihood's slope in the shape has one root. A pass over the values finds
+    its sign at ``steps`` shapes at once, for every key; the first one at powers of
+    two, later ones within the bracket that the last one left. No key's values are
+    gathered; the brackets, a row a key, are written between passes.
+    """
+    z = df.join(df.groupBy(*keys).agg(F.max(value).alias("__top")), keys).select(*keys, (F.col(value) / F.col("__top")).alias("__z"), "__top")
+    low, high = F.lit(1.0), F.lit(float(2**steps))
+    brackets = z.select(*keys).distinct().select(*keys, low.alias("__low"), high.alias("__high"))
+    for number in range(passes):
+        at = [F.lit(float(2**j)) if number == 0 else F.col("__low") + (F.col("__high") - F.col("__low")) * j / (steps + 1) for j in range(0 if number == 0 else 1, steps + 1)]
+        log = F.log("__z")
+        sums = [F.struct(F.sum(F.pow("__z", k) * log).alias("a"), F.sum(F.pow("__z", k)).alias("b"), F.first(k).alias("k")) for k in at]
+        rows = z.join(brackets, keys).groupBy(*keys, "__low", "__high").agg(F.avg(log).alias("__mean"), F.array(*sums).alias("__s"))
+        falls = F.filter("__s", lambda s: s["a"] / s["b"] - 1 / s["k"] - F.col("__mean") < 0)
+        rises = F.filter("__s", lambda s: s["a"] / s["b"] - 1 / s["k"] - F.col("__mean") >= 0)
+        new_low = F.coalesce(F.array_max(F.transform(falls, lambda s: s["k"])), "__low")
+        new_high = F.coalesce(F.array_min(F.transform(rises, lambda s: s["k"])), "__high")
+        brackets = kept(rows.select(*keys, F.least(new_low, new_high).alias("__low"), new_high.alias("__high")))
+    shape = (F.col("__low") + F.col("__high")) / 2
+    fitted = z.join(brackets.select(*keys, shape.alias("shape")), keys)
+    return fitted.groupBy(*keys, "shape").agg((F.pow(F.avg(F.pow("__z", F.col("shape"))), 1 / F.first("shape")) * F.max("__top")).alias("scale"))
+
+
 def covariance(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.covar_samp(x, y).alias("covariance"), F.var_samp(x).alias("variance"))
 

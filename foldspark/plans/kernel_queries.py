@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import simulate
 from .. import surrogate as S
+from ..functions import stats
 from ..functions import structures as ST
 from ..kernels import detect, distributions, graph_cut, merge, regions, smoothing, spectral
 from ..operators import assign as A
@@ -129,11 +130,8 @@ def ptba(spark, d):
 
 @query()
 def weibull_fit(spark, d):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        shape, scale = distributions.weibull_fit(rows["value"].to_numpy())
-        return pd.DataFrame([[key[0], round(shape, 6), round(scale, 6)]], columns=["event_type", "shape", "scale"])
-
-    return table(spark, d, "events").filter("value > 0").select("event_type", "value").groupBy("event_type").applyInPandas(run, "event_type string, shape double, scale double")
+    fitted = stats.weibull_fit(table(spark, d, "events").filter("value > 0"), ["event_type"], "value")
+    return rounded(fitted.select("event_type", "shape", "scale"), "shape", "scale", digits=5)
 
 
 @query()

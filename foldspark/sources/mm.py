@@ -16,6 +16,7 @@ pyarrow's file systems, so they may be local or remote.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -122,10 +123,20 @@ def encode_reads(begin: np.ndarray, end: np.ndarray, counts: np.ndarray, indices
     return out.tobytes()
 
 
-def skip_reads(f, n: int) -> None:
-    for _ in range(n):
-        k = struct.unpack("<III", f.read(12))[2]
-        f.seek(f.tell() + 4 * k)
+def skip_reads(f, n: int, size: int = 1 << 22) -> None:
+    """Behind n reads, where no index says where that is: a few megabytes at a time, without taking them apart."""
+    rest = b""
+    while n:
+        more = f.read(size)
+        if not more:
+            raise ValueError("the file ends within a transcript")
+        data = rest + more
+        listed, at, last = np.frombuffer(data, "<u4", len(data) // 4).tolist(), 0, len(data) // 4
+        while n and at + 3 <= last and at + 3 + listed[at + 2] <= last:
+            at += 3 + listed[at + 2]
+            n -= 1
+        rest = data[4 * at :]
+    f.seek(f.tell() - len(rest))
 
 
 def opened(path: str):
@@ -165,6 +176,8 @@ class Part(InputPartition):
     start: int
     stop: int
     ordinal: int
+    #: Where its transcripts begin, and where the last one ends, if there is an index.
+    offsets: tuple[int, ...] = ()
 
 
 class MmReader(DataSourceReader):
@@ -192,7 +205,8 @@ class MmReader(DataSourceReader):
             offsets = [o for _, o in index] + [stop]
             for i in range(0, len(index), self.per_part):
                 if self.wanted is None or any(n in self.wanted for n, _ in index[i : i + self.per_part]):
-                    out.append(Part(path, replicate, offsets[i], offsets[min(i + self.per_part, len(index))], i))
+                    some = tuple(offsets[i : i + self.per_part + 1])
+                    out.append(Part(path, replicate, some[0], some[-1], i, some))
         return out or [Part("", 0, 0, 0, 0)]
 
     def read(self, part: Part):
@@ -202,6 +216,13 @@ class MmReader(DataSourceReader):
         with fs.open_input_file(inner) as f:
             f.seek(part.start)
             ordinal = part.ordinal
+
+            def skip(h: Header) -> None:
+                if part.offsets:
+                    f.seek(part.offsets[ordinal - part.ordinal + 1])
+                else:
+                    skip_reads(f, h.n_reads)
+
             while f.tell() < part.stop:
                 h = read_header(f)
                 wanted = self.wanted is None or h.transcript_id in self.wanted
@@ -209,7 +230,7 @@ class MmReader(DataSourceReader):
                     if wanted:
                         columns = [pa.array([part.replicate], pa.int32()), pa.array([ordinal], pa.int32()), pa.array([h.transcript_id]), pa.array([h.sequence]), pa.array([h.n_reads], pa.int64())]
                         yield pa.RecordBatch.from_arrays(columns, names=["replicate", "ordinal", "transcript_id", "sequence", "n_reads"])
-                    skip_reads(f, h.n_reads)
+                    skip(h)
                 elif wanted:
                     done = 0
                     for begin, end, counts, indices in read_batches(f, h.n_reads):
@@ -219,7 +240,7 @@ class MmReader(DataSourceReader):
                         yield pa.RecordBatch.from_arrays(columns, names=["replicate", "transcript_id", "read_id", "begin", "end", "idx"])
                         done += r
                 else:
-                    skip_reads(f, h.n_reads)
+                    skip(h)
                 ordinal += 1
 
 
@@ -231,11 +252,13 @@ class Written(WriterCommitMessage):
 class MmWriter(DataSourceArrowWriter):
     """Rows of transcript_id, sequence, n_reads, begin, end, sorted idx, by transcript; one file a partition.
 
-    A transcript without reads has one row without begin.
+    A transcript's first row is its head: sequence and n_reads, without begin. Its
+    reads follow, without sequence and n_reads. Files bear the number of the job;
+    what failed attempts of its tasks left is deleted when it ends.
     """
 
     def __init__(self, options: dict):
-        self.path = options["path"].rstrip("/")
+        self.path, self.job = options["path"].rstrip("/"), uuid.uuid4().hex[:12]
 
     def write(self, batches):
         from pyspark import TaskContext
@@ -243,7 +266,7 @@ class MmWriter(DataSourceArrowWriter):
         fs, base = opened(self.path)
         fs.create_dir(base, recursive=True)
         context = TaskContext.get()
-        path = f"{base}/part-{context.partitionId():05d}-{context.taskAttemptId()}.mm"
+        path = f"{base}/part-{self.job}-{context.partitionId():05d}-{context.taskAttemptId()}.mm"
         index, current, left = [], None, 0
         with fs.open_output_stream(path) as f:
             for batch in batches:
@@ -255,18 +278,21 @@ class MmWriter(DataSourceArrowWriter):
                 flat, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(counts)])
                 at = 0
                 while at < len(ids):
-                    stop = at
-                    while stop < len(ids) and ids[stop] == ids[at]:
-                        stop += 1
-                    if ids[at] != current:
+                    if not has[at]:
                         if left:
                             raise ValueError(f"{current}: fewer reads than its header says")
                         index.append((ids[at], f.tell()))
                         f.write(encode_header(ids[at], heads[at], totals[at]))
                         current, left = ids[at], totals[at]
-                    if has[at]:
-                        f.write(encode_reads(begin[at:stop], end[at:stop], counts[at:stop], flat[offsets[at] : offsets[stop]]))
-                        left -= stop - at
+                        at += 1
+                        continue
+                    stop = at
+                    while stop < len(ids) and has[stop] and ids[stop] == ids[at]:
+                        stop += 1
+                    if ids[at] != current:
+                        raise ValueError(f"{ids[at]}: reads without a head")
+                    f.write(encode_reads(begin[at:stop], end[at:stop], counts[at:stop], flat[offsets[at] : offsets[stop]]))
+                    left -= stop - at
                     at = stop
             if left:
                 raise ValueError(f"{current}: fewer reads than its header says")
@@ -278,15 +304,17 @@ class MmWriter(DataSourceArrowWriter):
             fs.delete_file(path + "i")
         return Written(path if index else "")
 
+    def _clear(self, but: set[str]) -> None:
+        fs, base = opened(self.path)
+        for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+            if f.base_name.startswith(f"part-{self.job}-") and f.base_name.removesuffix("i") not in but:
+                fs.delete_file(f.path)
+
     def commit(self, messages):
-        pass
+        self._clear({m.path.rsplit("/", 1)[1] for m in messages if m and m.path})
 
     def abort(self, messages):
-        for m in messages:
-            if m and m.path:
-                fs, _ = opened(self.path)
-                fs.delete_file(m.path)
-                fs.delete_file(m.path + "i")
+        self._clear(set())
 
 
 class MmSource(DataSource):
@@ -326,13 +354,19 @@ def read_whitelist(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(F.trim("value")).alias("id")).filter("id != ''")
 
 
-def write_mm(reads: DataFrame, transcripts: DataFrame, path: str, partitions: int = 8) -> None:
-    """One replicate as files of whole transcripts. n_reads is counted from the reads."""
-    register(reads.sparkSession)
+def write_mm(reads: DataFrame, transcripts: DataFrame, path: str, partitions: int | None = None) -> None:
+    """One replicate as files of whole transcripts, as many as the session's shuffles have partitions. n_reads is counted from the reads.
+
+    The format keeps a transcript in one file, so a hot one is one task's; its
+    reads are sorted on disk and written as they come, and only heads hold sequences.
+    """
+    spark = reads.sparkSession
+    register(spark)
     counts = reads.groupBy("transcript_id").agg(F.count(F.lit(1)).cast("long").alias("n_reads"))
     heads = transcripts.select("transcript_id", "sequence").distinct().join(counts, "transcript_id", "left").withColumn("n_reads", F.coalesce("n_reads", F.lit(0).cast("long")))
-    rows = heads.join(reads.select("transcript_id", "read_id", "begin", "end", F.array_sort("idx").alias("idx")), "transcript_id", "left")
-    sorted_ = rows.repartition(partitions, "transcript_id").sortWithinPartitions("transcript_id", "read_id")
+    each = reads.select("transcript_id", "read_id", "begin", "end", F.array_sort("idx").alias("idx")).join(transcripts.select("transcript_id"), "transcript_id", "left_semi")
+    rows = heads.unionByName(each, allowMissingColumns=True).withColumn("__read", F.col("begin").isNotNull())
+    sorted_ = rows.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "transcript_id").sortWithinPartitions("transcript_id", "__read", "read_id")
     sorted_.select("transcript_id", "sequence", "n_reads", "begin", "end", "idx").write.format("mm").option("path", path).mode("append").save()
 
 
