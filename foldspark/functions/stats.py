@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..tables import kept
 
 
+#: Centroids of one block.
+BLOCK = 1000
+
+
 def null_moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("stddev"), F.count(value).alias("n"))
 
@@ -95,12 +99,20 @@ def covariance(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame, point_id: str, vector: str) -> DataFrame:
-    """Each point's nearest centroid by squared distance; the smaller number wins ties. centroids: number, centre; a few rows."""
-    table = centroids.agg(F.sort_array(F.collect_list(F.struct("number", "centre"))).alias("__c"))
-    one = table.first()["__c"]
-    lit = F.array(*[F.struct(F.lit(int(c["number"])).cast("long").alias("number"), F.array(*[F.lit(float(x)) for x in c["centre"]]).alias("centre")) for c in one])
-    distance = F.transform(lit, lambda c: F.struct(F.aggregate(F.zip_with(c["centre"], F.col(vector), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), c["number"].alias("number")))
-    return points.select(point_id, F.array_min(distance).alias("m")).select(point_id, F.col("m.number").alias("number"), F.col("m.d").alias("distance"))
+    """Each point's nearest centroid by squared distance; the smaller number wins ties. centroids: number, centre.
+
+    Centroids come in blocks of BLOCK, an array a row. One block is broadcast; more
+    are joined, a point meeting each block once, and its best block is aggregated.
+    """
+    blocks = max(1, -(-centroids.count() // BLOCK))
+    block = F.pmod(F.xxhash64("number"), F.lit(blocks)).cast("int")
+    table = centroids.groupBy(block.alias("__block")).agg(F.sort_array(F.collect_list(F.struct(F.col("number").cast("long").alias("number"), F.col("centre").cast("array<double>").alias("centre")))).alias("__c"))
+    asked = points.select(point_id, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+    distance = F.transform("__c", lambda c: F.struct(F.aggregate(F.zip_with(c["centre"], F.col(vector), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), c["number"].alias("number")))
+    best = asked.join(F.broadcast(table) if blocks == 1 else table, "__block").select(point_id, F.array_min(distance).alias("m"))
+    if blocks > 1:
+        best = best.groupBy(point_id).agg(F.min("m").alias("m"))
+    return best.select(point_id, F.col("m.number").alias("number"), F.col("m.d").alias("distance"))
 
 
 def tiny_encode(x: Column) -> Column:

@@ -20,6 +20,8 @@ class Detection:
     gaps: list[float] = field(default_factory=list)
     null_gaps: list[list[float]] = field(default_factory=list)
     bases: list[int] = field(default_factory=list)
+    #: Numbers of all gaps that were found significant, also those beyond the last valid one.
+    significant: list[int] = field(default_factory=list)
 
 
 @dataclass
@@ -164,11 +166,11 @@ def detect_counts(n_reads: int, bases: np.ndarray, mutations: np.ndarray, covera
     if not gaps.any() or not useful:
         return Detection(0, "no gaps", gaps.tolist(), bases=bases.tolist())
 
-    nulls = [Null() for _ in gaps]
+    nulls, significant = [Null() for _ in gaps], []
     rng = np.random.default_rng(seed)
 
     def done(n: int, status: str) -> Detection:
-        return Detection(n, status, gaps.tolist(), [g.values for g in nulls], bases.tolist())
+        return Detection(n, status, gaps.tolist(), [g.values for g in nulls], bases.tolist(), significant)
 
     at, valid = (1, 0) if p.ignore_first_eigengap else (0, -1)
 
@@ -189,6 +191,7 @@ def detect_counts(n_reads: int, bases: np.ndarray, mutations: np.ndarray, covera
             if verdict == UNDECIDED and (at == 0 or permutation < p.max_permutations - 1):
                 break
             if verdict == SIGNIFICANT:
+                significant.append(at)
                 distance = nulls[at].distance(gaps[at], fitted)
                 if distance >= p.eigengap_abs_thresh:
                     if distance >= p.eigengap_cum_rel_thresh * sum(nulls[g].distance(gaps[g], False) for g in range(at)):

@@ -28,10 +28,18 @@ def assign(unique: DataFrame, weights: DataFrame, keys: list[str], skip_ambiguou
 
 
 def read_clusters(reads: DataFrame, assigned: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
-    """The cluster of each read: copies of a unique read are numbered in the order of a seeded hash and dealt out."""
+    """The cluster of each read: copies of a unique read are numbered in the order of a seeded hash and dealt out.
+
+    They are numbered within stretches of the hash, and stretches counted before
+    each other, so the copies of one read are no one task's work.
+    """
     key = [*keys, "begin", "end", "idx"]
-    order = Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), "read_id"), "read_id")
-    numbered = reads.withColumn("__n", F.row_number().over(order) - 1)
+    hashed = reads.withColumn("__h", F.xxhash64(F.lit(seed), "read_id")).withColumn("__part", F.shiftright("__h", 54))
+    parts = hashed.groupBy(*key, "__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
+    local = F.row_number().over(Window.partitionBy(*key, "__part").orderBy("__h", "read_id")) - 1
+    placed = hashed.withColumn("__local", local).join(parts.withColumn("__before", before).drop("__size"), [*key, "__part"])
+    numbered = placed.withColumn("__n", F.col("__before") + F.col("__local")).drop("__h", "__part", "__local", "__before")
     upto = Window.partitionBy(*key).orderBy("cluster").rowsBetween(Window.unboundedPreceding, 0)
     slots = assigned.withColumn("__to", F.sum("assigned").over(upto)).withColumn("__from", F.col("__to") - F.col("assigned"))
     slots = slots.groupBy(*key).agg(F.collect_list(F.struct("cluster", "__from", "__to")).alias("__slots"))

@@ -137,3 +137,14 @@ def test_what_was_made_is_released(spark):
     assert two.count() == 10 and not held.is_cached
     with pytest.raises(Exception, match="(?i)not.*exist|not_exist"):
         one.count()
+
+
+def test_centroids_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    points, centres = rng.normal(size=(60, 3)).round(2), rng.normal(size=(40, 3)).round(2)
+    p = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(points)], "id long, v array<double>")
+    c = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(centres)], "number long, centre array<double>")
+    want = [(i, int(((centres - x) ** 2).sum(axis=1).argmin())) for i, x in enumerate(points)]
+    for block in (1000, 7):
+        monkeypatch.setattr(stats, "BLOCK", block)
+        assert sorted((r.id, r.number) for r in stats.nearest_centroid(p, c, "id", "v").collect()) == want
