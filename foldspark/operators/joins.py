@@ -30,12 +30,18 @@ def window_reads(reads: DataFrame, size, count, step) -> DataFrame:
     return inside.withColumn("idx", clipped).drop("__low", "__high")
 
 
-def region_reads(reads: DataFrame, regions: DataFrame, keys: list[str], min_mutations: int) -> DataFrame:
-    """Reads with enough mutations inside a region; regions has region_idx, start, stop, a few rows a key."""
+def region_reads(reads: DataFrame, regions: DataFrame, keys: list[str], min_mutations: int, length: Column | None = None) -> DataFrame:
+    """Reads with enough mutations inside a region; regions has region_idx, start, stop, a few rows a key.
+
+    With the sequence's length, a lone region that is the whole sequence takes all reads.
+    """
     lists = regions.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("region_idx", "start", "stop"))).alias("__regions"))
     each = reads.join(lists, keys).withColumn("r", F.explode(F.filter("__regions", lambda r: (F.col("begin") < r["stop"]) & (F.col("end") > r["start"]))))
     inside = F.transform(F.filter("idx", lambda i: (i >= F.col("r.start")) & (i < F.col("r.stop"))), lambda i: i - F.col("r.start"))
-    return each.withColumn("idx", inside).filter(F.size("idx") >= min_mutations).withColumn("region_idx", F.col("r.region_idx")).drop("__regions", "r")
+    enough = F.size("idx") >= min_mutations
+    if length is not None:
+        enough = enough | ((F.size("__regions") == 1) & (F.col("r.start") <= 0) & (F.col("r.stop") >= length))
+    return each.withColumn("idx", inside).filter(enough).withColumn("region_idx", F.col("r.region_idx")).drop("__regions", "r")
 
 
 def comutation_pairs(idx: Column) -> Column:

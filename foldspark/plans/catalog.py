@@ -511,11 +511,10 @@ def nearest_centroid(spark, d):
     return rounded(stats.nearest_centroid(e, c, "vec_id", "embedding"), "distance", digits=6)
 
 
-@query("select base, weight, cast(floor(weight * 255 + 0.5) as smallint) as code, round(floor(weight * 255 + 0.5) / 255, 9) as decoded from (select base, (base % 7 + 1) / 10.0 as weight from grid where transcript_id = 0)")
+@query("select l_orderkey, l_linenumber, cast(floor(l_discount * 255 + 0.5) as smallint) as code, round(floor(l_discount * 255 + 0.5) / 255, 9) as decoded from lineitem", views=False)
 def tiny_fraction(spark, d):
-    w = _weights(spark).filter("transcript_id = 0 and cluster = 0").select("base", "weight")
-    code = stats.tiny_encode(F.col("weight"))
-    return w.select("base", "weight", code.alias("code"), F.round(stats.tiny_decode(code), 9).alias("decoded"))
+    code = stats.tiny_encode(F.col("l_discount"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", code.alias("code"), F.round(stats.tiny_decode(code), 9).alias("decoded"))
 
 
 @query(f"with {KEPT}, {WEIGHTS}, k as (select w.* from weights w join kept using (transcript_id, base)) select g.transcript_id, g.base, c.cluster, coalesce(k.weight, 0.0)::double as weight from grid g, (values (0), (1)) as c(cluster) left join k on k.transcript_id = g.transcript_id and k.base = g.base and k.cluster = c.cluster")

@@ -286,12 +286,16 @@ def assigned_reads(reads: DataFrame, found: DataFrame, grid: DataFrame, p: Param
 
 
 def inside_regions(reads: DataFrame, found: DataFrame, grid: DataFrame, p: Params) -> DataFrame:
-    """Reads, one row for each region they have enough mutations in; idx counts from the region's start."""
+    """Reads, one row for each region they have enough mutations in; idx counts from the region's start.
+
+    Of a transcript that is one region all reads count.
+    """
     long_reads = reads.join(grid.select("transcript_id", "size", "sequence"), "transcript_id").filter(P.long_enough(F.col("size")))
     if not p.shape:
         long_reads = long_reads.withColumn("idx", F.filter("idx", lambda i: F.upper(F.substring("sequence", i.cast("int") + 1, F.lit(1))).isin("A", "C")))
     spans = found.filter("n_clusters > 0").select(*R, "region_idx", "start", F.col("end").alias("stop"))
-    inside = J.region_reads(long_reads.drop("size", "sequence"), spans, R, p.min_read_mutations)
+    sized = long_reads.withColumn("__length", F.length("sequence")).drop("size", "sequence")
+    inside = J.region_reads(sized, spans, R, p.min_read_mutations, F.col("__length")).drop("__length")
     return inside.withColumn("idx", F.transform("idx", lambda i: i.cast("int")))
 
 

@@ -140,7 +140,8 @@ def ks_critical(spark, d):
         for b in batches:
             yield pd.DataFrame({"n": b["id"], "critical": [round(distributions.ks_critical(int(n), 0.10), 6) for n in b["id"]]})
 
-    return spark.range(1, 102).mapInPandas(run, "n long, critical double")
+    sizes = table(spark, d, "lineitem").select(F.ceil("l_quantity").cast("long").alias("id")).distinct()
+    return sizes.mapInPandas(run, "n long, critical double")
 
 
 # Runs and regions
@@ -286,8 +287,12 @@ def structure_distance(spark, d):
 
 @query()
 def simulate_reads(spark, d):
-    profiles = [[int(i < 20) for i in range(40)], [int(i >= 20) for i in range(40)]]
-    return simulate.simulate(spark, "two", profiles, 2000, 30, [0.7, 0.3], rate=0.08).withColumn("idx", _joined("idx"))
+    """Reads of two conformations for every part, 40 bases and 20 reads each."""
+    bases = F.sequence(F.lit(0), F.lit(39))
+    cut = (F.col("p_partkey") % 20 + 10).cast("int")
+    profiles = F.array(F.transform(bases, lambda i: (i < cut).cast("int")), F.transform(bases, lambda i: (i >= cut).cast("int")))
+    database = table(spark, d, "part").select(F.col("p_partkey").alias("entry"), F.lit("AC" * 20).alias("sequence"), F.posexplode(profiles).alias("profile_idx", "profile"))
+    return simulate.database_reads(spark, database, 30, n_reads=20, shares=["70,30"], rate=0.08).drop("sequence").withColumn("idx", _joined("idx"))
 
 
 def _whole(spark, d) -> tuple[DataFrame, DataFrame, Params]:

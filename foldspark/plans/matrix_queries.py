@@ -384,7 +384,7 @@ def ks_survival(spark, d):
     return spark.range(1, 21).mapInPandas(run, "n long, k long, sf double")
 
 
-@query("select unnest(generate_series(1, 100)) as n, 0.1::double as level", views=False)
+@query("select distinct ceil(l_quantity)::bigint as n, 0.1::double as level from lineitem", views=False)
 def ks_critical_level(spark, d):
     """The critical distance is exceeded with probability 0.10."""
 
@@ -392,7 +392,8 @@ def ks_critical_level(spark, d):
         for b in batches:
             yield pd.DataFrame([[int(n), round(1 - distributions.ks_cdf(int(n), distributions.ks_critical(int(n), 0.10)), 6)] for n in b["id"]], columns=["n", "level"])
 
-    return spark.range(1, 101).mapInPandas(run, "n long, level double")
+    sizes = table(spark, d, "lineitem").select(F.ceil("l_quantity").cast("long").alias("id")).distinct()
+    return sizes.mapInPandas(run, "n long, level double")
 
 
 @query("select event_type, round(quantile_cont(value, 0.5), 6) as gap, round(greatest(abs(quantile_cont(value, 0.5) - avg(value)) - stddev_samp(value) / 100, 0), 6) as distance from events group by 1", views=False)

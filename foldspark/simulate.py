@@ -50,9 +50,10 @@ def database_reads(spark: SparkSession, structures: DataFrame, read_length: int,
     read draws from a generator of its own number, wherever it is made.
     """
     by = structures.groupBy("entry", "sequence").agg(F.transform(F.sort_array(F.collect_list(F.struct("profile_idx", "profile"))), lambda x: x["profile"]).alias("profiles"))
-    number = F.row_number().over(Window.orderBy("entry"))
+    # A row an entry, without its reads: numbered in one task, a few bytes each.
+    numbers = structures.select("entry").distinct().withColumn("number", F.row_number().over(Window.orderBy("entry")))
     n = F.lit(n_reads) if n_reads is not None else F.ceil(F.lit(float(mean_coverage)) * F.length("sequence") / read_length)
-    each = by.withColumn("number", number).withColumn("read_id", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))).repartition("number", F.expr("read_id div 4096"))
+    each = by.join(numbers, "entry").withColumn("read_id", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))).repartition("number", F.expr("read_id div 4096"))
     lists = [[float(x) for x in s.split(",")] for s in shares or []]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
