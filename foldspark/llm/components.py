@@ -70,7 +70,7 @@ def _named(stars: DataFrame) -> DataFrame:
     return named.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def components(links: DataFrame, most_rounds: int = 40, one_task: int = ONE_TASK) -> DataFrame:
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """node and component (its smallest node) of every node that a link (two long columns) names."""
     a, b = links.columns
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v")
@@ -78,7 +78,7 @@ def components(links: DataFrame, most_rounds: int = 40, one_task: int = ONE_TASK
     if edges.count() <= one_task:
         return _named(compact(_forests(edges.coalesce(1), whole=True)))
     before = None
-    for _ in range(most_rounds):
+    while True:  # labels only fall, so the rounds end
         # Large star: every larger neighbour of a node is linked to the node's smallest one.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -89,8 +89,5 @@ def components(links: DataFrame, most_rounds: int = 40, one_task: int = ONE_TASK
         edges = kept(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
-            break
+            return _named(edges)
         before = state
-    else:
-        raise RuntimeError("links didn't settle")
-    return _named(edges)

@@ -70,7 +70,7 @@ def test_components_equal_brute_force(spark, seed):
     rows.append(rows[0])
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, `meta.k` int").repartition(3)
     want = brute(rows)
-    for options in ({}, {"long_list": 8, "block": 16}, {"long_list": 2, "block": 3}, {"long_list": 3, "block": 1000, "sample": 0.9}):
+    for options in ({"long_list": 2, "block": 3},) if seed > 1 else ({}, {"long_list": 8, "block": 16}, {"long_list": 3, "block": 1000, "sample": 0.9}):
         got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.join(docs, **options).collect())
         # A repeated id with two texts: its rows may stand in either order.
         assert got == want, options
@@ -83,7 +83,7 @@ def test_every_boundary_gives_the_same(spark, monkeypatch):
     rows = corpus(9, 150)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
-    for light_to in (0, 10, 60, 10**6):
+    for light_to in (0, 20, 10**6):
         monkeypatch.setattr(J, "boundary", lambda costs: light_to)
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.join(docs).collect()) == want, light_to
 
@@ -130,7 +130,7 @@ def test_families_of_near_copies_and_near_misses(spark):
     rows = family(700)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute(rows)
-    for options in ({"block": 64}, {"long_list": 16, "block": 24}):
+    for options in ({"long_list": 16, "block": 24},):
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.join(docs, **options).collect()) == want, options
 
 
