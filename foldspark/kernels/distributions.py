@@ -91,9 +91,13 @@ def ks_critical(n: int, alpha: float) -> float:
     return (low + high) / 2
 
 
-def looks_weibull(sample: np.ndarray, shape: float, scale: float, alpha: float = 0.10) -> bool:
-    """Whether the 90th percentile of |cdf - share of the running sum| is below the critical distance."""
+def fit_distance(sample: np.ndarray, shape: float, scale: float) -> float:
+    """The 90th percentile of |cdf - share of the running sum|."""
     v = np.sort(sample)
-    n = len(v)
     gaps = np.sort(np.abs(weibull_cdf(v, shape, scale) - v.cumsum() / v.sum()))
-    return bool(gaps[max(int(n * 0.90), 1) - 1] < ks_critical(n, alpha))
+    return float(gaps[max(int(len(v) * 0.90), 1) - 1])
+
+
+def looks_weibull(sample: np.ndarray, shape: float, scale: float, alpha: float = 0.10) -> bool:
+    """Whether the sample is closer to the distribution than the critical distance."""
+    return fit_distance(sample, shape, scale) < ks_critical(len(sample), alpha)

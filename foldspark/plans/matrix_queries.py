@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import comb
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,7 +11,7 @@ from .. import simulate
 from .. import surrogate as S
 from ..functions import arith, stats, udtf
 from ..functions import structures as ST
-from ..kernels import detect, distributions, merge, regions, spectral
+from ..kernels import distributions, graph_cut, merge, regions, smoothing, spectral
 from ..operators import assign as A
 from ..operators import coverage as C
 from ..operators import filters as P
@@ -23,10 +21,10 @@ from ..operators import matrix as M
 from ..operators import windows as W
 from ..params import Params
 from ..sources import mm, text
-from ..tables import kept, table
+from ..tables import table
 from . import deconvolve as D
-from .catalog import ASSIGNED, DEGREE, GRID, KEPT, PAIRS, RSTATS, RUNS, SIZE, T, UNIQUE, WEIGHTS, WIN, _assigned, _joined, _kept, _pairs, _weights, query, rounded
-from .kernel_queries import KEYS, _labels, _structures, folder, heads, typed_reads
+from .catalog import ASSIGNED, DEGREE, GRID, KEPT, PAIRS, RUNS, SIZE, T, UNIQUE, WEIGHTS, WIN, _assigned, _joined, _kept, _pairs, _weights, query, rounded
+from .kernel_queries import KEYS, _labels, _mapped, _matrices, _structures, _whole, folder, heads, typed_reads
 
 
 def _files(spark, path: str) -> list[str]:
@@ -416,9 +414,6 @@ def weibull_stationary(spark, d):
     return table(spark, d, "lineitem").select("l_suppkey", "l_quantity").groupBy("l_suppkey").applyInPandas(run, "l_suppkey long, stationary boolean")
 
 
-BINOMIAL = [(n, k, float(comb(n, k))) for n in (5, 30, 60) for k in range(6)]
-
-
 @query("""with g as (select n, k from (values (5), (30), (60)) as a(n), (select unnest(generate_series(0, 5)) as k)),
 p as (select n, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.02) + (n - k) * ln(0.98)) as pmf from g) select n::bigint as n, k::bigint as k, round(sum(pmf) over (partition by n order by k), 9) as cdf from p""", views=False)
 def binomial_cdf(spark, d):
@@ -478,3 +473,131 @@ def structure_concat(spark, d):
     both = _structures(spark, d).select("o_orderkey", "k", "j", ST.helices_of(ST.concatenated(F.col("truth"), F.expr("repeat('(', j) || repeat('.', 2 * k + 3 - 2 * j) || repeat(')', j)"))).alias("h"))
     second = both.select("o_orderkey", "k", "j", F.element_at("h", -1).alias("x"), ST.shifted(F.col("h"), F.lit(1)).alias("moved"))
     return second.select("o_orderkey", "x.first", (F.element_at("moved", -1)["partner"] - 1 - 2 * (F.col("k") - F.col("j"))).cast("int").alias("partner"))
+
+
+# Kernels where SQL knows the answer
+
+
+PLACES = "places as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as p, count(*) over (partition by user_id) as n from events)"
+
+
+def _relabelled(spark, d, label, how) -> DataFrame:
+    """Labels of each user's events, made of place p and number n, relabelled."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("event_id")
+        return pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "n_clusters": how([int(x) for x in rows["label"]])})
+
+    w = Window.partitionBy("user_id")
+    placed = table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w.orderBy("event_id")).alias("p"), F.count(F.lit(1)).over(w).alias("n"))
+    return placed.withColumn("label", F.expr(label)).groupBy("user_id").applyInPandas(run, "user_id long, event_id long, n_clusters int")
+
+
+@query(f"with {PLACES}, z as (select *, n // 3 as a, n // 3 + n // 4 as b from places) select user_id, event_id, (case when p <= a then 1 when p > b then 2 when a = 0 then 2 when a >= n - b then 1 else 2 end)::integer as n_clusters from z", views=False)
+def fill_one_run(spark, d):
+    """One run without clusters between two others: the longer one takes it, the left one of equals."""
+    return _relabelled(spark, d, "case when p <= n div 3 then 1 when p <= n div 3 + n div 4 then 0 else 2 end", lambda x: smoothing.fill_uninformative(x, [None] * len(x)))
+
+
+@query(f"""with {PLACES}, z as (select *, n // 2 as a, n - n // 2 - 1 as c, case when user_id % 2 = 0 then 1 else 2 end as r from places),
+t as (select *, case when a = 0 then case when c >= 3 then r else 3 end when c = 0 then case when a >= 3 then 1 else 3 end when r = 1 then case when a + c >= 3 then 1 else 3 end when a >= c then case when a >= 3 then 1 else 3 end else case when c >= 3 then r else 3 end end as mid from z)
+select user_id, event_id, (case when p <= a then 1 when p = a + 1 then mid else r end)::integer as n_clusters from t where n > 8""", views=False)
+def collapse_one_run(spark, d):
+    """One window of another label goes to its neighbours: both if they agree, else the longer one."""
+    out = _relabelled(spark, d, "case when p <= n div 2 then 1 when p = n div 2 + 1 then 3 when user_id % 2 = 0 then 1 else 2 end", lambda x: smoothing.collapse_outliers(x, [None] * len(x), 1, 3))
+    many = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 8").select("user_id")
+    return out.join(many, "user_id", "left_semi")
+
+
+@query(f"with {PAIRS} select transcript_id, read_replicate as replicate, count(distinct base)::double as trace from (select a.transcript_id, a.read_id % 3 as read_replicate, a.base from mutations a join mutations b on a.transcript_id = b.transcript_id and a.read_id = b.read_id and a.base <> b.base) group by all")
+def eigengap_trace(spark, d):
+    """The eigenvalues, added up from their gaps, sum to the number of linked bases."""
+
+    def one(a: np.ndarray, *_):
+        gaps = spectral.eigengaps(a)
+        return [(round(float((gaps * np.arange(len(gaps), 0, -1)).sum()), 6),)]
+
+    return _mapped(_matrices(spark, d, KEYS), KEYS, one, ["trace"], "trace double").select("transcript_id", "replicate", "trace")
+
+
+@query("select n_nationkey, base::integer as base, base < 6 as hard, base < 6 as soft, base < 6 as spectral from nation, (select unnest(generate_series(0, 11)) as base)", views=False)
+def planted_cuts(spark, d):
+    """Graphs of two blocks of six bases: which bases are with the first one, by hard cut, soft cut and bipartition."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for k in b["n_nationkey"]:
+                block = np.arange(12) // 6
+                a = np.where(block[:, None] == block[None], 50.0 + k, 1.0)
+                np.fill_diagonal(a, 100.0)
+                g = graph_cut.cut_graph(a)
+                hard, soft, parts = graph_cut.hard_cut(g, 2, 5, int(k)), graph_cut.soft_cut([g], 2, 0.25, 20, 3, int(k)).argmax(axis=1), spectral.bipartition(a)
+                out += [(int(k), i, *(bool(x[i] == x[0]) for x in (hard, soft, parts))) for i in range(12)]
+            yield pd.DataFrame(out, columns=["n_nationkey", "base", "hard", "soft", "spectral"])
+
+    return table(spark, d, "nation").select("n_nationkey").mapInPandas(run, "n_nationkey int, base int, hard boolean, soft boolean, spectral boolean")
+
+
+@query("""with w as (select vec_id, list_transform(embedding, lambda x: abs(x::double) / list_max(list_transform(embedding, lambda y: abs(y::double)))) as p from embeddings),
+q as (select vec_id, unnest(range(0, len(p))) as base, p from w)
+select vec_id, base::integer as base, round(floor(least(greatest(p[base + 1], 0), 1) * 255 + 0.5) / 255, 6) as first, round(floor(least(greatest(1 - p[base + 1], 0), 1) * 255 + 0.5) / 255, 6) as second, 150::bigint as coverage from q""", views=False)
+def merge_of_equals(spark, d):
+    """A window merged with itself, its clusters the other way round: relabelled, the same weights, both coverages."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for vec, v in zip(b["vec_id"], b["embedding"]):
+                w = np.abs(np.asarray(v, dtype=float))
+                w = np.column_stack([w / w.max(), 1 - w / w.max()])
+                m = merge.merge_windows([merge.single(0, w, np.full(len(w), 100)), merge.single(0, w[:, ::-1], np.full(len(w), 50))])
+                out += [(int(vec), i, round(float(m.w[i, 0]), 6), round(float(m.w[i, 1]), 6), int(m.coverage[i])) for i in range(len(w))]
+            yield pd.DataFrame(out, columns=["vec_id", "base", "first", "second", "coverage"])
+
+    return table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, base int, first double, second double, coverage long")
+
+
+@query(f"""with {WIN}, n as (select w.transcript_id, w.replicate, window_idx, w.read_id, count(*) as marks from win_reads w join mutations m on m.transcript_id = w.transcript_id and m.read_id = w.read_id and m.base >= start and m.base < start + {SIZE} group by all),
+f as (select transcript_id, replicate, window_idx, count(*) as n from n where marks >= 2 group by all), every_ as (select distinct transcript_id, replicate, window_idx from win_reads)
+select transcript_id::varchar as transcript_id, replicate::integer as replicate, window_idx::integer as window_idx, coalesce(n, 0) < 100 as few_reads from every_ left join f using (transcript_id, replicate, window_idx)""")
+def detection_guard(spark, d):
+    """Windows that detection turns away for their few reads, after both filters."""
+    p = Params(min_base_coverage=1, min_base_mutations=0, min_mutation_freq=0.0, min_permutations=1, max_permutations=1, shape=True)
+    w = J.window_reads(A.unique_reads(S.reads(spark, d), KEYS), SIZE, GRID.count, GRID.step)
+    rows = w.select(F.col("replicate").cast("int").alias("replicate"), F.col("transcript_id").cast("string").alias("transcript_id"), F.col("window_idx").cast("int").alias("window_idx"), F.col("start").cast("int").alias("start"), "occurrences", F.transform("idx", lambda i: i.cast("int")).alias("idx"))
+    grid = spark.createDataFrame([(str(t), "A" * S.LENGTH) for t in range(4)], "transcript_id string, sequence string")
+    return D.detect_windows(rows, grid, p).select("transcript_id", "replicate", "window_idx", (F.col("status") == "few reads").alias("few_reads"))
+
+
+@query("select 'RNA_' || row_number() over (order by p_partkey) as transcript_id, 20::bigint as reads, 20::bigint as placed, 20::bigint as allowed from part", views=False)
+def simulated_reads_hold(spark, d):
+    """Every simulated read lies within its sequence, with marks in its extent and on its conformation's bases only."""
+    bases = F.sequence(F.lit(0), F.lit(39))
+    profiles = F.array(F.transform(bases, lambda i: (i < 20).cast("int")), F.transform(bases, lambda i: (i >= 20).cast("int")))
+    database = table(spark, d, "part").select(F.col("p_partkey").alias("entry"), F.lit("AC" * 20).alias("sequence"), F.posexplode(profiles).alias("profile_idx", "profile"))
+    r = simulate.database_reads(spark, database, 30, n_reads=20, shares=["70,30"], rate=0.2)
+    placed = (F.col("begin") >= 0) & (F.col("end") == F.col("begin") + 30) & (F.col("end") <= 40)
+    allowed = F.forall("idx", lambda i: (i >= F.col("begin")) & (i < F.col("end")) & ((i >= 20).cast("int") == F.col("conformation")))
+    return r.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("reads"), F.count_if(placed).alias("placed"), F.count_if(allowed).alias("allowed"))
+
+
+@query(f"select 'T' || transcript_id as id, '{'ACGT' * (S.LENGTH // 4)}' as sequence, count(*) filter (replicate = 0) as n0, count(*) filter (replicate = 1) as n1, count(*) filter (replicate = 2) as n2, true as covered from reads group by transcript_id")
+def result_heads(spark, d):
+    """What the result documents say of each transcript, read back as JSON, and whether their clusters span it."""
+    schema = "sequence string, nReads array<long>, replicateClusters array<struct<start:int,end:int,nClusters:int,confidence:double>>"
+    r = D.document_of(D.deconvolve(*_whole(spark, d))).select("id", F.from_json("document", schema).alias("x")).select("id", "x.*")
+    covered = (F.element_at("replicateClusters", 1)["start"] == 0) & (F.array_max(F.transform("replicateClusters", lambda c: c["end"])) == S.LENGTH)
+    return r.select("id", "sequence", *[F.col("nReads")[i].alias(f"n{i}") for i in range(3)], covered.alias("covered"))
+
+
+@query("""with s as (select user_id, value, row_number() over w as i, count(*) over (partition by user_id) as n, sum(value) over (w rows unbounded preceding) / sum(value) over (partition by user_id) as share from events where value > 0 window w as (partition by user_id order by value, event_id)),
+g as (select user_id, n, abs(1 - exp(-power(value / 40.0, 1.42)) - share) as gap from s), o as (select *, row_number() over (partition by user_id order by gap) as i from g)
+select user_id, round(gap, 9) as distance from o where i = greatest(floor(n * 0.9), 1)""", views=False)
+def fit_distance(spark, d):
+    """How far each user's values are from a Weibull distribution: what the goodness of fit is judged by."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[key[0], round(distributions.fit_distance(rows["value"].to_numpy(), 1.42, 40.0), 9)]], columns=["user_id", "distance"])
+
+    return table(spark, d, "events").filter("value > 0").select("user_id", "value").groupBy("user_id").applyInPandas(run, "user_id long, distance double")
