@@ -84,10 +84,10 @@ def _values(w: np.ndarray, graphs: list[np.ndarray], delta: float) -> tuple[np.n
     return lose, gain
 
 
-def descend(w: np.ndarray, graphs: list[np.ndarray], module: float, least_weight: float = 3.0) -> np.ndarray:
-    """Greedy best moves of ``module``; where none helps, of growing steps, until a whole base moves. Every move lowers the score, so they end."""
+def descend(w: np.ndarray, graphs: list[np.ndarray], module: float, least_weight: float = 3.0, most_steps: int = 200_000) -> np.ndarray:
+    """Greedy best moves of ``module``; where none helps, of growing steps, until a whole base moves. Every move lowers the score; the bound on moves is against rounding."""
     w, step, k = w.copy(), module, w.shape[1]
-    while True:
+    for _ in range(most_steps):
         lose, gain = _values(w, graphs, step)
         lose[(w < step - 1e-9) | (w.sum(axis=0) - step <= least_weight)[None]] = np.inf
         best = np.full((len(w), k), np.inf)

@@ -198,7 +198,8 @@ def _graphs(spark, d, cut, columns: list[str], schema: str) -> DataFrame:
 
 @query()
 def soft_graph_cut(spark, d):
-    p = Params()
+    """With 2 restarts of 20 starts and a weight step of 0.1: the defaults take minutes a transcript."""
+    p = Params(soft_clustering_iters=2, soft_clustering_inits=20, soft_clustering_weight_module=0.1)
 
     def cut(t, bases, g) -> list:
         w = graph_cut.soft_cut([g], 2, p.soft_clustering_weight_module, p.soft_clustering_inits, p.soft_clustering_iters, P.seed_of("cut", t))
