@@ -319,12 +319,12 @@ def region_advance(spark, d):
     """From the first window on: behind each leading run of equal labels."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        labels, at, out = [int(n) for n in rows.sort_values("window_idx")["n"]], 0, []
+        labels = rows.sort_values("window_idx")["n"].tolist()
+        starts, at, begun = range(len(labels)), 0, []
         while at < len(labels):
-            stop = regions.advanced(list(range(len(labels))), labels, at, len(labels), 10, 10, {})
-            out.append([key[0], at, stop])
-            at = stop
-        return pd.DataFrame(out, columns=["transcript_id", "at", "next"])
+            begun.append(at)
+            at = regions.advanced(starts, labels, at, len(labels), 10, 10, {})
+        return pd.DataFrame({"transcript_id": key[0], "at": begun, "next": [*begun[1:], at]})
 
     return _labels(spark, d).groupBy("transcript_id").applyInPandas(run, "transcript_id long, at long, next long")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 
 import numpy as np
 import pytest
@@ -42,3 +43,15 @@ def test_registered_kernels_use_the_default_effort(spark, monkeypatch):
         catalog.QUERIES[name](spark, SF)
     assert asked["soft"] == (0.1, 20, 2)  # reduced, as README and BASELINE say
     assert asked["hard"] == p.soft_clustering_iters and asked["ptba"].max_permutations == p.max_permutations
+
+
+def test_region_advance_takes_linear_time(spark, tmp_path):
+    """Every window of one transcript, in far less time than a pass over all windows for each run."""
+    n = 120_000
+    spark.range(n).selectExpr("id * 3 as event_id", "cast(8 as long) as user_id").repartition(2).write.parquet(f"{tmp_path}/events.parquet")
+    labels = [e % 3 + e // 5 % 2 for e in range(0, 3 * n, 3)]
+    at = [0, *(i for i in range(1, n) if labels[i] != labels[i - 1])]
+    began = time.time()
+    out = catalog.QUERIES["region_advance"](spark, str(tmp_path)).collect()
+    assert time.time() - began < 20
+    assert sorted(map(tuple, out)) == [(0, a, z) for a, z in zip(at, [*at[1:], n])]
