@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import suppress
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +56,30 @@ def cached(df: DataFrame) -> DataFrame:
     return out
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver's JVM collect what finished plans hold, and with it Spark delete their shuffle files.
+
+    Then it gives back to the system what it has freed: heap beyond what is in use,
+    and native memory, of which planning and compiling leave it much. A JVM without
+    the command for the latter (before 17.0.9, or not on Linux) only collects.
+    """
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+
+    def array(kind, *items):
+        out = new(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    jvm.System.gc()
+    # By reflection on the interface: the server's own class isn't open to calls.
+    kinds = [jvm.Class.forName(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    invoke = jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", array(jvm.Class, *kinds))
+    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    with suppress(Py4JJavaError):
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.Object, command, "systemTrimNativeHeap", array(jvm.Object), array(jvm.String)))
+
+
 def made() -> int:
     """How much is cached or written by now: what release() takes as ``since``."""
     return len(_made)
