@@ -64,15 +64,19 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def compact(df: DataFrame) -> DataFrame:
-    """kept(), for tables much smaller than what they are made from; then the driver lets go of the plan that made them.
+def compact(df: DataFrame, rows_per_file: int = 100_000) -> DataFrame:
+    """kept(), in as many files as its rows need: for tables much smaller than what they are made from.
 
-    Written straight, not cached before: a cached plan is spelled out in every plan
-    that reads it, again at each of their adaptive steps, in the driver's memory.
+    Also keeps plans short: cached tables inside cached plans are spelled out at every use.
+    The driver then lets go of what the plan held.
     """
-    out = kept(df)
-    settle(df.sparkSession)
-    return out
+    spark = df.sparkSession
+    once = cached(df)
+    path = shared_dir(spark)
+    once.coalesce(max(1, -(-once.count() // rows_per_file))).write.parquet(path)
+    once.unpersist()
+    settle(spark)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Bytes of one Arrow batch of whole texts; a single text may be longer.
